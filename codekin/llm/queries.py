@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.llm import frequency, near_sets, spans
+from codekin.llm import encoding, frequency, leakage, near_sets, spans
 from codekin.sources.tables import BLANKS, table
 
 RARE_AT_MOST, COMMON_SHARE = 2, 0.04
@@ -91,9 +91,32 @@ def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "ir_bb"), "bb_id", "stmts", SPAN).withColumnRenamed("id", "bb_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encoding.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", encoding.tokenizer_path())
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text from its token ids."""
+    return encoding.decoded(p6_ids(spark, sf_dir), encoding.tokenizer_path())
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items of which they hold 13 words in a row."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "item_text")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each test item that leaked: its suite and the number of documents that hold a passage."""
+    items = table(spark, sf_dir, "eval_item").select("item_id", "suite", "split")
+    counts = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counts.join(items, "item_id").select("item_id", "suite", "split", "n_docs")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_terms": p2_terms, "p2_runs": p2_runs, "p3_found": p3_found, "p3_classes": p3_classes,
     "p4_found": p4_found, "p4_share": p4_share,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items,
 }
 
 _T = r"trim({}, e' \t\r\n')"
@@ -125,6 +148,7 @@ g AS (SELECT bb_id, p, sum((q IS NULL OR p > q + {SPAN})::int) OVER (PARTITION B
 r AS (SELECT bb_id, min(p)::int AS pos_from, (max(p) + {SPAN - 1})::int AS pos_to FROM g GROUP BY bb_id, g)
 """
 ORACLE = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT * FROM m",
     "p2_runs": f"""WITH {_RECORDS},
