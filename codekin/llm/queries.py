@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.llm import encoding, frequency, leakage, near_sets, spans
+from codekin.llm import encoding, frequency, language, leakage, near_sets, spans
 from codekin.sources.tables import BLANKS, table
 
 RARE_AT_MOST, COMMON_SHARE = 2, 0.04
@@ -113,10 +113,34 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(items, "item_id").select("item_id", "suite", "split", "n_docs")
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fitted(table(spark, sf_dir, "lang_sample"), "lang", "sample_text")
+    return language.segmented(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents that are mixed or whose label is missing or wrong."""
+    return language.wrong_labels(language.document_languages(_segments(spark, sf_dir)))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: its main language, its confidence, and the number of its languages."""
+    rows = language.document_languages(_segments(spark, sf_dir))
+    main = F.try_element_at("languages", F.lit(1))
+    return rows.select("doc_id", main["lang"].alias("lang"), main["confidence"].alias("confidence"), F.size("languages").alias("n_languages"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each document with their language and confidence."""
+    rows = _segments(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("doc_id", "segment_no", "s.lang", "s.n_words", F.round("s.confidence", 6).alias("confidence"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_terms": p2_terms, "p2_runs": p2_runs, "p3_found": p3_found, "p3_classes": p3_classes,
     "p4_found": p4_found, "p4_share": p4_share,
     "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments,
 }
 
 _T = r"trim({}, e' \t\r\n')"
