@@ -1 +1 @@
-
+"""Streaming forms of the long-lived workers."""
