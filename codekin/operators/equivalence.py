@@ -166,34 +166,38 @@ def compare_paths(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]], sample
         return "ERR_IR"
 
 
-def function_paths(flow: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(func_id, n_paths, n_longest, complete) of each function's control flow.
+def _bodies(flow: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+    """(func_id, blocks): a function's blocks in order, with their successors; its blocks bound the row."""
+    body = flow.join(blocks.select("bb_id", "bb_no", *columns), "bb_id")
+    return body.groupBy("func_id").agg(F.array_sort(F.collect_list(F.struct("bb_no", "bb_id", "next1", "next2", *columns))).alias("blocks"))
+
+
+def _unfolded(blocks) -> tuple[list[list[int]], bool]:
+    return paths(blocks[0]["bb_id"], {x["bb_id"]: [x["next1"], x["next2"]] for x in blocks})
 
-    A function is one group; its blocks bound it, and paths stop at 500."""
-    rows = flow.join(blocks.select("bb_id", "bb_no"), "bb_id")
 
-    def per_function(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bb_no", "bb_id"])
-        nexts = {r.bb_id: [None if pd.isna(x) else int(x) for x in (r.next1, r.next2)] for r in pdf.itertuples()}
-        found, more = paths(int(pdf.bb_id.iloc[0]), nexts)
-        return pd.DataFrame({"func_id": [pdf.func_id.iloc[0]], "n_paths": [len(found)], "n_longest": [max(map(len, found), default=0)], "complete": [not more]})
+def function_paths(flow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(func_id, n_paths, n_longest, complete) of each function's control flow; paths stop at 500."""
+
+    @F.pandas_udf("n_paths int, n_longest int, complete boolean")
+    def counted(column: pd.Series) -> pd.DataFrame:
+        rows = [(len(found), max(map(len, found), default=0), not more) for found, more in map(_unfolded, column)]
+        return pd.DataFrame(rows, columns=["n_paths", "n_longest", "complete"])
 
-    return rows.groupBy("func_id").applyInPandas(per_function, "func_id long, n_paths int, n_longest int, complete boolean")
+    return _bodies(flow, blocks).select("func_id", counted("blocks").alias("p")).select("func_id", "p.n_paths", "p.n_longest", "p.complete")
 
 
 def equivalent(pairs: DataFrame, flow: DataFrame, blocks: DataFrame) -> DataFrame:
     """(func1_id, func2_id, status) of the pairs given, after P19-like pruning by counts."""
-    body = flow.join(blocks.select("bb_id", "bb_no", "stmts"), "bb_id")
-    body = body.groupBy("func_id").agg(F.array_sort(F.collect_list(F.struct("bb_no", "bb_id", "next1", "next2", "stmts"))).alias("blocks"))
+    body = _bodies(flow, blocks, "stmts")
     rows = pairs.join(body.select(F.col("func_id").alias("func1_id"), F.col("blocks").alias("a")), "func1_id")
     rows = rows.join(body.select(F.col("func_id").alias("func2_id"), F.col("blocks").alias("b")), "func2_id")
 
     @F.pandas_udf("string")
     def status(a: pd.Series, b: pd.Series) -> pd.Series:
         def unfolded(blocks):
-            nexts = {x["bb_id"]: [x["next1"], x["next2"]] for x in blocks}
             text = {x["bb_id"]: list(x["stmts"]) for x in blocks}
-            found, more = paths(blocks[0]["bb_id"], nexts)
+            found, more = _unfolded(blocks)
             return None if more else [[s for i in p for s in text[i]] for p in found]
 
         out = []

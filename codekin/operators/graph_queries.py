@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codekin.functions.scalars import adjusted_weight
 from codekin.operators import distance, equivalence, graph, matching
 from codekin.operators.features import blocks, call_edges, frequencies, functions, with_views
+from codekin.plans.scratch import written
 from codekin.sources.tables import table
 
 ADJUST = 1000.0
@@ -94,7 +95,7 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codekin.operators.gates import complexity_gate
 
     rows = pairs.join(one, "func1_id").join(two, "func2_id").where(complexity_gate(F.col("c1"), F.col("c2")))
-    return rows.select("file1", "file2", "func1_id", "func2_id", F.col("value").alias("cost"))
+    return written(rows.select("file1", "file2", "func1_id", "func2_id", F.col("value").alias("cost")), "costs")
 
 
 def _subject(spark: SparkSession, sf_dir: str) -> int:

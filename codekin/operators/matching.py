@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekin.plans.scratch import written
+
 SCALE = 10_000  # costs are whole numbers on this scale
 INFINITE = 10_000_000
 
@@ -50,25 +52,44 @@ def assignment(cost: np.ndarray, maximise: bool = False) -> np.ndarray:
     return out
 
 
-def umeyama(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-    """The vertex of ``a`` for each vertex of ``b``, and the score: the squared difference of the
-    matched matrices' symmetric and skew parts; 0 for isomorphic graphs matched right.
+def _parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.asarray(x, float)
+    return (x + x.T) / 2, (x - x.T) / 2
+
 
-    Eigenvectors of the Hermitian matrices S + iN, both by descending eigenvalue; assignment of most
-    weight on |U_B| |U_A|^T."""
-    n = max(len(a), len(b), 1)
+def spectrum(x: np.ndarray, n: int) -> np.ndarray:
+    """Absolute eigenvectors of S + iN as rows of x's vertices and n columns by descending eigenvalue,
+    as if x were padded with n - len(x) vertices without edges: their zeros stand before the negatives."""
+    s, k = _parts(x)
+    values, vectors = np.linalg.eigh(s + 1j * k)
+    order = np.argsort(-values, kind="stable")
+    kept = int((values > -1e-9).sum())
+    out = np.zeros((len(x), n))
+    out[:, :kept] = np.abs(vectors[:, order[:kept]])
+    out[:, n - (len(x) - kept) :] = np.abs(vectors[:, order[kept:]])
+    return out
 
-    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.pad(np.asarray(x, float), ((0, n - len(x)), (0, n - len(x))))
-        s, k = (x + x.T) / 2, (x - x.T) / 2
-        values, vectors = np.linalg.eigh(s + 1j * k)
-        return s, k, np.abs(vectors[:, np.argsort(-values, kind="stable")])
 
-    sa, ka, ua = parts(a)
-    sb, kb, ub = parts(b)
-    match = assignment(ub @ ua.T, maximise=True)
-    score = ((sa[np.ix_(match, match)] - sb) ** 2).sum() + ((ka[np.ix_(match, match)] - kb) ** 2).sum()
-    return match, float(score)
+def umeyama(a: np.ndarray, b: np.ndarray, spectrum_a: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The vertex of ``a`` for each vertex of ``b`` (-1 for none), and the score: the squared
+    difference of the matched matrices' symmetric and skew parts; 0 for isomorphic graphs matched right.
+
+    Eigenvectors of the Hermitian matrices, both by descending eigenvalue; assignment of most weight
+    on |U_B| |U_A|^T. The smaller graph counts as padded with lone vertices, which cost no work: they
+    take part in the order of eigenvalues and in the score, not in the assignment."""
+    n = max(len(a), len(b))
+    match = np.full(len(b), -1, np.int64)
+    if len(a) and len(b):
+        ua = spectrum_a if spectrum_a is not None and spectrum_a.shape[1] == n else spectrum(a, n)
+        weight = spectrum(b, n) @ ua.T
+        if len(b) <= len(a):
+            match = assignment(weight, maximise=True)
+        else:
+            match[assignment(weight.T, maximise=True)] = np.arange(len(a))
+    score, got = 0.0, np.flatnonzero(match >= 0)
+    for x, y in zip(_parts(a), _parts(b)):
+        score += (x**2).sum() + (y**2).sum() - 2 * (x[np.ix_(match[got], match[got])] * y[np.ix_(got, got)]).sum()
+    return match, max(0.0, float(score))
 
 
 def assigned(costs: DataFrame, missing: float = 1.0) -> DataFrame:
@@ -117,17 +138,17 @@ def align_scores(candidates: DataFrame, edges: DataFrame, sizes: DataFrame, roun
     ``candidates``: file1, file2, func1_id, func2_id, cost. Each round mixes a pair's own cost with the
     mean costs of its paired children and parents (its own where it has none). ``sizes``: func_id,
     file_id, func_size of all functions; those of file1 without a partner cost 1."""
-    own = candidates
-    now = candidates
+    own = now = written(candidates, "candidates")
+    edges = written(edges, "edges")
     keys = ["func1_id", "func2_id"]
     for _ in range(rounds):
         around = neighbour_costs(now.select(*keys, "cost"), edges)
         mixed = weights[0] * F.col("own") + weights[1] * F.coalesce("child", "own") + weights[2] * F.coalesce("parent", "own")
-        now = own.withColumnRenamed("cost", "own").join(around, keys).select("file1", "file2", *keys, mixed.alias("cost"))
+        now = written(own.withColumnRenamed("cost", "own").join(around, keys).select("file1", "file2", *keys, mixed.alias("cost")), "costs")
     matched = assigned(now).join(sizes.select(F.col("func_id").alias("func1_id"), F.col("func_size").alias("size")), "func1_id")
     matched = matched.groupBy("file1", "file2").agg(F.sum((1 - F.col("cost")) * F.col("size")).alias("gain"))
     total = sizes.groupBy(F.col("file_id").alias("file1")).agg(F.sum("func_size").alias("total"))
-    pairs = candidates.select("file1", "file2").distinct()
+    pairs = own.select("file1", "file2").distinct()
     return pairs.join(matched, ["file1", "file2"], "left").join(total, "file1").select(
         "file1", "file2", F.round(1 - F.coalesce("gain", F.lit(0.0)) / F.col("total"), 6).alias("score")
     )
@@ -136,7 +157,11 @@ def align_scores(candidates: DataFrame, edges: DataFrame, sizes: DataFrame, roun
 def spectral_matches(edges: DataFrame, subject: DataFrame) -> DataFrame:
     """G15 for one subject graph and every other file: (file1, file2, score, n1, n2).
 
-    ``edges``: file_id, fn_parent, fn_child; ``subject``: file1 and its edges as one list, on one row."""
+    ``edges``: file_id, fn_parent, fn_child; ``subject``: file1 and its edges e1 as one list, on one row.
+    A graph is dense here (n x n numbers), so only a subject of at most 20,000 vertices makes sense; its
+    row is checked against that before it is sent to the tasks."""
+    if (subject.agg(F.max(F.size(F.array_distinct(F.flatten(F.transform("e1", lambda e: F.array(e["fn_parent"], e["fn_child"])))))).alias("n")).first()["n"] or 0) > 20_000:
+        raise ValueError("the subject's graph is too large for a dense matching")
     graphs = edges.groupBy(F.col("file_id").alias("file2")).agg(F.collect_list(F.struct("fn_parent", "fn_child")).alias("e2"))
     rows = graphs.join(F.broadcast(subject), F.col("file1") != F.col("file2"))
 
@@ -148,11 +173,15 @@ def spectral_matches(edges: DataFrame, subject: DataFrame) -> DataFrame:
         return x
 
     def batches(it):
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in it:
             out = []
             for r in pdf.itertuples():
-                a, b = adjacency(r.e1), adjacency(r.e2)
-                out.append((r.file1, r.file2, round(umeyama(a, b)[1], 6), len(a), len(b)))
+                if r.file1 not in known:
+                    x = adjacency(r.e1)
+                    known[r.file1] = x, spectrum(x, len(x))
+                (a, ua), b = known[r.file1], adjacency(r.e2)
+                out.append((r.file1, r.file2, round(umeyama(a, b, ua)[1], 6), len(a), len(b)))
             yield pd.DataFrame(out, columns=["file1", "file2", "score", "n1", "n2"])
 
     return rows.select("file1", "file2", "e1", "e2").mapInPandas(batches, "file1 long, file2 long, score double, n1 int, n2 int")

@@ -35,6 +35,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.data, self.snapshots = f"{self.path}/data", f"{self.path}/snapshots"
+        self.schema = None  # known after an append; an empty store has none of its own
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -88,12 +89,13 @@ class Store:
 
     def append(self, df: DataFrame, parts: list[int] | None = None) -> int:
         """Add rows; ``df`` has the partition column ``part``. ``parts``: those it touches, if known."""
-        since = self.version()
+        since, self.schema = self.version(), df.schema
         df.write.mode("append").partitionBy(PART).parquet(self.data)
         return self.commit(since, "append", parts)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.data)
+        reader = self.spark.read
+        return (reader if self.schema is None else reader.schema(self.schema)).parquet(self.data)
 
     def file_counts(self, small_bytes: int) -> DataFrame:
         """part, files, small files and bytes of each partition, from file metadata."""
@@ -133,15 +135,16 @@ class Store:
                 .agg(F.min(F.struct(F.isnull(keep_first_by), *[keep_first_by], *[c for c in columns if c != keep_first_by])).alias("__row"))
                 .select(*[F.col(f"__row.{c}").alias(c) for c in columns], PART)
             )
-        slices = {p: max(1, -(-b // target_bytes)) for p, b in todo.items()}
-        if max(slices.values()) > 1:
-            sizes = F.create_map(*[F.lit(x) for p, n in slices.items() for x in (p, n)])
-            salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != PART]), sizes[F.col(PART)])
-            rows = rows.repartition(PART, salt)
-        elif record_key is None:
-            rows = rows.repartition(len(todo), PART)
-        else:
-            rows = rows.repartition(min(len(todo), 2000), PART)
+        # every output file is one task of its own: file ``first + hash % files`` of its partition
+        slots, total = [], 0
+        for p, size in sorted(todo.items()):
+            files = max(1, -(-size // target_bytes))
+            slots.append((p, total, files))
+            total += files
+        slot = self.spark.createDataFrame(slots, f"{PART} int, __first int, __files int")
+        content = F.xxhash64(*[c for c in rows.columns if c != PART])
+        rows = rows.join(slot, PART).withColumn("__slot", F.col("__first") + F.pmod(content, F.col("__files")).cast("int"))
+        rows = rows.repartitionById(total, "__slot").drop("__first", "__files", "__slot")
         self.check(since, set(todo))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.data)
         return self.commit(since, "compact", sorted(todo)), sorted(todo)
@@ -195,4 +198,4 @@ def compacted_graphs(files: DataFrame, target_bytes: int = 128 << 20, path: str
         record_key=[F.col("file_id"), F.col("addr"), F.sha2("body", 256)],
         keep_first_by="gdl_id",
     )
-    return spark.read.schema(landed.schema).parquet(store.data)
+    return store.read()
