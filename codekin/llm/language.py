@@ -131,6 +131,8 @@ def train(
     """Fit on all texts, after finding the temperature with a model that did not see ``held_out`` of
     them; it is set on windows of two words, as longer ones leave hardly any error to calibrate by."""
     langs = sorted(set(labels))
+    if not langs:
+        return LanguageModel([], {}, np.empty(0), np.empty((0, 0)), np.empty(0), 1.0)
     rng = np.random.default_rng(seed)
     held = rng.random(len(texts)) < held_out
 
@@ -190,7 +192,8 @@ def _fit(examples, langs, alpha, beta, l1, l2, epochs, rng) -> LanguageModel:
 
 
 def fitted(samples: DataFrame, lang_col: str, text_col: str, most: int = LABELLED_ROWS) -> LanguageModel:
-    """A model from labelled texts; at most ``most`` rows, those with the smallest hashes."""
+    """A model from labelled texts; at most ``most`` rows, those with the smallest hashes. Rows with a null
+    or blank language or text are left out; without any rows the model knows no language."""
     rows = samples.select(F.lower(F.trim(lang_col)).alias("l"), F.col(text_col).alias("t")).where("l <> '' AND t <> ''")
     rows = rows.orderBy(F.xxhash64("t"), "t", "l").limit(most).collect()
     return train([r["t"] for r in rows], [r["l"] for r in rows])
@@ -205,7 +208,7 @@ def _classify(shared):
             if len(known) > CACHED_WORDS:
                 known = {}
             flat, lengths, owner, paragraphs = [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(1).to_pylist() if model.langs else []):
                 for paragraph, words in sentences(text):
                     for w in words:
                         i = known.get(w)
