@@ -158,13 +158,15 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, chunk_words:
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary, by id."""
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+    vocabulary = file["model"]["vocab"] | added
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in printable}
     back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     out = [b""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
-        out[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+        out[i] = piece.encode() if piece in added else bytes(back[c] for c in piece)
     return out
 
 
