@@ -32,10 +32,12 @@ SHORT = 4  # sentences of fewer words take the language of their neighbour
 WINDOW = 4  # training texts are also cut into windows of so many words
 ELSEWHERE = 0.02  # prior share of a language that the rest of a document does not show
 
-_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+")
-_NO_PROSE = re.compile(r"^\s*(?:\||(?:node|edge|graph)\s*:\s*\{|/\*)|reg\d+_t|(?:\b\w+=\S+\s+){2}", re.IGNORECASE)
 _WORD = re.compile(r"(?<![\w$%@\\/=<>{}\[\]-])_?([^\W\d_]+(?:['’-][^\W\d_]+)*)_?(?![\w$%@\\/=<>{}\[\](]|-\d)")
-_MARK = re.compile(r"^\s*(?:(?:>|//|[+*#-]|\d+(?:\.\d+)*\.?)\s+)+")
+_STOP = re.compile(r"[.!?…][\"'»”’)\]]*$")
+_MARK = re.compile(r"(?:[>+*#-]|//|\d+(?:\.\d+)*\.?)$")
+_IR = re.compile(r"reg\d+_t")
+KEPT_PIECES = 500_000  # pieces of text between white space whose words a task keeps at hand
+_pieces: dict[str, tuple[tuple[str, ...], int, bool]] = {}
 _TRANSLITERATED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 
 
@@ -44,6 +46,15 @@ def unified(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
 
 
+def _piece(text: str) -> tuple[tuple[str, ...], int, bool]:
+    """The plain words of a piece without white space, their characters, whether it ends a sentence."""
+    words = tuple(_WORD.findall(text))
+    if len(_pieces) >= KEPT_PIECES:
+        _pieces.clear()
+    got = _pieces[text] = words, sum(map(len, words)), bool(_STOP.search(text))
+    return got
+
+
 def sentences(text: str | None) -> list[tuple[int, list[str]]]:
     """(paragraph, words) of each sentence of running prose, in lower case.
 
@@ -53,26 +64,38 @@ def sentences(text: str | None) -> list[tuple[int, list[str]]]:
     if not text:
         return []
     out: list[tuple[int, list[str]]] = []
-    paragraph, lines = 0, []
-
-    def flush() -> None:
-        nonlocal paragraph
-        for sentence in _END.split(" ".join(lines)):
-            if words := [w.lower() for w in _WORD.findall(sentence)]:
+    paragraph, open_ = 0, False
+    words: list[str] = []
+    for line in unified(text).lower().splitlines():
+        parts = line.split()
+        while parts and _MARK.match(parts[0]):
+            del parts[0]
+        prose = False
+        if parts:
+            pieces = [_pieces.get(p) or _piece(p) for p in parts]
+            plain = sum([x[1] for x in pieces])
+            prose = (
+                plain > 0
+                and plain >= 0.55 * sum(map(len, parts))
+                and not parts[0].startswith(("|", "/*"))
+                and not (parts[0] in ("node:", "edge:", "graph:") and len(parts) > 1 and parts[1].startswith("{"))
+                and not ("=" in line and sum(["=" in p for p in parts]) > 1)
+                and not ("reg" in line and _IR.search(line))
+            )
+        if prose:
+            open_ = True
+            for own, _, stops in pieces:
+                words += own
+                if stops and words:
+                    out.append((paragraph, words))
+                    words = []
+        elif open_:
+            if words:
                 out.append((paragraph, words))
-        lines.clear()
-        paragraph += 1
-
-    for raw in unified(text).splitlines():
-        line = _MARK.sub("", raw).strip()
-        words = _WORD.findall(line)
-        solid = len(line) - sum(map(line.count, (" ", "\t")))
-        if words and sum(map(len, words)) >= 0.55 * solid and not _NO_PROSE.search(raw):
-            lines.append(line)
-        elif lines:
-            flush()
-    if lines:
-        flush()
+                words = []
+            paragraph, open_ = paragraph + 1, False
+    if words:
+        out.append((paragraph, words))
     return out
 
 
@@ -199,31 +222,38 @@ def fitted(samples: DataFrame, lang_col: str, text_col: str, most: int = LABELLE
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
+class _ScoredWords(dict):
+    """Row of each word in a table of scores; a word is scored when it is first asked for."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model, self.table = model, np.zeros((1024, len(model.langs) + 1), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[i] = self.model.score(word)
+        return i
+
+
 def _classify(shared):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
-        known: dict[str, int] = {}
-        table = np.zeros((1024, len(model.langs) + 1), np.float32)
+        known = _ScoredWords(model)
         for batch in it:
             if len(known) > CACHED_WORDS:
-                known = {}
+                known = _ScoredWords(model)
             flat, lengths, owner, paragraphs = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist() if model.langs else []):
                 for paragraph, words in sentences(text):
-                    for w in words:
-                        i = known.get(w)
-                        if i is None:
-                            i = known[w] = len(known)
-                            if i >= len(table):
-                                table = np.concatenate([table, np.zeros_like(table)])
-                            table[i] = model.score(w)
-                        flat.append(i)
+                    flat.extend(map(known.__getitem__, words))
                     lengths.append(len(words))
                     owner.append(row)
                     paragraphs.append(paragraph)
             if lengths:
                 n = np.array(lengths)
-                sums = np.add.reduceat(table[np.array(flat)], np.cumsum(n) - n, axis=0)
+                sums = np.add.reduceat(known.table[np.array(flat)], np.cumsum(n) - n, axis=0)
                 p = model.probabilities(sums.astype(np.float64))
                 # the languages of the rest of a document are the prior of each of its sentences
                 firsts = np.flatnonzero(np.diff(owner, prepend=-1))
