@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekin.operators.graph import dominators, loop_heads
+
 MOST_VISITS = 4  # of one block on one path
 PROBE_DEPTH = 50  # how far an unvisited descendant is looked for
 MOST_PATHS = 500
@@ -187,6 +189,41 @@ def function_paths(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     return _bodies(flow, blocks).select("func_id", counted("blocks").alias("p")).select("func_id", "p.n_paths", "p.n_longest", "p.complete")
 
 
+def function_dominators(flow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(func_id, n_reached, n_depth, n_loops) of each function: blocks reached from the first one,
+    depth of its dominator tree, heads of natural loops."""
+
+    @F.pandas_udf("n_reached int, n_depth int, n_loops int")
+    def counted(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows in column:
+            nexts = {x["bb_id"]: [c for c in (x["next1"], x["next2"]) if c is not None and not pd.isna(c)] for x in rows}
+            entry = rows[0]["bb_id"]
+            idom = dominators(entry, nexts)
+            depth = {entry: 0}
+            for b in idom:
+                chain = [b]
+                while chain[-1] not in depth:
+                    chain.append(idom[chain[-1]])
+                for c in reversed(chain[:-1]):
+                    depth[c] = depth[idom[c]] + 1
+            out.append((len(idom) + 1, max(depth.values()), len(loop_heads(entry, nexts))))
+        return pd.DataFrame(out, columns=["n_reached", "n_depth", "n_loops"])
+
+    return _bodies(flow, blocks).select("func_id", counted("blocks").alias("p")).select("func_id", "p.n_reached", "p.n_depth", "p.n_loops")
+
+
+def orders(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``matches``: whether some order of list ``b`` equals list ``a``; lists of more
+    than eight items, and null lists, do not match."""
+
+    @F.pandas_udf("boolean")
+    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and q is not None and output_orders(list(p), list(q)) is not None for p, q in zip(x, y)], dtype=bool)
+
+    return pairs.withColumn("matches", matched(a, b))
+
+
 def equivalent(pairs: DataFrame, flow: DataFrame, blocks: DataFrame) -> DataFrame:
     """(func1_id, func2_id, status) of the pairs given, after P19-like pruning by counts."""
     body = _bodies(flow, blocks, "stmts")

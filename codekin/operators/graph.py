@@ -138,6 +138,21 @@ def longest_levels(vertices: list[int], edges: list[list[int]]) -> dict[int, int
     return {v: level[of[v]] for v in vertices}
 
 
+def recursive_functions(edges: DataFrame) -> DataFrame:
+    """(func_id) of the functions that can call themselves, directly or through others; one
+    binary's call graph is one group. ``edges`` has file_id, fn_parent, fn_child."""
+
+    def per_file(pdf: pd.DataFrame) -> pd.DataFrame:
+        children: dict[int, list[int]] = {}
+        for a, b in zip(pdf.fn_parent.tolist(), pdf.fn_child.tolist()):
+            children.setdefault(a, []).append(b)
+        parts = strong_components(list(children), children)
+        found = [v for part in parts for v in part if len(part) > 1 or v in children.get(v, ())]
+        return pd.DataFrame({"func_id": pd.Series(found, dtype="int64")})
+
+    return edges.groupBy("file_id").applyInPandas(per_file, "func_id long")
+
+
 def propagate(vertices: DataFrame, edges: DataFrame, weight: str, rounds: int) -> DataFrame:
     """(func_id, weight): a leaf keeps its weight; any other vertex gets half of 0.3 of its
     children's mean plus 0.7 of its own. ``rounds`` steps from the bottom; on a graph without cycles
@@ -208,6 +223,59 @@ def control_flow(blocks: DataFrame) -> DataFrame:
     )
 
 
+def dominators(entry: int, successors: dict[int, list[int]]) -> dict[int, int]:
+    """The immediate dominator of each block that ``entry`` reaches, but itself; by iteration over
+    a reverse postorder."""
+    order: list[int] = []
+    seen = {entry}
+    work = [(entry, iter(successors.get(entry, ())))]
+    while work:
+        block, rest = work[-1]
+        step = next(rest, None)
+        if step is None:
+            order.append(block)
+            work.pop()
+        elif step not in seen:
+            seen.add(step)
+            work.append((step, iter(successors.get(step, ()))))
+    place = {b: i for i, b in enumerate(order)}
+    before: dict[int, list[int]] = {}
+    for b in order:
+        for c in successors.get(b, ()):
+            before.setdefault(c, []).append(b)
+    idom = {entry: entry}
+    changed = True
+    while changed:
+        changed = False
+        for b in reversed(order[:-1]):
+            known = [p for p in before[b] if p in idom]
+            new = known[0]
+            for p in known[1:]:
+                while p != new:
+                    if place[p] < place[new]:
+                        p = idom[p]
+                    else:
+                        new = idom[new]
+            if idom.get(b) != new:
+                idom[b], changed = new, True
+    del idom[entry]
+    return idom
+
+
+def loop_heads(entry: int, successors: dict[int, list[int]]) -> set[int]:
+    """Heads of natural loops: targets of an edge from a block that they dominate."""
+    idom = dominators(entry, successors)
+    out = set()
+    for b in [entry, *idom]:
+        for head in successors.get(b, ()):
+            x: int | None = b
+            while x is not None and x != head:
+                x = idom.get(x)
+            if x == head:
+                out.add(head)
+    return out
+
+
 def qt_clusters(starts: list[int], diameter: int) -> list[int]:
     """Cluster number of each address: again and again the most addresses within ``diameter`` form
     the next cluster; of equal ones the one that starts lowest."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codekin.functions.scalars import adjusted_weight
 from codekin.operators import distance, equivalence, graph, matching
 from codekin.operators.features import blocks, call_edges, frequencies, functions, with_views
-from codekin.plans.scratch import written
+from codekin.plans.scratch import new_path, written
+from codekin.sources import formats
 from codekin.sources.tables import table
 
 ADJUST = 1000.0
@@ -224,10 +225,39 @@ def g11_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equivalence.equivalent(pairs, *_flow(spark, sf_dir))
 
 
+def f17_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that can call themselves."""
+    return graph.recursive_functions(_edges(spark, sf_dir))
+
+
+def g10_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of lifted functions of one name, and whether their block kinds agree in some order."""
+    kind = F.regexp_extract(F.try_element_at("stmts", F.lit(-1)), r"^([a-z]+)\(", 1)
+    kinds = blocks(spark, sf_dir).where("func_id IS NOT NULL").groupBy("func_id").agg(F.collect_list(F.coalesce(kind, F.lit("~"))).alias("kinds"))
+    f = table(spark, sf_dir, "ir_func").groupBy("func_id").agg(F.max(F.btrim("fn_name")).alias("fn_name")).where("fn_name <> ''").join(kinds, "func_id")
+    a = f.select(F.col("func_id").alias("func1_id"), "fn_name", F.col("kinds").alias("a"))
+    b = f.select(F.col("func_id").alias("func2_id"), "fn_name", F.col("kinds").alias("b"))
+    return equivalence.orders(a.join(b, "fn_name").where("func1_id < func2_id"), "a", "b").select("func1_id", "func2_id", "matches")
+
+
+def g23_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dominator trees and natural loops of every lifted function."""
+    return equivalence.function_dominators(*_flow(spark, sf_dir))
+
+
+def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call graphs written as one DOT file set per binary, named by its path's digest: edges read back."""
+    names = table(spark, sf_dir, "bin_file").select("file_id", F.sha1(F.encode("file_path", "UTF-8")).alias("graph"))
+    rows = _edges(spark, sf_dir).join(names.where("graph IS NOT NULL"), "file_id")
+    path = new_path(spark, "graphs")
+    formats.dot_lines(rows, "fn_parent", "fn_child", ["graph"]).select("value", F.regexp_extract("value", 'graph="([0-9a-f]+)"', 1).alias("graph")).repartition("graph").write.partitionBy("graph").text(path)
+    return formats.read_dot(spark, path, ["graph"]).groupBy("graph").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
 _NAMES = (
     "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
     "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
-    "j13_range s21_offsets g12_paths g11_equiv"
+    "j13_range s21_offsets g12_paths g11_equiv f17_recursive g10_orders g23_dominators s13_dot_files"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -267,5 +297,11 @@ LEFT JOIN (SELECT func_id, regexp_extract(s, '^label (pc_0x[0-9a-f]+):', 1) AS t
     "j13_range": with_views("""SELECT DISTINCT doc_id, p.file_id, address, func_id FROM
   (SELECT doc_id, file_id, ('0x' || unnest(regexp_extract_all(text, '0x([0-9a-f]{7})', 1)))::bigint AS address FROM documents) p
 JOIN fn ON fn.file_id = p.file_id AND address >= startea AND address < endea""", "fn"),
+    "f17_recursive": with_views("SELECT DISTINCT a AS func_id FROM cl WHERE a = b", *_V,
+        cl="/* RECURSIVE */ SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT cl.a, fn_child FROM cl JOIN fe ON cl.b = fn_parent"),
+    "g10_orders": with_views("SELECT a.func_id AS func1_id, b.func_id AS func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM nk a JOIN nk b ON a.fn_name = b.fn_name AND a.func_id < b.func_id", "bb",
+        nm="SELECT func_id, max(trim(fn_name)) AS fn_name FROM ir_func GROUP BY 1",
+        nk=r"SELECT func_id, fn_name, k FROM (SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1) JOIN nm USING (func_id) WHERE fn_name <> ''"),
+    "s13_dot_files": with_views("SELECT sha1(file_path) AS graph, count(*) AS n_edges FROM fe JOIN bin_file USING (file_id) GROUP BY 1", *_V),
     "s21_offsets": with_views("SELECT fe.file_id, a.func_name AS caller, b.func_name AS callee, ca - pa AS distance FROM fe JOIN fn a ON a.func_id = fn_parent JOIN fn b ON b.func_id = fn_child WHERE a.func_name IS NOT NULL AND b.func_name IS NOT NULL", *_V),
 }

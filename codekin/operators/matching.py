@@ -154,8 +154,21 @@ def align_scores(candidates: DataFrame, edges: DataFrame, sizes: DataFrame, roun
     )
 
 
+def edit_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edit distance of two graphs, all costs 1: vertices are assigned by the
+    difference of their degrees, as in the bipartite approximation, and the edits of that map counted."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return len(b) + int((b > 0).sum())
+    out, into = (a > 0).sum(1)[:, None] - (b > 0).sum(1)[None, :], (a > 0).sum(0)[:, None] - (b > 0).sum(0)[None, :]
+    to = assignment(np.abs(out) + np.abs(into))
+    kept = ((a > 0) & (b[np.ix_(to, to)] > 0)).sum()
+    return int(len(b) - len(a) + (a > 0).sum() + (b > 0).sum() - 2 * kept)
+
+
 def spectral_matches(edges: DataFrame, subject: DataFrame) -> DataFrame:
-    """G15 for one subject graph and every other file: (file1, file2, score, n1, n2).
+    """G15 and the bound of G16 for one subject graph and every other file: (file1, file2, score, n_edits, n1, n2).
 
     ``edges``: file_id, fn_parent, fn_child; ``subject``: file1 and its edges e1 as one list, on one row.
     A graph is dense here (n x n numbers), so only a subject of at most 20,000 vertices makes sense; its
@@ -181,7 +194,7 @@ def spectral_matches(edges: DataFrame, subject: DataFrame) -> DataFrame:
                     x = adjacency(r.e1)
                     known[r.file1] = x, spectrum(x, len(x))
                 (a, ua), b = known[r.file1], adjacency(r.e2)
-                out.append((r.file1, r.file2, round(umeyama(a, b, ua)[1], 6), len(a), len(b)))
-            yield pd.DataFrame(out, columns=["file1", "file2", "score", "n1", "n2"])
+                out.append((r.file1, r.file2, round(umeyama(a, b, ua)[1], 6), edit_bound(a, b), len(a), len(b)))
+            yield pd.DataFrame(out, columns=["file1", "file2", "score", "n_edits", "n1", "n2"])
 
-    return rows.select("file1", "file2", "e1", "e2").mapInPandas(batches, "file1 long, file2 long, score double, n1 int, n2 int")
+    return rows.select("file1", "file2", "e1", "e2").mapInPandas(batches, "file1 long, file2 long, score double, n_edits int, n1 int, n2 int")

@@ -102,6 +102,21 @@ def s24_gml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.gml_lines(v, e)
 
 
+def s09_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, sizes and digests of the Parquet files of the folder, by their first bytes."""
+    return formats.files_in(spark, sf_dir, "*.parquet", b"PAR1").select("name", "size", "file_sha1", "path_sha1")
+
+
+def s25_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function openings written as signature lines and read back."""
+    code = s06_opcodes(spark, sf_dir).where(F.length("code") >= 16)
+    line = F.concat(F.upper(F.substring("code", 1, 12)), F.lit(".... 08 8ED9 "), F.lpad(F.hex(F.least(F.length("code") / 2, F.lit(65535)).cast("long")), 4, "0"), F.lit(" :0000 f"), F.col("func_id").cast("string"))
+    path = new_path(spark, "signatures")
+    code.select(line.alias("value")).write.text(path)
+    rows = formats.signatures(spark.read.text(path))
+    return rows.select("pattern", "crc_length", "length", F.regexp_extract(F.col("names")[0], r"f(\d+)$", 1).cast("long").alias("func_id"))
+
+
 #: Signatures of three function openings over the codes of ``s06_opcodes``, ``..`` for any byte.
 _OPS = {name: hashlib.md5(name.encode()).hexdigest()[:4] for name in ("label", "lea", "push", "mov", "T_", "mem")}
 SIGNATURES = (_OPS["label"] + _OPS["T_"] + "...." + _OPS["T_"], _OPS["mem"] + _OPS["mem"], _OPS["T_"] + _OPS["label"])
@@ -291,7 +306,7 @@ def x01_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    "s01_functions s03_small_blocks s06_opcodes s11_dot s14_xml s17_gdl_nodes s17_gdl_edges s17_compact s18_random s20_lines s22_markers s24_gml e01_exact "
+    "s09_files s25_signatures s01_functions s03_small_blocks s06_opcodes s11_dot s14_xml s17_gdl_nodes s17_gdl_edges s17_compact s18_random s20_lines s22_markers s24_gml e01_exact "
     "d07_cyccomp d11_digests d12_function_digest d14_hashes d15_escaped d16_paths d18_opcode_length d20_elapsed d24_machine w01_ngrams w02_first_copy "
     "w04_upsert w05_boundary u05_ignore u06_ids u08_update u09_reserved t04_loads j08_paths j10_scalar j11_lookup f12_pending f13_unseen a11_extent "
     "a15_instructions a18_frames x01_worker"
@@ -324,6 +339,7 @@ SELECT gdl_id, count(*) AS n_nodes, coalesce(string_agg(label || ' ' || k || ' '
 FROM documents WHERE contains(text, 'checksum') OR contains(text, 'opcodes')""",
     "s24_gml": with_views("""SELECT '  node [ id ' || func_id || ' label "' || replace(coalesce(func_name, ''), '"', '''') || '" ]' AS value FROM fn
 UNION ALL SELECT '  edge [ source ' || fn_parent || ' target ' || fn_child || ' ]' FROM fe""", *_GRAPH),
+    "s25_signatures": with_views("SELECT upper(code[1:12]) || '....' AS pattern, 8 AS crc_length, least(length(code) // 2, 65535)::bigint AS length, func_id FROM co WHERE length(code) >= 16", "bb", "st", "op", co=_CODE),
     "e01_exact": with_views("SELECT file_id, min(CASE WHEN " + " OR ".join(f"regexp_matches(code, '^{p}')" for p in SIGNATURES) + " THEN 0 ELSE 1 END)::int AS is_diff FROM co JOIN fn USING (func_id) GROUP BY 1", "fn", "bb", "st", "op",
         co="SELECT DISTINCT bb.func_id, coalesce(c.code, '') AS code FROM bb LEFT JOIN (" + _CODE + ") c USING (func_id) WHERE bb.func_id IS NOT NULL"),
     "d07_cyccomp": with_views("SELECT func_id, d::bigint AS decisions, x::bigint AS exits, (d - x + 2)::bigint AS cyccomp FROM (SELECT func_id, sum(len(list_filter(stmts, lambda s: starts_with(s, 'jmp(') OR starts_with(s, 'cjmp(')))) AS d, sum((NOT coalesce(starts_with(stmts[-1], 'jmp(') OR starts_with(stmts[-1], 'cjmp('), false))::int) AS x FROM bb WHERE func_id IS NOT NULL GROUP BY 1)", "bb"),

@@ -165,3 +165,22 @@ def test_formats(spark, tmp_path):
     (tmp_path / "f" / "b.bin").write_bytes(b"text")
     assert [(r["name"], r["size"]) for r in formats.files_in(spark, str(tmp_path / "f"), magic=b"\x7fELF").collect()] == [("a.bin", 5)]
     assert formats.random_graph(spark, 10, 100).count() == 100
+
+
+def test_dominators_and_loops():
+    flow = {1: [2, 3], 2: [4], 3: [4], 4: [2, 5], 5: [5, 6], 6: [], 9: [1]}
+    assert graph.dominators(1, flow) == {2: 1, 3: 1, 4: 1, 5: 4, 6: 5}
+    assert graph.loop_heads(1, flow) == {5} and graph.loop_heads(1, {1: [2], 2: [3], 3: [2, 1]}) == {1, 2}
+    assert graph.dominators(1, {1: []}) == {}
+
+
+def test_edit_bound():
+    a = np.array([[0, 1], [0, 0]])
+    assert matching.edit_bound(a, a) == 0 == matching.edit_bound(a, a.T) and matching.edit_bound(a, np.zeros((0, 0))) == 3
+    assert matching.edit_bound(a, np.pad(a, (0, 1))) == 1
+
+
+def test_recursion(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 2), (1, 4, 4), (2, 5, 6)], "file_id long, fn_parent long, fn_child long")
+    assert sorted(r["func_id"] for r in graph.recursive_functions(e).collect()) == [2, 3, 4]
+    assert graph.recursive_functions(e.where("file_id > 5")).count() == 0
