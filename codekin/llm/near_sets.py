@@ -106,7 +106,7 @@ def classes(sets: DataFrame, id_col: str, tokens_col: str, least: int) -> tuple[
     reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     members = written(keyed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep"), "members")
     distinct = keyed.join(members.where("id = rep").select("id"), "id", "left_semi")
-    return distinct.select(F.col("id").alias("rep"), "tokens"), members
+    return written(distinct.select(F.col("id").alias("rep"), "tokens"), "distinct"), members
 
 
 def _bound(a: dict[str, Column], b: dict[str, Column]) -> Column:
