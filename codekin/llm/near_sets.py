@@ -11,7 +11,8 @@ Top level of the tree: two sets that are alike share one of the first n - ceil(t
 each in any common order, so records are routed to one subtree per such token, rare tokens first
 (a bounded list of frequent tokens, found by a sketch, is moved to the end of the order; any list
 is valid, it only decides sizes). Below: leaves of about ``LEAF`` points that share a minimum hash,
-each with its corner and its range of set sizes. A record visits only the leaves of its subtrees
+each with its corner and its range of set sizes. A subtree of very many records is searched by several
+tasks. A record visits only the leaves of its subtrees
 that its bound cannot exclude; surviving pairs are verified on the whole sets. Exact copies are
 represented by one record throughout.
 """
@@ -30,6 +31,7 @@ from codekin.plans.scratch import written
 GROUPS, BITS = 64, 4  # coordinates of a point, and unary bits of each
 WORDS = GROUPS * BITS // 64
 LEAF = 64
+SPLIT = 4096  # a subtree of more records is searched by several tasks, each with all of its corners
 FREQUENT = 5000  # at most so many frequent tokens are moved to the end of the order
 _V = [f"v{i}" for i in range(WORDS)]
 
@@ -136,20 +138,25 @@ def similar_pairs(distinct: DataFrame, threshold: float) -> DataFrame:
     members = (
         routed.join(shared, "key")
         .join(points.drop("keys"), "rep")
-        .select("key", F.pmod("cluster", F.ceil(F.col("c") / LEAF)).cast("int").alias("leaf"), "rep", "n", "over", *_V)
-    )
+        .select(
+            "key", F.pmod("cluster", F.ceil(F.col("c") / LEAF)).cast("int").alias("leaf"), "rep", "n", "over", *_V,
+            F.ceil(F.col("c") / SPLIT).cast("int").alias("tasks"),
+        )
+    )
     members = written(members, "members")
     corners = members.groupBy("key", "leaf").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
+        F.max("tasks").alias("tasks"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
     )
+    corners = corners.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
     share = threshold / (1 + threshold)
     t, slack = F.lit(threshold), F.lit(1e-9)
-    p, c, q = members.alias("p"), corners.alias("c"), members.alias("q")
+    probes = members.withColumn("task", F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int"))
+    p, c, q = probes.alias("p"), corners.alias("c"), members.alias("q")
 
     def side(name: str) -> dict[str, Column]:
         return {x: F.col(f"{name}.{x}") for x in ("over", *_V)}
 
-    visits = p.join(c, F.col("p.key") == F.col("c.key")).where(
+    visits = p.join(c, (F.col("p.key") == F.col("c.key")) & (F.col("p.task") == F.col("c.task"))).where(
         (F.col("c.most") + slack >= t * F.col("p.n"))
         & (F.col("p.n") + slack >= t * F.col("c.least"))
         & (_bound(side("p"), side("c")) + slack >= F.lit(share) * (F.col("p.n") + F.greatest("c.least", F.ceil(t * F.col("p.n") - slack))))
