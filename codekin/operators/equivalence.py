@@ -168,6 +168,51 @@ def compare_paths(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]], sample
         return "ERR_IR"
 
 
+_MOVE = re.compile(r"^([A-Za-z_]\w*):reg32_t = ([A-Za-z_]\w*):reg32_t(?: ([+-]) 0x([0-9a-f]+):reg32_t)?;$")
+_TARGET = re.compile(r"^([A-Za-z_]\w*):reg\d+_t = ")
+
+
+def register_offsets(statements: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """Of each register, the register whose first value it holds and by how much it differs.
+
+    Only moves, additions and subtractions of constants are followed; any other write ends a chain."""
+    known: dict[str, tuple[str, int]] = {}
+    for s in statements:
+        if m := _MOVE.match(s):
+            base, offset = known.get(m[2], (m[2], 0))
+            step = int(m[4], 16) if m[4] else 0
+            offset += -step if m[3] == "-" else step
+            if base:
+                known[m[1]] = (base, (offset + 2**31) % 2**32 - 2**31)
+                continue
+        if m := _TARGET.match(s):
+            known[m[1]] = ("", 0)
+    return {k: v for k, v in known.items() if v[0] and v != (k, 0)}
+
+
+def block_offsets(blocks: DataFrame) -> DataFrame:
+    """(bb_id, register, base, offset) at the end of each block."""
+
+    @F.pandas_udf("array<struct<register string, base string, offset long>>")
+    def tracked(column: pd.Series) -> pd.Series:
+        return column.map(lambda s: [(k, b, o) for k, (b, o) in sorted(register_offsets(list(s)).items())])
+
+    return blocks.select("bb_id", F.explode(tracked("stmts")).alias("x")).select("bb_id", "x.register", "x.base", "x.offset")
+
+
+def block_outputs(blocks: DataFrame) -> DataFrame:
+    """(bb_id, n_conditions, n_registers, n_stores, n_returns): what a block adds to a path: its path
+    conditions, distinct machine registers written, stores to memory, and returns (a last statement
+    that is no jump)."""
+    count = lambda test: F.size(F.filter("stmts", test))
+    registers = F.array_distinct(F.filter(F.transform("stmts", lambda s: F.regexp_extract(s, r"^(R_[A-Z]+):reg\d+_t = ", 1)), lambda r: r != ""))
+    last = F.try_element_at("stmts", F.lit(-1))
+    return blocks.select(
+        "bb_id", count(lambda s: s.startswith("cjmp(")).alias("n_conditions"), F.size(registers).alias("n_registers"),
+        count(lambda s: s.startswith("mem[")).alias("n_stores"), F.coalesce(~last.rlike(r"^c?jmp\("), F.lit(True)).cast("int").alias("n_returns"),
+    )
+
+
 def _bodies(flow: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
     """(func_id, blocks): a function's blocks in order, with their successors; its blocks bound the row."""
     body = flow.join(blocks.select("bb_id", "bb_no", *columns), "bb_id")

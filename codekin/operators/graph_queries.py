@@ -240,6 +240,16 @@ def g10_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equivalence.orders(a.join(b, "fn_name").where("func1_id < func2_id"), "a", "b").select("func1_id", "func2_id", "matches")
 
 
+def g13_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path conditions and outputs of every block."""
+    return equivalence.block_outputs(blocks(spark, sf_dir))
+
+
+def g14_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers that hold another one's first value plus a constant, at the end of every block."""
+    return equivalence.block_offsets(blocks(spark, sf_dir))
+
+
 def g23_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominator trees and natural loops of every lifted function."""
     return equivalence.function_dominators(*_flow(spark, sf_dir))
@@ -257,7 +267,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
     "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
-    "j13_range s21_offsets g12_paths g11_equiv f17_recursive g10_orders g23_dominators s13_dot_files"
+    "j13_range s21_offsets g12_paths g11_equiv f17_recursive g10_orders g13_outputs g14_offsets g23_dominators s13_dot_files"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -302,6 +312,9 @@ JOIN fn ON fn.file_id = p.file_id AND address >= startea AND address < endea""",
     "g10_orders": with_views("SELECT a.func_id AS func1_id, b.func_id AS func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM nk a JOIN nk b ON a.fn_name = b.fn_name AND a.func_id < b.func_id", "bb",
         nm="SELECT func_id, max(trim(fn_name)) AS fn_name FROM ir_func GROUP BY 1",
         nk=r"SELECT func_id, fn_name, k FROM (SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1) JOIN nm USING (func_id) WHERE fn_name <> ''"),
+    "g13_outputs": with_views(r"""SELECT bb_id, len(list_filter(stmts, lambda s: starts_with(s, 'cjmp(')))::int AS n_conditions,
+  len(list_distinct(list_filter(list_transform(stmts, lambda s: regexp_extract(s, '^(R_[A-Z]+):reg\d+_t = ', 1)), lambda r: r <> '')))::int AS n_registers,
+  len(list_filter(stmts, lambda s: starts_with(s, 'mem[')))::int AS n_stores, coalesce(NOT regexp_matches(stmts[-1], '^c?jmp\('), true)::int AS n_returns FROM bb""", "bb"),
     "s13_dot_files": with_views("SELECT sha1(file_path) AS graph, count(*) AS n_edges FROM fe JOIN bin_file USING (file_id) GROUP BY 1", *_V),
     "s21_offsets": with_views("SELECT fe.file_id, a.func_name AS caller, b.func_name AS callee, ca - pa AS distance FROM fe JOIN fn a ON a.func_id = fn_parent JOIN fn b ON b.func_id = fn_child WHERE a.func_name IS NOT NULL AND b.func_name IS NOT NULL", *_V),
 }

@@ -184,3 +184,21 @@ def test_recursion(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 2), (1, 4, 4), (2, 5, 6)], "file_id long, fn_parent long, fn_child long")
     assert sorted(r["func_id"] for r in graph.recursive_functions(e).collect()) == [2, 3, 4]
     assert graph.recursive_functions(e.where("file_id > 5")).count() == 0
+
+
+def test_register_offsets():
+    s = ["T_1:reg32_t = R_ESP:reg32_t + 0x8:reg32_t;", "T_2:reg32_t = T_1:reg32_t - 0xc:reg32_t;", "R_EAX:reg32_t = T_2:reg32_t;", "T_1:reg32_t = mem[R_EBX:reg32_t]:reg32_t;", "R_ECX:reg32_t = T_1:reg32_t;"]
+    assert equivalence.register_offsets(s) == {"T_2": ("R_ESP", -4), "R_EAX": ("R_ESP", -4)}
+    assert equivalence.register_offsets([]) == {}
+
+
+def test_database(spark, tmp_path):
+    from codekin.sources import database
+
+    spark.range(5).write.parquet(str(tmp_path / "a" / "t.parquet"))
+    database.dump(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"])
+    (tmp_path / "b" / "t.parquet" / "bad.parquet").write_bytes(b"no parquet")
+    assert database.repair(spark, str(tmp_path / "b"), str(tmp_path / "c"), "t") == 5
+    assert database.load(spark, str(tmp_path / "c"), ["t"])["t"].count() == 5
+    database.truncate(spark, str(tmp_path / "c"), "t")
+    assert spark.read.parquet(str(tmp_path / "c" / "t.parquet")).count() == 0
