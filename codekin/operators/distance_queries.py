@@ -287,6 +287,7 @@ LEFT JOIN dt USING (func1_id, func2_id) LEFT JOIN sq s1 ON s1.func_id = func1_id
 FROM (SELECT func1_id, func2_id, a.m AS m1, b.m AS m2, (a.k * a.v + b.k * b.v) / (a.k + b.k) AS v FROM pr LEFT JOIN mv a ON a.func_id = func1_id LEFT JOIN mv b ON b.func_id = func2_id)""",
         pr=_PAIRS, mv="SELECT func_id, count(*) AS k, avg(freq) AS m, var_pop(freq) AS v FROM fq GROUP BY 1"),
     "d05_levenshtein": _sql("SELECT func_id, levenshtein(func_name, fn_name)::int AS distance FROM fn JOIN nm USING (func_id) WHERE func_name IS NOT NULL AND fn_name IS NOT NULL", "fn", nm=_NAMES),
+    "d06_damerau": _sql("SELECT func_id, damerau_levenshtein(func_name, fn_name)::int AS distance FROM fn JOIN nm USING (func_id) WHERE func_name IS NOT NULL AND fn_name IS NOT NULL", "fn", nm=_NAMES),
     "f01_gates": _cosine_sql("SELECT func1_id, func2_id, cosim FROM ga WHERE dist = 1"),
     "f04_import_subset": _sql(
         """SELECT func1_id, func2_id FROM pr LEFT JOIN ic a ON a.func_id = func1_id LEFT JOIN

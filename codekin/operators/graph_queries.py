@@ -272,6 +272,15 @@ _NAMES = (
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _V = ("fn", "ce", "fe")
+_SUBJECT = "SELECT file_id FROM fn GROUP BY 1 ORDER BY count(*) DESC, file_id LIMIT 1"
+_COSTS = {
+    "sb": _SUBJECT,
+    "sq": "SELECT func_id, sum(freq * freq)::bigint AS s FROM fq GROUP BY 1",
+    "dt": "SELECT q.func_id AS f1, a.func_id AS f2, sum(q.freq * a.freq)::bigint AS dot FROM fq q JOIN fn ON fn.func_id = q.func_id JOIN fq a USING (ngram) WHERE fn.file_id = (SELECT * FROM sb) GROUP BY 1, 2",
+    "co": """SELECT q.file_id AS file1, a.file_id AS file2, f1, f2, round(1 - dot / (sqrt(x.s) * sqrt(y.s)), 6) AS cost FROM dt JOIN fn q ON q.func_id = f1 JOIN fn a ON a.func_id = f2
+  JOIN sq x ON x.func_id = f1 JOIN sq y ON y.func_id = f2 WHERE q.file_id <> a.file_id AND a.num_ngrams <= 3 * q.num_ngrams AND q.num_ngrams <= 3 * a.num_ngrams
+  AND round(1 - dot / (sqrt(x.s) * sqrt(y.s)), 6) < 0.4 AND coalesce(q.cyccomp <= a.cyccomp + greatest(2, floor(0.2 * q.cyccomp)), false)""",
+}
 _SPILL = """SELECT src, fn_parent, fn_child, hop FROM h1 UNION ALL
 SELECT DISTINCT s.src, e.fn_parent, e.fn_child, 2 FROM (SELECT src, fn_parent AS v FROM h1 UNION SELECT src, fn_child FROM h1) s JOIN fe e ON v IN (e.fn_parent, e.fn_child)
 WHERE (s.src, e.fn_parent, e.fn_child) NOT IN (SELECT (src, fn_parent, fn_child) FROM h1)"""
@@ -307,6 +316,13 @@ LEFT JOIN (SELECT func_id, regexp_extract(s, '^label (pc_0x[0-9a-f]+):', 1) AS t
     "j13_range": with_views("""SELECT DISTINCT doc_id, p.file_id, address, func_id FROM
   (SELECT doc_id, file_id, ('0x' || unnest(regexp_extract_all(text, '0x([0-9a-f]{7})', 1)))::bigint AS address FROM documents) p
 JOIN fn ON fn.file_id = p.file_id AND address >= startea AND address < endea""", "fn"),
+    "g19_neighbours": with_views("""SELECT co.f1 AS func1_id, co.f2 AS func2_id, round(child, 6) AS child, round(parent, 6) AS parent FROM co
+LEFT JOIN (SELECT p1, p2, avg(cc) AS child FROM nb GROUP BY 1, 2) c ON c.p1 = co.f1 AND c.p2 = co.f2 LEFT JOIN (SELECT c1, c2, avg(pc) AS parent FROM nb GROUP BY 1, 2) p ON p.c1 = co.f1 AND p.c2 = co.f2""",
+        "fn", "ce", "fe", "bb", "st", "op", "gr", "fq", **_COSTS,
+        nb="SELECT p.f1 AS p1, p.f2 AS p2, c.f1 AS c1, c.f2 AS c2, c.cost AS cc, p.cost AS pc FROM co c JOIN fe e1 ON e1.fn_child = c.f1 JOIN fe e2 ON e2.fn_child = c.f2 JOIN co p ON p.f1 = e1.fn_parent AND p.f2 = e2.fn_parent"),
+    "g21_groups": with_views("SELECT a AS func_id, min(b) AS component FROM cl GROUP BY 1", "fn", "bb", "st", "op", "gr", "fq", **_COSTS,
+        un="SELECT f1 AS a, f2 AS b FROM co UNION SELECT f2, f1 FROM co",
+        cl="/* RECURSIVE */ SELECT a, a AS b FROM un UNION SELECT cl.a, un.b FROM cl JOIN un ON cl.b = un.a"),
     "f17_recursive": with_views("SELECT DISTINCT a AS func_id FROM cl WHERE a = b", *_V,
         cl="/* RECURSIVE */ SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT cl.a, fn_child FROM cl JOIN fe ON cl.b = fn_parent"),
     "g10_orders": with_views("SELECT a.func_id AS func1_id, b.func_id AS func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM nk a JOIN nk b ON a.fn_name = b.fn_name AND a.func_id < b.func_id", "bb",
