@@ -181,10 +181,14 @@ def similar_pairs(distinct: DataFrame, threshold: float) -> DataFrame:
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: ``similar_pairs`` of representatives carried over to all records,
-    with the pairs of exact copies."""
+    with the pairs of exact copies. A large group of copies is paired by several tasks."""
     a, b = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b")
-    copies = a.join(b, (F.col("a") == F.col("b")) & (F.col("ia") < F.col("ib")))
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("tasks"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    many = members.join(sizes.drop("c"), "rep")
+    one = many.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"))
+    two = many.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("of"))
+    copies = one.join(two, (F.col("a") == F.col("b")) & (F.col("task") == F.col("of")) & (F.col("ia") < F.col("ib")))
     return across.select("ia", "ib").union(copies.select("ia", "ib")).select(
         F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")
     )
