@@ -16,10 +16,12 @@ FOUND_SHARE = 0.01
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, distinct files and first and last sight of every name, heavy names included."""
+    """Rows, distinct files and first and last sight (in microseconds) of every name, heavy names included."""
     parts = [
         balanced_profile(table(spark, sf_dir, t), cleaned(f), "file_id", "seen_at")
-        .select(F.lit(f).alias("field_name"), "key_value", "n_rows", "n_files", "first_seen", "last_seen")
+        .select(
+            F.lit(f).alias("field_name"), "key_value", "n_rows", "n_files", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen")
+        )
         for f, t in FIELDS
     ]
     return parts[0].unionByName(parts[1])
@@ -53,7 +55,7 @@ SELECT r.field_name, r.key_value FROM r JOIN t USING (field_name) WHERE key_valu
 GROUP BY r.field_name, r.key_value, t.n HAVING count(*) * 100 >= t.n""",
     "p1_profile": f"""WITH r AS ({_NAMES})
 SELECT field_name, key_value, count(*) AS n_rows, count(DISTINCT file_id) AS n_files,
-  min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM r WHERE key_value IS NOT NULL GROUP BY 1, 2""",
+  epoch_us(min(seen_at)) AS first_seen, epoch_us(max(seen_at)) AS last_seen FROM r WHERE key_value IS NOT NULL GROUP BY 1, 2""",
     "p5_found": r"""WITH f AS (SELECT gdl_id, file_id,
   coalesce(nullif(ltrim(lower(regexp_extract(title, '(?:^|[^0-9A-Za-z])(?:0[xX])?([0-9A-Fa-f]+)[hH]?["''\s]*$', 1)), '0'), ''),
     CASE WHEN regexp_matches(title, '(?:^|[^0-9A-Za-z])(?:0[xX])?0+[hH]?["''\s]*$') THEN '0' ELSE trim(title) END) AS addr,

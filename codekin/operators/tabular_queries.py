@@ -173,7 +173,7 @@ def d18_opcode_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d20_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds from a graph file row's sight to its load, for nodes."""
     rows = table(spark, sf_dir, "gdl_node").where("seen_at IS NOT NULL AND loaded_at IS NOT NULL")
-    return rows.select("node_id", "loaded_at", scalars.elapsed_ms(F.col("seen_at"), F.col("loaded_at")).alias("elapsed_ms"))
+    return rows.select("node_id", scalars.elapsed_ms(F.col("seen_at"), F.col("loaded_at")).alias("elapsed_ms"))
 
 
 def d24_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def w04_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph nodes after all their deliveries: the last write wins."""
     rows = table(spark, sf_dir, "gdl_node").where("loaded_at IS NOT NULL").select("node_id", "title", "color", "loaded_at")
     late = F.col("loaded_at") >= F.lit("2011-12-01").cast("timestamp")
-    return writes.upsert(rows.where(~late), rows.where(late), ["node_id"], "loaded_at").select("node_id", "loaded_at", F.coalesce("title", F.lit("")).alias("title"))
+    return writes.upsert(rows.where(~late), rows.where(late), ["node_id"], "loaded_at").select("node_id", F.unix_micros("loaded_at").alias("loaded_us"), F.coalesce("title", F.lit("")).alias("title"))
 
 
 def w05_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,13 +348,13 @@ UNION ALL SELECT '  edge [ source ' || fn_parent || ' target ' || fn_child || '
     "d15_escaped": r"""SELECT gdl_id, array_to_string(list_transform(string_split(title, ''), lambda c: CASE WHEN regexp_matches(c, '[\x00-\x1f\x7f\\"'']') THEN '\' || lpad(lower(to_hex(ascii(c))), 2, '0') ELSE c END), '') AS title FROM gdl_file WHERE title IS NOT NULL""",
     "d16_paths": "SELECT file_id, regexp_extract(p, '^/+([^/]+)/', 1) AS node, regexp_extract(p, '^/+[^/]+(/.*)$', 1) AS rest FROM (SELECT file_id, regexp_replace(file_path, '/{2,}', '/', 'g') AS p FROM bin_file)",
     "d18_opcode_length": "SELECT file_id, (CASE WHEN file_sha1 IS NULL OR length(file_sha1) < 2 THEN 0 WHEN lower(file_sha1[1:2]) <> '0f' THEN 1 WHEN file_sha1[3:4] IN ('38', '3a') THEN 3 ELSE 2 END)::int AS n_bytes FROM bin_file",
-    "d20_elapsed": "SELECT node_id, loaded_at, (floor(us / 1000000) * 1000 + ceil((us - floor(us / 1000000) * 1000000) / 1000))::bigint AS elapsed_ms FROM (SELECT node_id, loaded_at, epoch_us(loaded_at) - epoch_us(seen_at) AS us FROM gdl_node WHERE seen_at IS NOT NULL AND loaded_at IS NOT NULL)",
+    "d20_elapsed": "SELECT node_id, (floor(us / 1000000) * 1000 + ceil((us - floor(us / 1000000) * 1000000) / 1000))::bigint AS elapsed_ms FROM (SELECT node_id, loaded_at, epoch_us(loaded_at) - epoch_us(seen_at) AS us FROM gdl_node WHERE seen_at IS NOT NULL AND loaded_at IS NOT NULL)",
     "d24_machine": with_views("""SELECT func_id, xor(a, f) AS r_not, (a + b) & f AS r_add, (a - b) & f AS r_sub, a & b AS r_and, a | b AS r_or, xor(a, b) AS r_xor, CASE WHEN b = 0 THEN f ELSE a // b END AS r_div,
   CASE WHEN b = 0 THEN a ELSE a % b END AS r_mod, (a = b)::bigint AS r_eq, (a < b)::bigint AS r_ult, (a < b)::bigint AS r_slt
 FROM (SELECT func_id, startea & 4294967295 AS a, func_size & 4294967295 AS b, 4294967295::bigint AS f FROM fn WHERE startea IS NOT NULL AND func_size IS NOT NULL)""", "fn"),
     "w01_ngrams": with_views("SELECT func_id, ngram, freq FROM fq", "bb", "st", "op", "gr", "fq"),
     "w02_first_copy": "SELECT client_id, file_sha1, file_id, file_path FROM (SELECT *, row_number() OVER (PARTITION BY client_id, file_sha1 ORDER BY file_id) AS r FROM bin_file WHERE file_sha1 IS NOT NULL) WHERE r = 1",
-    "w04_upsert": "SELECT node_id, loaded_at, coalesce(title, '') AS title FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC, title DESC NULLS LAST, color DESC NULLS LAST) AS r FROM gdl_node WHERE loaded_at IS NOT NULL) WHERE r = 1",
+    "w04_upsert": "SELECT node_id, epoch_us(loaded_at) AS loaded_us, coalesce(title, '') AS title FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC, title DESC NULLS LAST, color DESC NULLS LAST) AS r FROM gdl_node WHERE loaded_at IS NOT NULL) WHERE r = 1",
     "w05_boundary": with_views("SELECT file_id, func_id, coalesce(lead(startea) OVER (PARTITION BY file_id ORDER BY startea, func_id), max(endea) OVER (PARTITION BY file_id)) AS boundary FROM fn WHERE startea IS NOT NULL", "fn"),
     "u05_ignore": r"SELECT DISTINCT n AS name FROM (SELECT nullif(trim(targetname, e' \t\r\n'), '') AS n FROM gdl_edge) WHERE n IS NOT NULL AND n NOT IN (SELECT trim(title, e' \t\r\n') FROM gdl_node WHERE title IS NOT NULL)",
     "u06_ids": with_views("SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT name FROM im)", "im"),
