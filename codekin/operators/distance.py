@@ -7,7 +7,7 @@ the n-gram and one aggregation, combined before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,23 +23,26 @@ def vector_stats(freq: DataFrame) -> DataFrame:
     return freq.groupBy("func_id").agg(F.count(F.lit(1)).alias("k"), F.sum(f).alias("total"), F.sum(f * f).alias("squares"))
 
 
-def ratio_pairs(queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True) -> DataFrame:
+def ratio_pairs(queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """(func1_id, func2_id): a query function and each function whose count is within ``ratio``.
 
     Both have func_id, file_id and num_ngrams. Null counts and those below 1 match nothing. Counts are
-    put into buckets of powers of ``ratio``; partners lie in the same or a neighbouring bucket."""
+    put into buckets of powers of ``ratio``; partners lie in the same or a neighbouring bucket. Columns
+    to ``carry`` come along from both sides with 1 and 2 behind their names, which saves joining them
+    to the pairs later."""
     bucket = F.floor(F.log(float(ratio), F.col("num_ngrams").cast("double")) + F.lit(1e-12)).cast("int")
     q = queries.where("num_ngrams > 0").select(
-        F.col("func_id").alias("func1_id"), F.col("file_id").alias("file1"), F.col("num_ngrams").alias("n1"),
-        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"),
+        F.col("func_id").alias("func1_id"), F.col("file_id").alias("__file1"), F.col("num_ngrams").alias("__n1"),
+        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"), *[F.col(c).alias(f"{c}1") for c in carry],
     )
     a = functions.where("num_ngrams > 0").select(
-        F.col("func_id").alias("func2_id"), F.col("file_id").alias("file2"), F.col("num_ngrams").alias("n2"), bucket.alias("bucket")
-    )
-    near = (F.col("n2") <= ratio * F.col("n1")) & (F.col("n1") <= ratio * F.col("n2"))
+        F.col("func_id").alias("func2_id"), F.col("file_id").alias("__file2"), F.col("num_ngrams").alias("__n2"), bucket.alias("__bucket"),
+        *[F.col(c).alias(f"{c}2") for c in carry],
+    )
+    near = (F.col("__n2") <= ratio * F.col("__n1")) & (F.col("__n1") <= ratio * F.col("__n2"))
     if other_file:
-        near &= F.col("file1") != F.col("file2")
-    return q.join(a, "bucket").where(near).select("func1_id", "func2_id")
+        near &= F.col("__file1") != F.col("__file2")
+    return q.join(a, "__bucket").where(near).drop("__bucket", "__file1", "__file2", "__n1", "__n2")
 
 
 def dot_products(queries: DataFrame, freq: DataFrame) -> DataFrame:
@@ -50,34 +53,27 @@ def dot_products(queries: DataFrame, freq: DataFrame) -> DataFrame:
     return q.join(a, "ngram").groupBy("func1_id", "func2_id").agg(F.sum(F.col("f1") * F.col("f2")).alias("dot"))
 
 
-def _with_stats(pairs: DataFrame, freq: DataFrame) -> DataFrame:
-    stats = vector_stats(freq)
-    one = stats.select(F.col("func_id").alias("func1_id"), *[F.col(c).alias(f"{c}1") for c in ("k", "total", "squares")])
-    two = stats.select(F.col("func_id").alias("func2_id"), *[F.col(c).alias(f"{c}2") for c in ("k", "total", "squares")])
-    return pairs.join(one, "func1_id", "left").join(two, "func2_id", "left")
+STATS = ("k", "total", "squares")
 
 
-def cosine(pairs: DataFrame, queries: DataFrame, freq: DataFrame) -> DataFrame:
+def cosine() -> Column:
     """1 - cosine, to 6 places; 1 where no n-gram is shared, empty vectors included."""
-    rows = _with_stats(pairs.join(dot_products(queries, freq), ["func1_id", "func2_id"], "left"), freq)
     value = 1 - F.col("dot") / (F.sqrt("squares1") * F.sqrt("squares2"))
-    return rows.select("func1_id", "func2_id", F.coalesce(F.round(value, DECIMALS), F.lit(1.0)).alias("value"))
+    return F.coalesce(F.round(value, DECIMALS), F.lit(1.0))
 
 
-def euclidean(pairs: DataFrame, queries: DataFrame, freq: DataFrame) -> DataFrame:
+def euclidean() -> Column:
     """Root of the summed squared differences, as |a|^2 + |b|^2 - 2 a.b; an empty vector is zero."""
-    rows = _with_stats(pairs.join(dot_products(queries, freq), ["func1_id", "func2_id"], "left"), freq)
     zero = F.lit(0).cast("long")
     square = F.coalesce("squares1", zero) + F.coalesce("squares2", zero) - 2 * F.coalesce("dot", zero)
-    return rows.select("func1_id", "func2_id", F.round(F.sqrt(square.cast("double")), DECIMALS).alias("value"))
+    return F.round(F.sqrt(square.cast("double")), DECIMALS)
 
 
-def mahalanobis(pairs: DataFrame, queries: DataFrame, freq: DataFrame) -> DataFrame:
+def mahalanobis() -> Column:
     """D3: difference of means over the pooled deviation of the stored frequencies.
 
     0 where means and deviations vanish, infinity where only the deviation does, null where a vector
     is empty."""
-    rows = _with_stats(pairs, freq)
     m1, m2 = F.col("total1") / F.col("k1"), F.col("total2") / F.col("k2")
     # k * variance = squares - total^2 / k, in whole numbers over k1 * k2 so that zero is exact
     spread = (F.col("squares1") * F.col("k1") - F.col("total1") * F.col("total1")) * F.col("k2") + (
@@ -90,16 +86,23 @@ def mahalanobis(pairs: DataFrame, queries: DataFrame, freq: DataFrame) -> DataFr
         .when(spread == 0, float("inf"))
         .otherwise(F.sqrt((m1 - m2) * (m1 - m2) / pooled))
     )
-    return rows.select("func1_id", "func2_id", F.round(value, DECIMALS).alias("value"))
+    return F.round(value, DECIMALS)
 
 
-#: Metrics by name: a new one is a function of (pairs, queries, frequencies).
-METRICS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {"cosim": cosine, "euclid": euclidean, "mahal": mahalanobis}
+#: Metrics by name: a column over both vectors' ``STATS`` (with 1 and 2 behind their names) and, if the
+#: second entry is set, their dot product ``dot``.
+METRICS: dict[str, tuple[Callable[[], Column], bool]] = {"cosim": (cosine, True), "euclid": (euclidean, True), "mahal": (mahalanobis, False)}
 
 
-def distances(metric: str, queries: DataFrame, functions: DataFrame, freq: DataFrame) -> DataFrame:
-    """(func1_id, func2_id, value) of one metric for all pairs that pass the ratio filter."""
-    return METRICS[metric](ratio_pairs(queries, functions), queries, freq)
+def distances(metric: str, queries: DataFrame, functions: DataFrame, freq: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(func1_id, func2_id, value) of one metric for all pairs that pass the ratio filter, and the
+    columns to ``carry`` from both sides."""
+    value, needs_dot = METRICS[metric]
+    stats = vector_stats(freq)
+    pairs = ratio_pairs(queries.join(stats, "func_id", "left"), functions.join(stats, "func_id", "left"), carry=(*STATS, *carry))
+    if needs_dot:
+        pairs = pairs.join(dot_products(queries, freq), ["func1_id", "func2_id"], "left")
+    return pairs.select("func1_id", "func2_id", value().alias("value"), *[f"{c}{k}" for c in carry for k in (1, 2)])
 
 
 def approximate_find(pattern: str, text: str, share: float = 0.1) -> int:

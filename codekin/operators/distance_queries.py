@@ -26,24 +26,23 @@ def _metric(name: str):
     return query
 
 
-def gated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """func1_id, func2_id, cosim, dist: the pairs of the search with the gates P1 to P3 as 0 or 1."""
-    queries, fn, freq = _base(spark, sf_dir)
-    pairs = distance.distances("cosim", queries, fn, freq)
-    counts = gates.import_counts(imports(spark, sf_dir))
-
-    def side(k: int) -> DataFrame:
-        return fn.join(counts, "func_id", "left").select(
-            F.col("func_id").alias(f"func{k}_id"), F.col("cyccomp").alias(f"c{k}"), F.coalesce("n_imports", F.lit(0)).cast("long").alias(f"i{k}")
-        )
-
-    rows = pairs.join(side(1), "func1_id").join(side(2), "func2_id")
+def gated_pairs(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (), more: DataFrame | None = None) -> DataFrame:
+    """func1_id, func2_id, cosim, dist: the pairs of the search with the gates P1 to P3 as 0 or 1, their
+    complexities and import counts, and columns to carry of functions or of ``more`` (by file_id)."""
+    _, fn, freq = _base(spark, sf_dir)
+    fn = fn.join(gates.import_counts(imports(spark, sf_dir)), "func_id", "left").withColumn("i", F.coalesce("n_imports", F.lit(0)).cast("long"))
+    fn = fn.withColumn("c", F.col("cyccomp"))
+    if more is not None:
+        fn = fn.join(more, "file_id")
+    queries = fn.where(F.col("func_id") % QUERY_EVERY == 0)
+    rows = distance.distances("cosim", queries, fn, freq, carry=("c", "i", *carry))
     passes = (
         gates.cosine_gate(F.col("value"))
         & gates.complexity_gate(F.col("c1"), F.col("c2"))
         & gates.import_gate(F.col("i1"), F.col("i2"))
     )
-    return rows.select("func1_id", "func2_id", F.col("value").alias("cosim"), passes.cast("int").alias("dist"), "c1", "c2", "i1", "i2")
+    carried = [f"{c}{k}" for c in carry for k in (1, 2)]
+    return rows.select("func1_id", "func2_id", F.col("value").alias("cosim"), passes.cast("int").alias("dist"), "c1", "c2", "i1", "i2", *carried)
 
 
 def f01_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,46 +165,35 @@ def u02_only_here(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j03_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full report: both files, both functions, cosine and gate of each pair of the search."""
-    fn = functions(spark, sf_dir)
     files = table(spark, sf_dir, "bin_file").select("file_id", "file_path")
-
-    def side(k: int) -> DataFrame:
-        return fn.join(files, "file_id").select(
-            F.col("func_id").alias(f"func{k}_id"), F.col("file_id").alias(f"file{k}_id"), F.col("file_path").alias(f"path{k}"),
-            F.col("func_name").alias(f"name{k}"), F.col("cyccomp").alias(f"cyccomp{k}"), F.col("num_ngrams").alias(f"ngrams{k}"),
-        )
-
-    pairs = gated_pairs(spark, sf_dir).select("func1_id", "func2_id", "cosim", "dist")
-    return pairs.join(side(1), "func1_id").join(side(2), "func2_id")
+    rows = gated_pairs(spark, sf_dir, ("file_id", "file_path", "func_name", "cyccomp", "num_ngrams"), files)
+    names = {"file_id": "file{}_id", "file_path": "path{}", "func_name": "name{}", "cyccomp": "cyccomp{}", "num_ngrams": "ngrams{}"}
+    return rows.select("func1_id", "func2_id", "cosim", "dist", *[F.col(f"{c}{k}").alias(n.format(k)) for c, n in names.items() for k in (1, 2)])
 
 
 def j04_report1(spark: SparkSession, sf_dir: str, same_names: bool = True, dist: int = 0) -> DataFrame:
     """Pairs of equal (or different) names with complexity, import counts and shared imports."""
-    pairs = gated_pairs(spark, sf_dir).where(F.col("dist") == dist)
-    fn = functions(spark, sf_dir)
-    one = fn.select(F.col("func_id").alias("func1_id"), F.col("file_id").alias("file1_id"), F.col("func_name").alias("name1"))
-    two = fn.select(F.col("func_id").alias("func2_id"), F.col("file_id").alias("file2_id"), F.col("func_name").alias("name2"))
-    rows = pairs.join(one, "func1_id").join(two, "func2_id")
-    rows = rows.where((F.col("name1") == F.col("name2")) if same_names else (F.col("name1") != F.col("name2")))
-    names = imports(spark, sf_dir)
-    shared = rows.select("func1_id", "func2_id").join(names.select(F.col("func_id").alias("func1_id"), "name"), "func1_id")
-    shared = shared.join(names.select(F.col("func_id").alias("func2_id"), "name"), ["func2_id", "name"])
-    shared = shared.groupBy("func1_id", "func2_id").agg(F.count(F.lit(1)).alias("numimp"))
-    return rows.join(shared, ["func1_id", "func2_id"], "left").select(
-        "file1_id", "func1_id", "name1", "c1", "i1", "file2_id", "func2_id", "name2", "c2", "i2", "cosim", F.coalesce("numimp", F.lit(0).cast("long")).alias("numimp")
-    )
+    rows = gated_pairs(spark, sf_dir, ("file_id", "func_name")).where(F.col("dist") == dist)
+    rows = rows.where((F.col("func_name1") == F.col("func_name2")) if same_names else (F.col("func_name1") != F.col("func_name2")))
+    names = imports(spark, sf_dir).groupBy("func_id").agg(F.collect_set("name").alias("names"))
+    rows = rows.join(names.select(F.col("func_id").alias("func1_id"), F.col("names").alias("a")), "func1_id", "left")
+    rows = rows.join(names.select(F.col("func_id").alias("func2_id"), F.col("names").alias("b")), "func2_id", "left")
+    shared = F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0)).cast("long")
+    return rows.select(
+        F.col("file_id1").alias("file1_id"), "func1_id", F.col("func_name1").alias("name1"), "c1", "i1", F.col("file_id2").alias("file2_id"), "func2_id",
+        F.col("func_name2").alias("name2"), "c2", "i2", "cosim", F.when(shared > 0, shared).otherwise(0).alias("numimp"),
+    )
 
 
 def _report(spark: SparkSession, sf_dir: str, dist: int, same_names: bool) -> DataFrame:
-    fn = functions(spark, sf_dir)
-    pairs = gated_pairs(spark, sf_dir).select("func1_id", "func2_id", "dist")
-    files = table(spark, sf_dir, "bin_file").select("file_id", "file_name")
-    total = pairs.select(F.col("func2_id").alias("func_id")).distinct().join(fn, "func_id").groupBy("file_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = pairs.where(F.col("dist") == dist).join(fn.select(F.col("func_id").alias("func1_id"), F.col("func_name").alias("name1")), "func1_id")
-    rows = rows.join(fn.select(F.col("func_id").alias("func2_id"), "file_id", F.col("func_name").alias("name2")), "func2_id")
+    pairs = gated_pairs(spark, sf_dir, ("file_id", "func_name"))
+    counted = F.col("dist") == dist
     if same_names:
-        rows = rows.where("name1 = name2")
-    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("matches")).join(total, "file_id").join(files, "file_id").select("file_id", "file_name", "matches", "total")
+        counted &= F.coalesce(F.col("func_name1") == F.col("func_name2"), F.lit(False))
+    # one pass: matches of each compared function, then of its file
+    by_function = pairs.groupBy(F.col("file_id2").alias("file_id"), "func2_id").agg(F.sum(counted.cast("long")).alias("n"))
+    rows = by_function.groupBy("file_id").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("total")).where("matches > 0")
+    return rows.join(table(spark, sf_dir, "bin_file").select("file_id", "file_name"), "file_id").select("file_id", "file_name", "matches", "total")
 
 
 def a03_report2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +209,8 @@ def a03_report3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, score): mean over the query functions of the lowest cosine in the file."""
     queries, fn, freq = _base(spark, sf_dir)
-    low = distance.distances("cosim", queries, fn, freq).join(fn.select(F.col("func_id").alias("func2_id"), "file_id"), "func2_id")
-    low = low.groupBy("file_id", "func1_id").agg(F.min("value").alias("low"))
+    low = distance.distances("cosim", queries, fn, freq, carry=("file_id",))
+    low = low.groupBy(F.col("file_id2").alias("file_id"), "func1_id").agg(F.min("value").alias("low"))
     return low.groupBy("file_id").agg(F.round(F.sum(F.round(F.col("low") * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6, 6).alias("score"))
 
 

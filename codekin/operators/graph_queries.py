@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codekin.functions.scalars import adjusted_weight
 from codekin.operators import distance, equivalence, graph, matching
 from codekin.operators.features import blocks, call_edges, frequencies, functions, with_views
+from codekin.operators.gates import complexity_gate
 from codekin.plans.scratch import new_path, written
 from codekin.sources import formats
 from codekin.sources.tables import table
@@ -90,13 +91,10 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     fn = functions(spark, sf_dir)
     subject = _subject(spark, sf_dir)
     queries = fn.where(F.col("file_id") == subject)
-    pairs = distance.distances("cosim", queries, fn, frequencies(spark, sf_dir)).where("value < 0.4")
-    one = fn.select(F.col("func_id").alias("func1_id"), F.col("file_id").alias("file1"), F.col("cyccomp").alias("c1"))
-    two = fn.select(F.col("func_id").alias("func2_id"), F.col("file_id").alias("file2"), F.col("cyccomp").alias("c2"))
-    from codekin.operators.gates import complexity_gate
-
-    rows = pairs.join(one, "func1_id").join(two, "func2_id").where(complexity_gate(F.col("c1"), F.col("c2")))
-    return written(rows.select("file1", "file2", "func1_id", "func2_id", F.col("value").alias("cost")), "costs")
+    pairs = distance.distances("cosim", queries, fn, frequencies(spark, sf_dir), carry=("file_id", "cyccomp")).where("value < 0.4")
+    rows = pairs.where(complexity_gate(F.col("cyccomp1"), F.col("cyccomp2")))
+    rows = rows.select(F.col("file_id1").alias("file1"), F.col("file_id2").alias("file2"), "func1_id", "func2_id", F.col("value").alias("cost"))
+    return written(rows, "costs")
 
 
 def _subject(spark: SparkSession, sf_dir: str) -> int:
