@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekin.llm import encoding, frequency, language, leakage, near_sets, spans
+from codekin.operators.graph import components
 from codekin.sources.tables import BLANKS, table
 
 RARE_AT_MOST, COMMON_SHARE = 2, 0.04
@@ -80,6 +81,15 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each function with a large enough set: functions linked by similarity, directly or
+    through others, named by the smallest one."""
+    distinct, members = _functions(spark, sf_dir)
+    pairs = near_sets.similar_pairs(distinct, SIMILARITY).select(F.col("a").alias("fn_parent"), F.col("b").alias("fn_child"))
+    groups = components(members.select(F.col("rep").alias("func_id")).distinct(), pairs)
+    return members.join(groups.withColumnRenamed("func_id", "rep"), "rep").select(F.col("id").alias("func_id"), F.col("component").alias("group_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of statements shared with other blocks."""
     found = spans.shared_spans(table(spark, sf_dir, "ir_bb"), "bb_id", "stmts", SPAN)
@@ -137,7 +147,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_terms": p2_terms, "p2_runs": p2_runs, "p3_found": p3_found, "p3_classes": p3_classes,
+    "p2_found": p2_found, "p2_terms": p2_terms, "p2_runs": p2_runs, "p3_found": p3_found, "p3_classes": p3_classes, "p3_groups": p3_groups,
     "p4_found": p4_found, "p4_share": p4_share,
     "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments,
@@ -185,6 +195,10 @@ c AS (SELECT func_id, min(func_id) OVER (PARTITION BY ts) AS class_id FROM k),
 l AS (SELECT ca.class_id, count(DISTINCT cb.class_id) AS n_links FROM (SELECT fa, fb FROM p UNION ALL SELECT fb, fa FROM p)
   JOIN c ca ON fa = ca.func_id JOIN c cb ON fb = cb.func_id WHERE ca.class_id <> cb.class_id GROUP BY 1)
 SELECT func_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l USING (class_id)""",
+    "p3_groups": (_SETS + _PAIRS).replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """,
+u AS (SELECT fa AS a, fb AS b FROM p UNION ALL SELECT fb, fa FROM p),
+c AS (SELECT func_id AS a, func_id AS b FROM k UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a)
+SELECT a AS func_id, min(b) AS group_id FROM c GROUP BY 1""",
     "p4_found": _SPANS + "SELECT * FROM r",
     "p4_share": _SPANS + """, a AS (SELECT bb_id, len(max(stmts))::int AS n_tokens FROM ir_bb WHERE bb_id IS NOT NULL GROUP BY 1 HAVING len(max(stmts)) > 0),
 t AS (SELECT bb_id, sum(pos_to - pos_from + 1)::bigint AS s FROM r GROUP BY 1)
