@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +101,11 @@ def sentences(text: str | None) -> list[tuple[int, list[str]]]:
     return out
 
 
-def grams(word: str) -> list[str]:
+@lru_cache(maxsize=10_000)
+def grams(word: str) -> tuple[str, ...]:
     """The character n-grams of a word, with marks at its ends."""
     marked = f"_{word}_"
-    return [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1]
+    return tuple(marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1)
 
 
 class LanguageModel:
@@ -180,7 +183,7 @@ def train(
 def _fit(examples, langs, alpha, beta, l1, l2, epochs, rng) -> LanguageModel:
     """Follow-the-regularised-leader, one example at a time, per-coordinate rates."""
     examples = [*examples, *_windows(examples, WINDOW)]
-    counts = [Counter(g for w in words for g in grams(w)) for words, _ in examples]
+    counts = [Counter(chain.from_iterable(map(grams, words))) for words, _ in examples]
     df = Counter(g for c in counts for g in c)
     vocabulary = {g: i for i, g in enumerate(sorted(df))}
     n = len(examples)
