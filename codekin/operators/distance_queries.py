@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekin.operators import distance, gates
-from codekin.operators.features import frequencies, functions, imports, operations, with_views
+from codekin.operators.features import frequencies, functions, imports, operations, same_name_pairs, with_views
 from codekin.sources.tables import table
 
 QUERY_EVERY = 50  # functions whose id is divisible by this are searched for among all
@@ -85,18 +85,16 @@ def f16_trampolines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f19_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of lifted functions of one name (J12), and whether the kinds of their blocks' last
-    statements agree place by place."""
+    """Each lifted function and the first one of its name (J12), and whether the kinds of their blocks'
+    last statements agree place by place."""
     from codekin.operators.features import blocks
 
     kinds = blocks(spark, sf_dir).where("func_id IS NOT NULL").select(
         "func_id", F.struct("bb_no", "bb_id", F.regexp_extract(F.try_element_at("stmts", F.lit(-1)), r"^([a-z]+)\(", 1).alias("kind")).alias("b")
     )
     kinds = kinds.groupBy("func_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["kind"]).alias("kinds"))
-    names = table(spark, sf_dir, "ir_func").groupBy("func_id").agg(F.max(F.btrim("fn_name")).alias("fn_name")).where("fn_name <> ''").join(kinds, "func_id")
-    a = names.select(F.col("func_id").alias("func1_id"), "fn_name", F.col("kinds").alias("a"))
-    b = names.select(F.col("func_id").alias("func2_id"), F.col("fn_name").alias("name2"), F.col("kinds").alias("b"))
-    pairs = a.join(b, (F.col("fn_name") == F.col("name2")) & (F.col("func1_id") < F.col("func2_id")))
+    pairs = same_name_pairs(spark, sf_dir).join(kinds.select(F.col("func_id").alias("func1_id"), F.col("kinds").alias("a")), "func1_id")
+    pairs = pairs.join(kinds.select(F.col("func_id").alias("func2_id"), F.col("kinds").alias("b")), "func2_id")
     return pairs.select("func1_id", "func2_id", "fn_name", gates.outputs_compatible(F.col("a"), F.col("b")).alias("compatible"))
 
 
@@ -290,9 +288,8 @@ FROM (SELECT func_id, coalesce(list(x ORDER BY p) FILTER (x <> '')[1:3], []) AS
   (SELECT b.func_id, p, regexp_extract(s, '^/\* (.*) \*/$', 1) AS x FROM (SELECT func_id, min((bb_no, bb_id)) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1) b
    LEFT JOIN st ON st.func_id = b.func_id AND (st.bb_no, st.bb_id) = k) GROUP BY 1)""", "bb", "st"),
     "f16_trampolines": _sql("SELECT func_id FROM op GROUP BY 1 HAVING count(*) = 1 AND max(op) IN ('jmp', 'cjmp')", "bb", "st", "op"),
-    "f19_outputs": _sql(r"""SELECT a.func_id AS func1_id, b.func_id AS func2_id, a.fn_name, a.k = b.k AS compatible FROM nk a JOIN nk b ON a.fn_name = b.fn_name AND a.func_id < b.func_id""",
-        "bb", nm="SELECT func_id, max(trim(fn_name)) AS fn_name FROM ir_func GROUP BY 1",
-        nk=r"SELECT func_id, fn_name, k FROM (SELECT func_id, list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~') ORDER BY bb_no, bb_id) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1) JOIN nm USING (func_id) WHERE fn_name <> ''"),
+    "f19_outputs": _sql("SELECT func1_id, func2_id, fn_name, a.k = b.k AS compatible FROM sn JOIN nk a ON a.func_id = func1_id JOIN nk b ON b.func_id = func2_id", "bb", "sn",
+        nk=r"SELECT func_id, list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~') ORDER BY bb_no, bb_id) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
     "f20_memory": _sql(r"SELECT func_id, count(*) AS n_memory, sum((NOT regexp_matches(s, 'mem\[R_ESP(:reg32_t)?( [-+] 0x4:reg32_t)?\]'))::int)::bigint AS n_kept FROM st WHERE contains(s, 'mem[') GROUP BY 1", "bb", "st"),
     "a01_ngram_rows": _sql("SELECT file_id, count(*) AS n_rows FROM fq JOIN fn USING (func_id) GROUP BY 1"),
     "a05_union_count": _sql("SELECT fn_parent, fn_child, count(DISTINCT ngram) AS n_ngrams FROM ce JOIN fq ON func_id IN (fn_parent, fn_child) WHERE fn_parent IN (SELECT func_id FROM fq) AND fn_child IN (SELECT func_id FROM fq) GROUP BY 1, 2", *_V, "ce"),

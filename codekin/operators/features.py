@@ -72,6 +72,17 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.where("func_id IS NOT NULL AND name <> '' AND NOT lower(name) LIKE 'sub\\\\_%'").distinct()
 
 
+def same_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(func1_id, func2_id, fn_name): every lifted function with the smallest one of its name.
+
+    Each name is represented by one function, so a name that a third of all functions bear makes as
+    many pairs as functions, not their square. Blank and null names pair nothing."""
+    names = table(spark, sf_dir, "ir_func").where("func_id IS NOT NULL").groupBy("func_id").agg(F.max(cleaned("fn_name")).alias("fn_name"))
+    names = names.where("fn_name IS NOT NULL")
+    first = names.groupBy("fn_name").agg(F.min("func_id").alias("func1_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return names.join(first, "fn_name").where("func_id <> func1_id").select("func1_id", F.col("func_id").alias("func2_id"), "fn_name")
+
+
 _T = r"e' \t\r\n'"
 #: The same tables as SQL, each usable after the ones it names.
 VIEWS = {
@@ -87,6 +98,8 @@ VIEWS = {
     "gr": """SELECT func_id, op || ' ' || o2 || ' ' || o3 AS ngram FROM (SELECT func_id, op, lead(op, 1) OVER w AS o2, lead(op, 2) OVER w AS o3
   FROM op WINDOW w AS (PARTITION BY func_id ORDER BY i)) WHERE o3 IS NOT NULL""",
     "fq": "SELECT func_id, ngram, count(*) AS freq FROM gr GROUP BY 1, 2",
+    "sn": f"""SELECT * FROM (SELECT min(func_id) OVER (PARTITION BY fn_name) AS func1_id, func_id AS func2_id, fn_name FROM
+  (SELECT func_id, max(nullif(trim(fn_name, {_T}), '')) AS fn_name FROM ir_func WHERE func_id IS NOT NULL GROUP BY 1) WHERE fn_name IS NOT NULL) WHERE func1_id <> func2_id""",
     "im": rf"SELECT DISTINCT func_id, name FROM (SELECT func_id, trim(unnest(calls), {_T}) AS name FROM ir_func) WHERE func_id IS NOT NULL AND name <> '' AND NOT lower(name) LIKE 'sub\_%' ESCAPE '\'",
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codekin.functions.scalars import adjusted_weight
 from codekin.operators import distance, equivalence, graph, matching
-from codekin.operators.features import blocks, call_edges, frequencies, functions, with_views
+from codekin.operators.features import blocks, call_edges, frequencies, functions, same_name_pairs, with_views
 from codekin.operators.gates import complexity_gate
 from codekin.plans.scratch import new_path, written
 from codekin.sources import formats
@@ -70,12 +70,12 @@ def g06_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = functions(spark, sf_dir).where("func_id % 50 = 0").select("func_id", F.lit(1.0).alias("weight"))
+    sources = functions(spark, sf_dir).select("func_id", F.lit(1.0).alias("weight"))
     return graph.spill(_edges(spark, sf_dir), sources)
 
 
 def g07_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight spilled by the query functions over two hops."""
+    """Weight spilled by every function over two hops."""
     return _spilled(spark, sf_dir).select("fn_parent", "fn_child", F.round("weight", 6).alias("weight"), "n_spills")
 
 
@@ -216,11 +216,8 @@ def g12_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g11_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded equivalence of lifted functions of one name in different files."""
-    f = table(spark, sf_dir, "ir_func").groupBy("func_id").agg(F.max("file_id").alias("file_id"), F.max(F.btrim("fn_name")).alias("fn_name")).where("fn_name <> ''")
-    a, b = f.select(F.col("func_id").alias("func1_id"), "fn_name", F.col("file_id").alias("f1")), f.select(F.col("func_id").alias("func2_id"), "fn_name", F.col("file_id").alias("f2"))
-    pairs = a.join(b, "fn_name").where("func1_id < func2_id AND f1 <> f2").select("func1_id", "func2_id")
-    return equivalence.equivalent(pairs, *_flow(spark, sf_dir))
+    """Bounded equivalence of each lifted function with the first one of its name."""
+    return equivalence.equivalent(same_name_pairs(spark, sf_dir).select("func1_id", "func2_id"), *_flow(spark, sf_dir))
 
 
 def f17_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,13 +226,12 @@ def f17_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g10_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of lifted functions of one name, and whether their block kinds agree in some order."""
+    """Each lifted function and the first of its name, and whether their block kinds agree in some order."""
     kind = F.regexp_extract(F.try_element_at("stmts", F.lit(-1)), r"^([a-z]+)\(", 1)
     kinds = blocks(spark, sf_dir).where("func_id IS NOT NULL").groupBy("func_id").agg(F.collect_list(F.coalesce(kind, F.lit("~"))).alias("kinds"))
-    f = table(spark, sf_dir, "ir_func").groupBy("func_id").agg(F.max(F.btrim("fn_name")).alias("fn_name")).where("fn_name <> ''").join(kinds, "func_id")
-    a = f.select(F.col("func_id").alias("func1_id"), "fn_name", F.col("kinds").alias("a"))
-    b = f.select(F.col("func_id").alias("func2_id"), "fn_name", F.col("kinds").alias("b"))
-    return equivalence.orders(a.join(b, "fn_name").where("func1_id < func2_id"), "a", "b").select("func1_id", "func2_id", "matches")
+    pairs = same_name_pairs(spark, sf_dir).join(kinds.select(F.col("func_id").alias("func1_id"), F.col("kinds").alias("a")), "func1_id")
+    pairs = pairs.join(kinds.select(F.col("func_id").alias("func2_id"), F.col("kinds").alias("b")), "func2_id")
+    return equivalence.orders(pairs, "a", "b").select("func1_id", "func2_id", "matches")
 
 
 def g13_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,9 +276,9 @@ _COSTS = {
   AND round(1 - dot / (sqrt(x.s) * sqrt(y.s)), 6) < 0.4 AND coalesce(q.cyccomp <= a.cyccomp + greatest(2, floor(0.2 * q.cyccomp)), false)""",
 }
 _SPILL = """SELECT src, fn_parent, fn_child, hop FROM h1 UNION ALL
-SELECT DISTINCT s.src, e.fn_parent, e.fn_child, 2 FROM (SELECT src, fn_parent AS v FROM h1 UNION SELECT src, fn_child FROM h1) s JOIN fe e ON v IN (e.fn_parent, e.fn_child)
-WHERE (s.src, e.fn_parent, e.fn_child) NOT IN (SELECT (src, fn_parent, fn_child) FROM h1)"""
-_H1 = "SELECT func_id AS src, fn_parent, fn_child, 1 AS hop FROM fn JOIN fe ON func_id IN (fn_parent, fn_child) WHERE func_id % 50 = 0"
+SELECT DISTINCT s.src, e.fn_parent, e.fn_child, 2 FROM (SELECT src, fn_parent AS v FROM h1 UNION SELECT src, fn_child FROM h1) s JOIN (SELECT fn_parent AS v, * FROM fe UNION SELECT fn_child, * FROM fe) e ON s.v = e.v
+ANTI JOIN h1 ON h1.src = s.src AND h1.fn_parent = e.fn_parent AND h1.fn_child = e.fn_child"""
+_H1 = "SELECT fn_parent AS src, fn_parent, fn_child, 1 AS hop FROM fe UNION SELECT fn_child, fn_parent, fn_child, 1 FROM fe"
 _SPILLED = "SELECT fe.fn_parent, fe.fn_child, coalesce(sum(power(0.5, hop - 1)), 0.0) AS w, count(hop) AS n FROM fe LEFT JOIN hs USING (fn_parent, fn_child) GROUP BY 1, 2"
 _ROUND = """SELECT fn.func_id, CASE WHEN m IS NULL THEN func_size::double ELSE (0.3 * m + 0.7 * func_size) / 2 END AS w FROM fn
 LEFT JOIN (SELECT fn_parent, avg(w) AS m FROM fe JOIN {} p ON p.func_id = fn_child WHERE fn_parent <> fn_child GROUP BY 1) c ON c.fn_parent = fn.func_id"""
@@ -323,9 +319,8 @@ LEFT JOIN (SELECT p1, p2, avg(cc) AS child FROM nb GROUP BY 1, 2) c ON c.p1 = co
         cl="/* RECURSIVE */ SELECT a, a AS b FROM un UNION SELECT cl.a, un.b FROM cl JOIN un ON cl.b = un.a"),
     "f17_recursive": with_views("SELECT DISTINCT a AS func_id FROM cl WHERE a = b", *_V,
         cl="/* RECURSIVE */ SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT cl.a, fn_child FROM cl JOIN fe ON cl.b = fn_parent"),
-    "g10_orders": with_views("SELECT a.func_id AS func1_id, b.func_id AS func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM nk a JOIN nk b ON a.fn_name = b.fn_name AND a.func_id < b.func_id", "bb",
-        nm="SELECT func_id, max(trim(fn_name)) AS fn_name FROM ir_func GROUP BY 1",
-        nk=r"SELECT func_id, fn_name, k FROM (SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1) JOIN nm USING (func_id) WHERE fn_name <> ''"),
+    "g10_orders": with_views("SELECT func1_id, func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM sn JOIN nk a ON a.func_id = func1_id JOIN nk b ON b.func_id = func2_id", "bb", "sn",
+        nk=r"SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
     "g13_outputs": with_views(r"""SELECT bb_id, len(list_filter(stmts, lambda s: starts_with(s, 'cjmp(')))::int AS n_conditions,
   len(list_distinct(list_filter(list_transform(stmts, lambda s: regexp_extract(s, '^(R_[A-Z]+):reg\d+_t = ', 1)), lambda r: r <> '')))::int AS n_registers,
   len(list_filter(stmts, lambda s: starts_with(s, 'mem[')))::int AS n_stores, coalesce(NOT regexp_matches(stmts[-1], '^c?jmp\('), true)::int AS n_returns FROM bb""", "bb"),
