@@ -138,39 +138,43 @@ def similar_pairs(distinct: DataFrame, threshold: float) -> DataFrame:
     members = (
         routed.join(shared, "key")
         .join(points.drop("keys"), "rep")
-        .select(
-            "key", F.pmod("cluster", F.ceil(F.col("c") / LEAF)).cast("int").alias("leaf"), "rep", "n", "over", *_V,
-            F.ceil(F.col("c") / SPLIT).cast("int").alias("tasks"),
-        )
-    )
-    members = written(members, "members")
-    corners = members.groupBy("key", "leaf").agg(
-        F.max("tasks").alias("tasks"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
+        .select("key", "c", F.pmod("cluster", F.ceil(F.col("c") / LEAF)).cast("int").alias("leaf"), "rep", "n", "over", *_V)
     )
-    corners = corners.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    members = written(members, "members")
     share = threshold / (1 + threshold)
     t, slack = F.lit(threshold), F.lit(1e-9)
-    probes = members.withColumn("task", F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int"))
-    p, c, q = probes.alias("p"), corners.alias("c"), members.alias("q")
 
     def side(name: str) -> dict[str, Column]:
         return {x: F.col(f"{name}.{x}") for x in ("over", *_V)}
 
+    def alike() -> Column:
+        """Whether the bounds of the points p and q allow the similarity; each pair is met once."""
+        return (
+            (F.col("p.rep") < F.col("q.rep"))
+            & (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
+            & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
+        )
+
+    pair = [F.col("p.rep").alias("a"), F.col("q.rep").alias("b")]
+    # a subtree of one leaf has no corner to exclude it by: its points meet each other at once
+    single = members.where(F.col("c") <= LEAF).drop("c", "leaf")
+    near = single.alias("p").join(single.alias("q"), (F.col("p.key") == F.col("q.key")) & alike()).select(*pair)
+
+    tasks = F.ceil(F.col("c") / SPLIT).cast("int")
+    large = members.where(F.col("c") > LEAF)
+    corners = large.groupBy("key", "leaf").agg(
+        F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
+    )
+    c = corners.withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1))).alias("c")
+    p, q = large.withColumn("task", F.pmod(F.xxhash64("rep"), tasks).cast("int")).alias("p"), large.alias("q")
     visits = p.join(c, (F.col("p.key") == F.col("c.key")) & (F.col("p.task") == F.col("c.task"))).where(
         (F.col("c.most") + slack >= t * F.col("p.n"))
         & (F.col("p.n") + slack >= t * F.col("c.least"))
         & (_bound(side("p"), side("c")) + slack >= F.lit(share) * (F.col("p.n") + F.greatest("c.least", F.ceil(t * F.col("p.n") - slack))))
     )
     visits = visits.select("p.key", "c.leaf", "p.rep", "p.n", *[f"p.{x}" for x in ("over", *_V)]).alias("p")
-    candidates = (
-        visits.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.leaf") == F.col("q.leaf")) & (F.col("p.rep") < F.col("q.rep")))
-        .where(
-            (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
-            & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
-        )
-        .select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
-        .distinct()
-    )
+    far = visits.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.leaf") == F.col("q.leaf")) & alike()).select(*pair)
+    candidates = near.union(far).distinct()
     left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
