@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.operators import distance, gates
-from codekin.operators.features import frequencies, functions, imports, operations, same_name_pairs, with_views
+from codekin.operators import distance, equivalence, gates
+from codekin.operators.features import frequencies, functions, imports, lifted_names, operations, same_name_pairs, with_views
 from codekin.sources.tables import table
 
 QUERY_EVERY = 50  # functions whose id is divisible by this are searched for among all
@@ -84,20 +84,32 @@ def f16_trampolines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations(spark, sf_dir).where(gates.is_trampoline(F.col("ops"))).select("func_id")
 
 
-def f19_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lifted function and the first one of its name (J12), and whether the kinds of their blocks'
-    last statements agree place by place."""
+def _output_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codekin.operators.features import blocks
 
     kinds = blocks(spark, sf_dir).where("func_id IS NOT NULL").select(
         "func_id", F.struct("bb_no", "bb_id", F.regexp_extract(F.try_element_at("stmts", F.lit(-1)), r"^([a-z]+)\(", 1).alias("kind")).alias("b")
     )
-    kinds = kinds.groupBy("func_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["kind"]).alias("kinds"))
+    return kinds.groupBy("func_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["kind"]).alias("kinds"))
+
+
+def f19_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lifted function and the first one of its name, and whether the kinds of their blocks' last
+    statements agree place by place. ``f19_classes`` has all pairs of a name."""
+    kinds = _output_kinds(spark, sf_dir)
     pairs = same_name_pairs(spark, sf_dir).join(kinds.select(F.col("func_id").alias("func1_id"), F.col("kinds").alias("a")), "func1_id")
     pairs = pairs.join(kinds.select(F.col("func_id").alias("func2_id"), F.col("kinds").alias("b")), "func2_id")
     return pairs.select("func1_id", "func2_id", "fn_name", gates.outputs_compatible(F.col("a"), F.col("b")).alias("compatible"))
 
 
+def f19_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each lifted function: two functions of one name are compatible exactly if
+    they are in one class."""
+    kinds = _output_kinds(spark, sf_dir)
+    key = F.array_join(F.transform("kinds", lambda k: F.coalesce(k, F.lit("~"))), " ")
+    return equivalence.name_classes(lifted_names(spark, sf_dir), kinds.select("func_id", key.alias("key")))
+
+
 def f20_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each lifted function: memory statements, and those that are no stack slot."""
     from codekin.operators.features import blocks
@@ -230,7 +242,7 @@ QUERIES = {
     "d01_cosim": _metric("cosim"), "d02_euclid": _metric("euclid"), "d03_mahal": _metric("mahal"), "d04_bitap": d04_bitap,
     "d05_levenshtein": d05_levenshtein, "d06_damerau": d06_damerau, "f01_gates": f01_gates, "f04_import_subset": f04_import_subset,
     "f07_functions": f07_functions, "f10_candidates": f10_candidates, "f15_prologues": f15_prologues, "f16_trampolines": f16_trampolines,
-    "f19_outputs": f19_outputs, "f20_memory": f20_memory, "a01_ngram_rows": a01_ngram_rows, "a05_union_count": a05_union_count,
+    "f19_outputs": f19_outputs, "f19_classes": f19_classes, "f20_memory": f20_memory, "a01_ngram_rows": a01_ngram_rows, "a05_union_count": a05_union_count,
     "u02_only_here": u02_only_here, "j03_star": j03_star, "j04_report1": j04_report1, "a03_report2": a03_report2, "a03_report3": a03_report3,
     "t01_topk": t01_topk, "a10_argmin": a10_argmin,
 }
@@ -290,6 +302,9 @@ FROM (SELECT func_id, coalesce(list(x ORDER BY p) FILTER (x <> '')[1:3], []) AS
     "f16_trampolines": _sql("SELECT func_id FROM op GROUP BY 1 HAVING count(*) = 1 AND max(op) IN ('jmp', 'cjmp')", "bb", "st", "op"),
     "f19_outputs": _sql("SELECT func1_id, func2_id, fn_name, a.k = b.k AS compatible FROM sn JOIN nk a ON a.func_id = func1_id JOIN nk b ON b.func_id = func2_id", "bb", "sn",
         nk=r"SELECT func_id, list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~') ORDER BY bb_no, bb_id) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
+    "f19_classes": _sql("SELECT func_id, fn_name, min(func_id) OVER (PARTITION BY fn_name, k) AS class_id FROM nk JOIN nm USING (func_id)", "bb",
+        nm=r"SELECT func_id, max(nullif(trim(fn_name, e' \t\r\n'), '')) AS fn_name FROM ir_func WHERE func_id IS NOT NULL GROUP BY 1 HAVING max(nullif(trim(fn_name, e' \t\r\n'), '')) IS NOT NULL",
+        nk=r"SELECT func_id, list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~') ORDER BY bb_no, bb_id) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
     "f20_memory": _sql(r"SELECT func_id, count(*) AS n_memory, sum((NOT regexp_matches(s, 'mem\[R_ESP(:reg32_t)?( [-+] 0x4:reg32_t)?\]'))::int)::bigint AS n_kept FROM st WHERE contains(s, 'mem[') GROUP BY 1", "bb", "st"),
     "a01_ngram_rows": _sql("SELECT file_id, count(*) AS n_rows FROM fq JOIN fn USING (func_id) GROUP BY 1"),
     "a05_union_count": _sql("SELECT fn_parent, fn_child, count(DISTINCT ngram) AS n_ngrams FROM ce JOIN fq ON func_id IN (fn_parent, fn_child) WHERE fn_parent IN (SELECT func_id FROM fq) AND fn_child IN (SELECT func_id FROM fq) GROUP BY 1, 2", *_V, "ce"),

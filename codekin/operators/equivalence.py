@@ -8,20 +8,24 @@ matched by any of the second, and UNKNOWN where all samples agree.
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import re
 from collections.abc import Sequence
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codekin.operators.graph import dominators, loop_heads
+from codekin.plans.scratch import written
 
 MOST_VISITS = 4  # of one block on one path
 PROBE_DEPTH = 50  # how far an unvisited descendant is looked for
 MOST_PATHS = 500
 MOST_OUTPUTS = 8
+SIDE = 32  # classes of one name that meet as many others in one row
 STATUSES = ("FALSE", "TRUE", "MISMATCH", "TIMEOUT", "ERR", "TOO_MANY", "ERR_IR", "ERR_UNK", "UNKNOWN")
 
 
@@ -136,36 +140,55 @@ class Machine:
         return self.outputs + registers
 
 
-def compare_paths(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]], samples: int = 3) -> str:
-    """The status of two functions given as paths of statements."""
-    if len(a) > MOST_PATHS or len(b) > MOST_PATHS:
+class Paths:
+    """A function's paths of statements with what their comparison needs; outputs are run when first asked for."""
+
+    def __init__(self, found: Sequence[Sequence[str]], samples: int = 3):
+        self.n, self.samples = len(found), samples
+        self.plain = list(dict.fromkeys(tuple(s for s in p if not s.startswith(("label ", "/*"))) for p in found))
+        self.known = set(self.plain)
+        self.shapes = {(sum("mem[" in s.split(" = ")[0] for s in p), sum(s.startswith("cjmp(") for s in p)) for p in self.plain}
+
+    @cached_property
+    def outputs(self) -> list[tuple | None]:
+        """Of each path the results of all samples; None where a statement cannot be run."""
+        return [self._run(p) for p in self.plain]
+
+    def _run(self, path: Sequence[str]) -> tuple | None:
+        out = []
+        try:
+            for seed in range(self.samples):
+                machine = Machine(seed)
+                for s in path:
+                    machine.run(s)
+                out.append(tuple(sorted(machine.results())))
+        except ValueError:
+            return None
+        return tuple(out)
+
+
+def status(a: Paths, b: Paths) -> str:
+    """The status of two functions."""
+    if a.n > MOST_PATHS or b.n > MOST_PATHS:
         return "TOO_MANY"
-    if not a or not b:
+    if not a.n or not b.n:
         return "ERR"
-    plain = lambda p: tuple(s for s in p if not s.startswith(("label ", "/*")))
-    pa, pb = [plain(p) for p in a], [plain(p) for p in b]
-    shape = lambda p: (sum("mem[" in s.split(" = ")[0] for s in p), sum(s.startswith("cjmp(") for s in p))
-    known = set(pb)
-    shapes = {shape(p) for p in pb}
-    if any(shape(p) not in shapes for p in pa):
+    if not a.shapes <= b.shapes:
         return "MISMATCH"
-    if all(p in known for p in pa):
+    if a.known <= b.known:
         return "TRUE"
-
-    def outputs(path: Sequence[str]) -> list[tuple]:
-        out = []
-        for seed in range(samples):
-            machine = Machine(seed)
-            for s in path:
-                machine.run(s)
-            out.append(tuple(sorted(machine.results())))
-        return out
-
-    try:
-        results = [outputs(p) for p in pb]
-        return "UNKNOWN" if all(outputs(p) in results for p in pa) else "FALSE"
-    except ValueError:
+    results = set(b.outputs)
+    if None in results:
         return "ERR_IR"
+    for got in a.outputs:
+        if got not in results:
+            return "ERR_IR" if got is None else "FALSE"
+    return "UNKNOWN"
+
+
+def compare_paths(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]], samples: int = 3) -> str:
+    """The status of two functions given as paths of statements."""
+    return status(Paths(a, samples), Paths(b, samples))
 
 
 _MOVE = re.compile(r"^([A-Za-z_]\w*):reg32_t = ([A-Za-z_]\w*):reg32_t(?: ([+-]) 0x([0-9a-f]+):reg32_t)?;$")
@@ -269,23 +292,67 @@ def orders(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("matches", matched(a, b))
 
 
-def equivalent(pairs: DataFrame, flow: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(func1_id, func2_id, status) of the pairs given, after P19-like pruning by counts."""
-    body = _bodies(flow, blocks, "stmts")
-    rows = pairs.join(body.select(F.col("func_id").alias("func1_id"), F.col("blocks").alias("a")), "func1_id")
-    rows = rows.join(body.select(F.col("func_id").alias("func2_id"), F.col("blocks").alias("b")), "func2_id")
-
-    @F.pandas_udf("string")
-    def status(a: pd.Series, b: pd.Series) -> pd.Series:
-        def unfolded(blocks):
-            text = {x["bb_id"]: list(x["stmts"]) for x in blocks}
-            found, more = _unfolded(blocks)
-            return None if more else [[s for i in p for s in text[i]] for p in found]
-
-        out = []
-        for x, y in zip(a, b):
-            pa, pb = unfolded(x), unfolded(y)
-            out.append("TOO_MANY" if pa is None or pb is None else compare_paths(pa, pb))
-        return pd.Series(out)
-
-    return rows.select("func1_id", "func2_id", status("a", "b").alias("status"))
+def name_classes(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(func_id, fn_name, class_id): each function's class among those of its name, called by its smallest function.
+
+    ``names``: func_id, fn_name; ``keys``: func_id and a ``key`` that functions share exactly if they
+    agree. As agreeing is an equality, the classes carry every pair of one name on as many rows as functions."""
+    rows = written(names.join(keys, "func_id").select("func_id", "fn_name", "key"), "keys")
+    first = rows.groupBy("fn_name", "key").agg(F.min("func_id").alias("class_id"))
+    return rows.join(first, ["fn_name", "key"]).select("func_id", "fn_name", "class_id")
+
+
+def function_texts(flow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(func_id, text): a function's blocks as JSON: statements without labels and comments, and the
+    places of the successors from 1, 0 for none. Equal texts have equal paths."""
+    plain = lambda s: ~(s.startswith("label ") | s.startswith("/*"))
+    blocks = blocks.withColumn("stmts", F.filter("stmts", plain))
+    ids = F.transform("blocks", lambda b: b["bb_id"])
+    place = lambda c: F.coalesce(F.array_position(ids, c), F.lit(0).cast("long"))
+    rows = F.transform("blocks", lambda b: F.struct(b["stmts"].alias("s"), place(b["next1"]).alias("a"), place(b["next2"]).alias("b")))
+    return _bodies(flow, blocks, "stmts").select("func_id", F.to_json(rows).alias("text"))
+
+
+def text_keys(texts: DataFrame) -> DataFrame:
+    return texts.select("func_id", F.sha2("text", 256).alias("key"))
+
+
+def _text_paths(text: str) -> Paths | None:
+    """None for more paths than are followed."""
+    blocks = json.loads(text)
+    found, more = paths(1, {i: [x["a"] or None, x["b"] or None] for i, x in enumerate(blocks, 1)})
+    return None if more else Paths([[s for i in p for s in blocks[i - 1]["s"]] for p in found])
+
+
+def class_statuses(classes: DataFrame, texts: DataFrame, side: int = SIDE) -> DataFrame:
+    """(func1_id, func2_id, status): every ordered pair of classes of one name, by their smallest
+    functions, and each class's smallest function with each other member.
+
+    ``classes`` is of ``name_classes`` by ``text_keys``. As members have equal paths, the status of any
+    two functions of one name is that of their classes. A name's classes are cut into parts of about
+    ``side``; two parts meet in one row, so a hot name is compared in many tasks and each text is
+    unfolded once a row, not once a pair."""
+    classes = written(classes, "classes")
+    heads = classes.groupBy("fn_name", F.col("class_id").alias("func_id")).agg((F.count(F.lit(1)) > 1).alias("many"))
+    parts = classes.groupBy("fn_name").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum((F.col("func_id") == F.col("class_id")).cast("long")) / side).alias("parts"))
+    heads = heads.join(parts.where("n > 1").drop("n"), "fn_name").join(texts, "func_id")
+    part = F.pmod(F.xxhash64("func_id"), F.col("parts"))
+    heads = heads.select("fn_name", F.struct("func_id", "many", part.alias("part"), "text").alias("f"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = heads.groupBy("fn_name", F.least("f.part", "other").alias("i"), F.greatest("f.part", "other").alias("j")).agg(F.collect_list("f").alias("fs"))
+
+    def compared(it):
+        for pdf in it:
+            out = []
+            for i, j, fs in zip(pdf.i, pdf.j, pdf.fs):
+                known = [(f["func_id"], f["part"], f["many"], _text_paths(f["text"])) for f in fs]
+                for f1, p1, many, a in known:
+                    for f2, p2, _, b in known:
+                        # parts i and j meet here; within one part only in its own row
+                        if many and i == j if f1 == f2 else i == j or p1 != p2:
+                            out.append((f1, f2, "TOO_MANY" if a is None or b is None else status(a, b)))
+            yield pd.DataFrame(out, columns=["func1_id", "func2_id", "status"]).astype({"func1_id": "int64", "func2_id": "int64"})
+
+    rows = written(met.select("i", "j", "fs").mapInPandas(compared, "func1_id long, func2_id long, status string"), "statuses")
+    own = rows.where("func1_id = func2_id").select(F.col("func1_id").alias("class_id"), "status")
+    members = classes.where("func_id <> class_id").join(own, "class_id").select(F.col("class_id").alias("func1_id"), F.col("func_id").alias("func2_id"), "status")
+    return rows.where("func1_id <> func2_id").unionByName(members)

@@ -72,13 +72,19 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.where("func_id IS NOT NULL AND name <> '' AND NOT lower(name) LIKE 'sub\\\\_%'").distinct()
 
 
+def lifted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(func_id, fn_name) of the lifted functions with a name; blank and null names are none."""
+    names = table(spark, sf_dir, "ir_func").where("func_id IS NOT NULL").groupBy("func_id").agg(F.max(cleaned("fn_name")).alias("fn_name"))
+    return names.where("fn_name IS NOT NULL")
+
+
 def same_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(func1_id, func2_id, fn_name): every lifted function with the smallest one of its name.
+    """Part of J12: (func1_id, func2_id, fn_name): every lifted function with the smallest one of its name.
 
     Each name is represented by one function, so a name that a third of all functions bear makes as
-    many pairs as functions, not their square. Blank and null names pair nothing."""
-    names = table(spark, sf_dir, "ir_func").where("func_id IS NOT NULL").groupBy("func_id").agg(F.max(cleaned("fn_name")).alias("fn_name"))
-    names = names.where("fn_name IS NOT NULL")
+    many pairs as functions, not their square. Relations of the others among themselves do not follow
+    from these pairs; ``equivalence.name_classes`` carries them."""
+    names = lifted_names(spark, sf_dir)
     first = names.groupBy("fn_name").agg(F.min("func_id").alias("func1_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return names.join(first, "fn_name").where("func_id <> func1_id").select("func1_id", F.col("func_id").alias("func2_id"), "fn_name")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codekin.functions.scalars import adjusted_weight
 from codekin.operators import distance, equivalence, graph, matching
-from codekin.operators.features import blocks, call_edges, frequencies, functions, same_name_pairs, with_views
+from codekin.operators.features import blocks, call_edges, frequencies, functions, lifted_names, same_name_pairs, with_views
 from codekin.operators.gates import complexity_gate
 from codekin.plans.scratch import new_path, written
 from codekin.sources import formats
@@ -215,9 +215,21 @@ def g12_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equivalence.function_paths(*_flow(spark, sf_dir))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = written(blocks(spark, sf_dir), "blocks")
+    return written(equivalence.function_texts(graph.control_flow(b), b), "texts")
+
+
+def g11_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each lifted function among those of its name: equal blocks and control flow."""
+    return equivalence.name_classes(lifted_names(spark, sf_dir), equivalence.text_keys(_texts(spark, sf_dir)))
+
+
 def g11_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded equivalence of each lifted function with the first one of its name."""
-    return equivalence.equivalent(same_name_pairs(spark, sf_dir).select("func1_id", "func2_id"), *_flow(spark, sf_dir))
+    """Bounded equivalence of lifted functions of one name: all pairs of classes, in both directions, and
+    each class's first function with its other members. The classes are those of ``g11_classes``."""
+    texts = _texts(spark, sf_dir)
+    return equivalence.class_statuses(equivalence.name_classes(lifted_names(spark, sf_dir), equivalence.text_keys(texts)), texts)
 
 
 def f17_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,15 +237,28 @@ def f17_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recursive_functions(_edges(spark, sf_dir))
 
 
-def g10_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lifted function and the first of its name, and whether their block kinds agree in some order."""
+def _block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.regexp_extract(F.try_element_at("stmts", F.lit(-1)), r"^([a-z]+)\(", 1)
-    kinds = blocks(spark, sf_dir).where("func_id IS NOT NULL").groupBy("func_id").agg(F.collect_list(F.coalesce(kind, F.lit("~"))).alias("kinds"))
+    return blocks(spark, sf_dir).where("func_id IS NOT NULL").groupBy("func_id").agg(F.collect_list(F.coalesce(kind, F.lit("~"))).alias("kinds"))
+
+
+def g10_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lifted function and the first of its name, and whether their block kinds agree in some order.
+    ``g10_classes`` has all pairs of a name."""
+    kinds = _block_kinds(spark, sf_dir)
     pairs = same_name_pairs(spark, sf_dir).join(kinds.select(F.col("func_id").alias("func1_id"), F.col("kinds").alias("a")), "func1_id")
     pairs = pairs.join(kinds.select(F.col("func_id").alias("func2_id"), F.col("kinds").alias("b")), "func2_id")
     return equivalence.orders(pairs, "a", "b").select("func1_id", "func2_id", "matches")
 
 
+def g10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each lifted function: two functions of one name match in some order exactly if they
+    are in one class. Lists of more than eight kinds match nothing, so each is a class of its own."""
+    few = F.size("kinds") <= equivalence.MOST_OUTPUTS
+    key = F.when(few, F.array_join(F.array_sort("kinds"), " ")).otherwise(F.concat(F.lit("#"), F.col("func_id").cast("string")))
+    return equivalence.name_classes(lifted_names(spark, sf_dir), _block_kinds(spark, sf_dir).select("func_id", key.alias("key")))
+
+
 def g13_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path conditions and outputs of every block."""
     return equivalence.block_outputs(blocks(spark, sf_dir))
@@ -261,7 +286,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
     "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
-    "j13_range s21_offsets g12_paths g11_equiv f17_recursive g10_orders g13_outputs g14_offsets g23_dominators s13_dot_files"
+    "j13_range s21_offsets g12_paths g11_equiv g11_classes f17_recursive g10_orders g10_classes g13_outputs g14_offsets g23_dominators s13_dot_files"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -321,6 +346,9 @@ LEFT JOIN (SELECT p1, p2, avg(cc) AS child FROM nb GROUP BY 1, 2) c ON c.p1 = co
         cl="/* RECURSIVE */ SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT cl.a, fn_child FROM cl JOIN fe ON cl.b = fn_parent"),
     "g10_orders": with_views("SELECT func1_id, func2_id, a.k = b.k AND len(a.k) <= 8 AS matches FROM sn JOIN nk a ON a.func_id = func1_id JOIN nk b ON b.func_id = func2_id", "bb", "sn",
         nk=r"SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
+    "g10_classes": with_views("SELECT func_id, fn_name, CASE WHEN len(k) <= 8 THEN min(func_id) OVER (PARTITION BY fn_name, k) ELSE func_id END AS class_id FROM nk JOIN nm USING (func_id)", "bb",
+        nm=r"SELECT func_id, max(nullif(trim(fn_name, e' \t\r\n'), '')) AS fn_name FROM ir_func WHERE func_id IS NOT NULL GROUP BY 1 HAVING max(nullif(trim(fn_name, e' \t\r\n'), '')) IS NOT NULL",
+        nk=r"SELECT func_id, list_sort(list(coalesce(regexp_extract(stmts[-1], '^([a-z]+)\(', 1), '~'))) AS k FROM bb WHERE func_id IS NOT NULL GROUP BY 1"),
     "g13_outputs": with_views(r"""SELECT bb_id, len(list_filter(stmts, lambda s: starts_with(s, 'cjmp(')))::int AS n_conditions,
   len(list_distinct(list_filter(list_transform(stmts, lambda s: regexp_extract(s, '^(R_[A-Z]+):reg\d+_t = ', 1)), lambda r: r <> '')))::int AS n_registers,
   len(list_filter(stmts, lambda s: starts_with(s, 'mem[')))::int AS n_stores, coalesce(NOT regexp_matches(stmts[-1], '^c?jmp\('), true)::int AS n_returns FROM bb""", "bb"),

@@ -89,6 +89,19 @@ def test_paths_and_equivalence():
     assert equivalence.output_orders([1, 2, 3], [3, 1, 2]) == (1, 2, 0) and equivalence.output_orders([1], [2]) is None
 
 
+def test_classes_of_a_name_carry_every_pair(spark):
+    # 2 and 3 agree with each other, not with 1, the first of their name; 1 and 4 differ by a label only
+    bodies = {1: "R_EAX:reg32_t = 0x1:reg32_t;", 2: "R_EAX:reg32_t = 0x2:reg32_t;", 3: "R_EAX:reg32_t = 0x2:reg32_t;", 4: "R_EAX:reg32_t = 0x1:reg32_t;", 5: "R_EBX:reg32_t = 0x2:reg32_t;"}
+    blocks = spark.createDataFrame([(10 * f, f, 0, [f"label pc_0x{f}:", s]) for f, s in bodies.items()], "bb_id long, func_id long, bb_no int, stmts array<string>")
+    names = spark.createDataFrame([(f, "n" if f < 5 else "m") for f in bodies], "func_id long, fn_name string")
+    texts = equivalence.function_texts(graph.control_flow(blocks), blocks)
+    classes = equivalence.name_classes(names, equivalence.text_keys(texts))
+    assert {r["func_id"]: r["class_id"] for r in classes.collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5}
+    for side in (1, 32):  # in one row or cut into parts
+        rows = sorted(tuple(r) for r in equivalence.class_statuses(classes, texts, side).collect())
+        assert rows == [(1, 2, "FALSE"), (1, 4, "TRUE"), (2, 1, "FALSE"), (2, 3, "TRUE")]
+
+
 def test_graph_operators(spark):
     v = spark.createDataFrame([(i, 1, 100 * i) for i in range(1, 8)], "func_id long, file_id long, startea long")
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (5, 6), (6, 6), (1, 2), (1, 99)], "fn_parent long, fn_child long")
