@@ -23,26 +23,30 @@ def vector_stats(freq: DataFrame) -> DataFrame:
     return freq.groupBy("func_id").agg(F.count(F.lit(1)).alias("k"), F.sum(f).alias("total"), F.sum(f * f).alias("squares"))
 
 
-def ratio_pairs(queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+def ratio_pairs(queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = (), parts: int = 1) -> DataFrame:
     """(func1_id, func2_id): a query function and each function whose count is within ``ratio``.
 
     Both have func_id, file_id and num_ngrams. Null counts and those below 1 match nothing. Counts are
     put into buckets of powers of ``ratio``; partners lie in the same or a neighbouring bucket. Columns
     to ``carry`` come along from both sides with 1 and 2 behind their names, which saves joining them
-    to the pairs later."""
+    to the pairs later. ``parts`` cuts each bucket's functions for as many tasks, where much is done per pair."""
     bucket = F.floor(F.log(float(ratio), F.col("num_ngrams").cast("double")) + F.lit(1e-12)).cast("int")
     q = queries.where("num_ngrams > 0").select(
         F.col("func_id").alias("func1_id"), F.col("file_id").alias("__file1"), F.col("num_ngrams").alias("__n1"),
         F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"), *[F.col(c).alias(f"{c}1") for c in carry],
     )
+    key = ["__bucket"]
+    if parts > 1:
+        key.append("__part")
+        q = q.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     a = functions.where("num_ngrams > 0").select(
         F.col("func_id").alias("func2_id"), F.col("file_id").alias("__file2"), F.col("num_ngrams").alias("__n2"), bucket.alias("__bucket"),
-        *[F.col(c).alias(f"{c}2") for c in carry],
+        *[F.col(c).alias(f"{c}2") for c in carry], *[F.pmod(F.xxhash64("func_id"), F.lit(parts)).alias(k) for k in key[1:]],
     )
     near = (F.col("__n2") <= ratio * F.col("__n1")) & (F.col("__n1") <= ratio * F.col("__n2"))
     if other_file:
         near &= F.col("__file1") != F.col("__file2")
-    return q.join(a, "__bucket").where(near).drop("__bucket", "__file1", "__file2", "__n1", "__n2")
+    return q.join(a, key).where(near).drop(*key, "__file1", "__file2", "__n1", "__n2")
 
 
 def dot_products(queries: DataFrame, freq: DataFrame) -> DataFrame:
@@ -105,12 +109,15 @@ def distances(metric: str, queries: DataFrame, functions: DataFrame, freq: DataF
     return pairs.select("func1_id", "func2_id", value().alias("value"), *[f"{c}{k}" for c in carry for k in (1, 2)])
 
 
-def approximate_find(pattern: str, text: str, share: float = 0.1) -> int:
+def approximate_find(pattern: Sequence[str], text: Sequence[str], share: float = 0.1) -> int:
     """The fewest edits with which ``pattern`` stands somewhere in ``text``, or -1 if they exceed
-    ``share`` of the text's length. ``.`` in the pattern matches any one character."""
+    ``share`` of the text's length. ``.`` in the pattern matches any one character. Both are strings, or
+    lists of words that count as characters."""
     budget = int(share * len(text))
     if not pattern:
         return 0
+    if len(pattern) - len(text) > budget:  # so many insertions at least
+        return -1
     masks: dict[str, int] = {}
     every = 0
     for i, c in enumerate(pattern):
@@ -153,9 +160,10 @@ def damerau(a: str, b: str) -> int:
 
 
 def text_distance(name: str) -> Callable:
-    """A pandas UDF of (text, pattern) or (a, b); null if either is null. Results are kept per
+    """A pandas UDF of (text, pattern) or (a, b); null if either is null. For bitap both are words, each
+    with a blank behind it. Results are kept per
     distinct pair within a batch."""
-    call = {"bitap": lambda text, pattern: approximate_find(pattern, text), "damerau": damerau}[name]
+    call = {"bitap": lambda text, pattern: approximate_find(pattern.split(" ")[:-1], text.split(" ")[:-1]), "damerau": damerau}[name]
 
     @F.pandas_udf("int")
     def distance(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -120,15 +120,13 @@ def f20_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d04_bitap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewest edits with which a query function's operations stand in a function of as many operations
-    (within the ratio) of another file; -1 beyond a tenth of the text. Operations are letters here."""
-    ops = operations(spark, sf_dir).select("func_id", F.array_join(F.transform("ops", lambda o: F.substring(F.md5(o), 1, 1)), "").alias("code"))
+    (within the ratio) of another file; -1 beyond a tenth of the text. Whole operations are compared;
+    functions without any statement recorded have no row."""
+    code = F.array_join(F.transform("ops", lambda o: F.concat(F.coalesce(o, F.lit("")), F.lit(" "))), "")
+    ops = operations(spark, sf_dir).select("func_id", code.alias("code"))
     queries, fn, _ = _base(spark, sf_dir)
-    pairs = distance.ratio_pairs(queries, fn)
-    pairs = pairs.join(ops.select(F.col("func_id").alias("func1_id"), F.col("code").alias("pattern")), "func1_id")
-    pairs = pairs.join(ops.select(F.col("func_id").alias("func2_id"), F.col("code").alias("text")), "func2_id")
-    # no more errors than a tenth of the text: shorter patterns by more than that, or longer ones, cannot reach it
-    possible = F.length("pattern") <= F.length("text") * 1.1
-    return pairs.where(possible).select("func1_id", "func2_id", distance.text_distance("bitap")("text", "pattern").alias("bitap"))
+    pairs = distance.ratio_pairs(queries.join(ops, "func_id"), fn.join(ops, "func_id"), carry=("code",), parts=8)
+    return pairs.select("func1_id", "func2_id", distance.text_distance("bitap")("code2", "code1").alias("bitap"))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codekin.functions import scalars
-from codekin.operators import distance, equivalence, gates, graph, matching, writes
+from codekin.operators import distance, distance_queries, equivalence, gates, graph, matching, writes
 from codekin.sources import formats
 
 
@@ -33,6 +33,28 @@ def test_approximate_find(pattern, text, share):
     assert distance.approximate_find(pattern, text, share) == (want if want <= int(share * len(text)) else -1)
 
 
+def test_bitap_compares_whole_operations(spark):
+    # xor and mem share the first digit of their md5
+    rows = [("mem " * 20, "xor " * 20), ("mem " * 20, "xor " * 2), ("mem xor ", "xor "), ("mem " * 20, "mem " * 23), ("", "mem "), ("", ""), (" ", " "), (None, "a ")]
+    df = spark.createDataFrame(rows, "text string, pattern string")
+    assert [r[0] for r in df.select(distance.text_distance("bitap")("text", "pattern")).collect()] == [-1, 2, 0, -1, -1, 0, 0, None]
+
+
+def test_ratio_pairs_in_parts(spark):
+    fn = spark.createDataFrame([(i, i % 3, i) for i in range(40)], "func_id long, file_id long, num_ngrams long")
+    once, cut = (sorted(tuple(r) for r in distance.ratio_pairs(fn, fn, carry=("num_ngrams",), parts=n).collect()) for n in (1, 5))
+    assert once == cut and len(once) == sum(0 < a <= 3 * b and 0 < b <= 3 * a and a % 3 != b % 3 for a in range(40) for b in range(40))
+
+
+def test_bitap_gives_every_pair(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    queries, fn, _ = distance_queries._base(spark, sf_dir)
+    ops = distance_queries.operations(spark, sf_dir).select("func_id")
+    pairs = distance.ratio_pairs(queries.join(ops, "func_id"), fn.join(ops, "func_id"))
+    assert pairs.exceptAll(entry.queries()["d04_bitap"](spark, sf_dir).select("func1_id", "func2_id")).count() == 0 < pairs.count()
+
+
 @pytest.mark.parametrize("a, b, d", [("", "", 0), ("abc", "acb", 1), ("ca", "abc", 3), ("kitten", "sitting", 3), ("ab", "ba", 1), ("", "xy", 2)])
 def test_damerau(a, b, d):
     assert distance.damerau(a, b) == d == distance.damerau(b, a)
