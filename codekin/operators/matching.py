@@ -11,6 +11,8 @@ from codekin.plans.scratch import written
 
 SCALE = 10_000  # costs are whole numbers on this scale
 INFINITE = 10_000_000
+MOST_VERTICES = 2_500  # of a graph held as dense matrices
+MOST_CELLS = 30_000_000  # of a matrix of two graphs' vertices
 
 
 def assignment(cost: np.ndarray, maximise: bool = False) -> np.ndarray:
@@ -155,46 +157,64 @@ def align_scores(candidates: DataFrame, edges: DataFrame, sizes: DataFrame, roun
 
 
 def edit_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """G16 of two adjacency matrices."""
+    return edges_edit_bound(np.argwhere(a > 0), len(a), np.argwhere(b > 0), len(b))
+
+
+def edges_edit_bound(a: np.ndarray, n1: int, b: np.ndarray, n2: int) -> int:
     """An upper bound of the edit distance of two graphs, all costs 1: vertices are assigned by the
-    difference of their degrees, as in the bipartite approximation, and the edits of that map counted."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return len(b) + int((b > 0).sum())
-    out, into = (a > 0).sum(1)[:, None] - (b > 0).sum(1)[None, :], (a > 0).sum(0)[:, None] - (b > 0).sum(0)[None, :]
-    to = assignment(np.abs(out) + np.abs(into))
-    kept = ((a > 0) & (b[np.ix_(to, to)] > 0)).sum()
-    return int(len(b) - len(a) + (a > 0).sum() + (b > 0).sum() - 2 * kept)
-
-
-def spectral_matches(edges: DataFrame, subject: DataFrame) -> DataFrame:
+    difference of their degrees, as in the bipartite approximation, and the edits of that map counted.
+
+    ``a`` and ``b`` are distinct edges as pairs of places, ``n1`` and ``n2`` numbers of vertices; only a
+    matrix of n1 x n2 is held."""
+    if n1 > n2:
+        a, n1, b, n2 = b, n2, a, n1
+    if not n1:
+        return n2 + len(b)
+    cost = np.zeros((n1, n2))
+    for end in (0, 1):
+        difference = np.subtract.outer(np.bincount(a[:, end], minlength=n1).astype(float), np.bincount(b[:, end], minlength=n2))
+        cost += np.abs(difference, out=difference)
+    to = assignment(cost)
+    kept = np.isin(to[a[:, 0]] * n2 + to[a[:, 1]], b[:, 0] * n2 + b[:, 1]).sum()
+    return int(n2 - n1 + len(a) + len(b) - 2 * kept)
+
+
+def spectral_matches(edges: DataFrame, subject: DataFrame, most: int = MOST_VERTICES, most_cells: int = MOST_CELLS) -> DataFrame:
     """G15 and the bound of G16 for one subject graph and every other file: (file1, file2, score, n_edits, n1, n2).
 
     ``edges``: file_id, fn_parent, fn_child; ``subject``: file1 and its edges e1 as one list, on one row.
-    A graph is dense here (n x n numbers), so only a subject of at most 20,000 vertices makes sense; its
-    row is checked against that before it is sent to the tasks."""
-    if (subject.agg(F.max(F.size(F.array_distinct(F.flatten(F.transform("e1", lambda e: F.array(e["fn_parent"], e["fn_child"])))))).alias("n")).first()["n"] or 0) > 20_000:
-        raise ValueError("the subject's graph is too large for a dense matching")
+    The score takes dense matrices (n x n numbers): it is null where either graph has more than ``most``
+    vertices. The bound takes n1 x n2 numbers: it is null above ``most_cells``. Every file has a row."""
+    one = subject.select("file1", F.explode("e1").alias("e")).select("file1", "e.fn_parent", "e.fn_child").toPandas()
+    subjects = {int(k): x[["fn_parent", "fn_child"]].to_numpy(np.int64) for k, x in one.groupby("file1")}
     graphs = edges.groupBy(F.col("file_id").alias("file2")).agg(F.collect_list(F.struct("fn_parent", "fn_child")).alias("e2"))
-    rows = graphs.join(F.broadcast(subject), F.col("file1") != F.col("file2"))
 
-    def adjacency(pairs) -> np.ndarray:
-        ends = np.array([(p["fn_parent"], p["fn_child"]) for p in pairs], np.int64).reshape(-1, 2)
+    def places(ends: np.ndarray) -> tuple[np.ndarray, int]:
         names = np.unique(ends)
-        x = np.zeros((len(names), len(names)))
-        np.add.at(x, (np.searchsorted(names, ends[:, 0]), np.searchsorted(names, ends[:, 1])), 1)
+        return np.searchsorted(names, ends), len(names)
+
+    def adjacency(ends: np.ndarray, n: int) -> np.ndarray:
+        x = np.zeros((n, n))
+        np.add.at(x, (ends[:, 0], ends[:, 1]), 1)
         return x
 
     def batches(it):
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[int, tuple] = {}
+        for file1, ends in subjects.items():
+            e1, n1 = places(ends)
+            a = adjacency(e1, n1) if n1 <= most else None
+            known[file1] = np.unique(e1, axis=0), n1, a, None if a is None else spectrum(a, n1)
         for pdf in it:
             out = []
-            for r in pdf.itertuples():
-                if r.file1 not in known:
-                    x = adjacency(r.e1)
-                    known[r.file1] = x, spectrum(x, len(x))
-                (a, ua), b = known[r.file1], adjacency(r.e2)
-                out.append((r.file1, r.file2, round(umeyama(a, b, ua)[1], 6), edit_bound(a, b), len(a), len(b)))
-            yield pd.DataFrame(out, columns=["file1", "file2", "score", "n_edits", "n1", "n2"])
-
-    return rows.select("file1", "file2", "e1", "e2").mapInPandas(batches, "file1 long, file2 long, score double, n_edits int, n1 int, n2 int")
+            for file2, pairs in zip(pdf.file2, pdf.e2):
+                e2, n2 = places(np.array([(p["fn_parent"], p["fn_child"]) for p in pairs], np.int64).reshape(-1, 2))
+                for file1, (u1, n1, a, ua) in known.items():
+                    if file1 != file2:
+                        score = None if a is None or n2 > most else round(umeyama(a, adjacency(e2, n2), ua)[1], 6)
+                        edits = None if n1 * n2 > most_cells else edges_edit_bound(u1, n1, np.unique(e2, axis=0), n2)
+                        out.append((file1, file2, score, edits, n1, n2))
+            rows = pd.DataFrame(out, columns=["file1", "file2", "score", "n_edits", "n1", "n2"])
+            yield rows.astype({"file1": "int64", "file2": "int64", "score": "Float64", "n_edits": "Int32", "n1": "int32", "n2": "int32"})
+
+    return graphs.mapInPandas(batches, "file1 long, file2 long, score double, n_edits int, n1 int, n2 int")

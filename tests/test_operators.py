@@ -215,6 +215,24 @@ def test_edit_bound():
     assert matching.edit_bound(a, np.pad(a, (0, 1))) == 1
 
 
+def test_large_graphs_keep_their_rows(spark):
+    chain = [(1, v, v + 1) for v in range(6)]
+    small = [(2, 10, 11), (2, 11, 12), (3, 20, 21), (3, 20, 20)]
+    edges = spark.createDataFrame(chain + small, "file_id long, fn_parent long, fn_child long")
+
+    def rows(file, **limits):
+        subject = edges.where(F.col("file_id") == file).groupBy(F.col("file_id").alias("file1")).agg(F.collect_list(F.struct("fn_parent", "fn_child")).alias("e1"))
+        return {r["file2"]: r for r in matching.spectral_matches(edges, subject, **limits).collect()}
+
+    whole = rows(1)
+    assert set(whole) == {2, 3} and all(r["score"] is not None for r in whole.values())
+    large = rows(1, most=5)  # the subject is too large: no score, but rows and bounds
+    assert {k: (r["score"], r["n_edits"], r["n1"], r["n2"]) for k, r in large.items()} == {k: (None, r["n_edits"], 7, r["n2"]) for k, r in whole.items()}
+    other = rows(2, most=5)  # one of the others is
+    assert other[1]["score"] is None and other[3]["score"] == rows(2)[3]["score"] is not None
+    assert [r["n_edits"] is None for _, r in sorted(rows(1, most_cells=15).items())] == [True, False]
+
+
 def test_recursion(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 2), (1, 4, 4), (2, 5, 6)], "file_id long, fn_parent long, fn_child long")
     assert sorted(r["func_id"] for r in graph.recursive_functions(e).collect()) == [2, 3, 4]
