@@ -6,7 +6,7 @@ under ``snapshots/``. A compaction
 1. reads the current snapshot's version,
 2. counts the small files of each partition (in Spark, from file metadata),
 3. rewrites only the partitions with too many of them, by dynamic partition overwrite, into files
-   of about the target size, keeping each record once where a record key is given,
+   of about the target size; where a record key is given, every partition, keeping each record once,
 4. commits by creating the next snapshot file exclusively. If another writer has committed a
    snapshot in between that touches a partition rewritten here, the compaction stops with
    ``ConflictError`` before anything is overwritten, or before its snapshot counts.
@@ -117,13 +117,15 @@ class Store:
     ) -> tuple[int, list[int]]:
         """Rewrite the partitions that hold ``min_small_files`` or more files below half the target.
 
-        With ``record_key`` each record is kept once, the row with the smallest ``keep_first_by``.
-        Rows of equal keys must lie in one partition. Returns the new version and the partitions
+        With ``record_key`` every partition is rewritten, whatever the size of its files, and each
+        record kept once, the row with the smallest ``keep_first_by``. Rows of equal keys must lie in one partition. Returns the new version and the partitions
         rewritten; without any there is no new snapshot. The list of partitions is collected: it
         is bounded by the partitions of the store, a number chosen from its size (2**31 bytes of
         data at 128 MB a partition are 16)."""
         since = self.version()
-        counts = self.file_counts(target_bytes // 2).where(F.col("n_small") >= min_small_files)
+        counts = self.file_counts(target_bytes // 2)
+        if record_key is None:
+            counts = counts.where(F.col("n_small") >= min_small_files)
         todo = {r[PART]: r["bytes"] for r in counts.select(PART, "bytes").collect()}
         if not todo:
             return since, []

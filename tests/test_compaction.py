@@ -59,6 +59,15 @@ def test_only_partitions_with_many_small_files_are_rewritten(spark):
     assert store.compact(target_bytes=1 << 20, min_small_files=2) == (version, [])
 
 
+def test_copies_go_whatever_the_size_of_files(spark):
+    store = landed(spark, parts=2, files=2)
+    store.append(spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("part")), [0, 1])
+    target = 2 * min(r["b"] for r in store.read().select(F.col("_metadata.file_size").alias("b")).distinct().collect())
+    assert {r["n_small"] for r in store.file_counts(target // 2).collect()} == {0}
+    assert store.compact(target_bytes=target, record_key=[F.col("id")], keep_first_by="id")[1] == [0, 1]
+    assert sorted(r["id"] for r in store.read().collect()) == [*range(200)]
+
+
 def test_conflicting_commit_is_refused(spark):
     store = landed(spark)
     since = store.version()
