@@ -38,7 +38,8 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
 
     Alternating large-star and small-star steps; each is one aggregation and one join, and the edges
     shrink towards stars. The number of steps is logarithmic in the size; a vertex with very many
-    edges is never collected. Every step is written, so no lineage grows."""
+    edges is never collected. Every step is written, so no lineage grows. Raises if ``rounds`` steps
+    do not end it: unfinished labels are never returned."""
     e = edges.where("fn_parent <> fn_child").select(F.least("fn_parent", "fn_child").alias("a"), F.greatest("fn_parent", "fn_child").alias("b"))
     e = written(e.distinct(), "star")
     before = None
@@ -53,6 +54,8 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     root = e.groupBy(F.col("b").alias("func_id")).agg(F.min("a").alias("component"))
     return vertices.select("func_id").join(root, "func_id", "left").select("func_id", F.coalesce("component", "func_id").alias("component"))
 

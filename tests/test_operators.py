@@ -144,6 +144,12 @@ def test_components_of_long_chain_and_hub(spark):
     assert {r["component"] for r in got.collect()} == {1, 1000}
 
 
+def test_components_never_return_unfinished_labels(spark):
+    v, chain = spark.range(20).withColumnRenamed("id", "func_id"), [(i, i + 1) for i in range(19)]
+    with pytest.raises(RuntimeError):
+        graph.components(v, spark.createDataFrame(chain, "fn_parent long, fn_child long"), rounds=1)
+
+
 def test_qt_clusters():
     assert graph.qt_clusters([0, 5, 10, 100, 104, 300], 10) == [1, 1, 1, 2, 2, 3] and graph.qt_clusters([], 10) == []
 
