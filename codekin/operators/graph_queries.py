@@ -64,11 +64,17 @@ def g05_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g06_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Function sizes propagated upwards over four rounds."""
+    """Function sizes propagated upwards over four rounds; ``g06_final`` has the final values."""
     rows = graph.propagate(functions(spark, sf_dir), _edges(spark, sf_dir), "func_size", ROUNDS)
     return rows.select("func_id", F.round(F.col("w") + 1e-9, 6).alias("weight"))
 
 
+def g06_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function sizes propagated upwards until they no longer change."""
+    rows = graph.propagated(functions(spark, sf_dir), _edges(spark, sf_dir), "func_size")
+    return rows.select("func_id", F.round("w", 6).alias("weight"))
+
+
 def _spilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = functions(spark, sf_dir).select("func_id", F.lit(1.0).alias("weight"))
     return graph.spill(_edges(spark, sf_dir), sources)
@@ -284,7 +290,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
+    "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g06_final g07_spill g08_norm g09_assign g15_umeyama "
     "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
     "j13_range s21_offsets g12_paths g11_equiv g11_classes f17_recursive g10_orders g10_classes g13_outputs g14_offsets g23_dominators s13_dot_files"
 )

@@ -150,6 +150,17 @@ def test_components_never_return_unfinished_labels(spark):
         graph.components(v, spark.createDataFrame(chain, "fn_parent long, fn_child long"), rounds=1)
 
 
+def test_propagation_ends_when_nothing_changes(spark):
+    v = spark.createDataFrame([(i, 1000.0) for i in range(12)] + [(20, 10.0), (21, 30.0)], "func_id long, size double")
+    e = spark.createDataFrame([(i, i + 1) for i in range(11)] + [(20, 21), (21, 20)], "fn_parent long, fn_child long")
+    got = {r["func_id"]: r["w"] for r in graph.propagated(v, e, "size").collect()}
+    want = [1000.0]
+    for _ in range(11):
+        want.append((0.3 * want[-1] + 700) / 2)
+    assert [got[i] for i in range(11, -1, -1)] == pytest.approx(want, abs=1e-6)
+    assert got[20] == pytest.approx((0.3 * got[21] + 7) / 2, abs=1e-6) and got[21] == pytest.approx((0.3 * got[20] + 21) / 2, abs=1e-6)
+
+
 def test_qt_clusters():
     assert graph.qt_clusters([0, 5, 10, 100, 104, 300], 10) == [1, 1, 1, 2, 2, 3] and graph.qt_clusters([], 10) == []
 
