@@ -31,7 +31,7 @@ from codekin.sources.tables import BLANKS
 
 BATCH, PART = "batch", "part"
 LEAST_PARTS = 8  # partitions of a small store
-FILES_A_PART = 16  # well-sized files that a partition of a large store holds
+FILES_A_PART = 8  # well-sized files that a partition of a large store holds
 
 
 class ConflictError(RuntimeError):
@@ -231,7 +231,7 @@ def graph_records(files: DataFrame) -> DataFrame:
     brace is no record. ``addr`` is the hexadecimal number at the end of the title without leading
     zeros, sign of base or case; a title without one stands for itself, trimmed. In the body, line
     ends become one line feed, white space at line ends and blank lines at the end are dropped.
-    A null file_id is a value like any other. ``arrived`` is the month of arrival, null if unknown.
+    A null file_id is a value like any other. ``arrived`` is the quarter of arrival, null if unknown.
     """
     body = F.regexp_replace("body", r"\r\n?", "\n")
     body = F.regexp_replace(body, r"(?m)[ \t]+$", "")
@@ -243,14 +243,14 @@ def graph_records(files: DataFrame) -> DataFrame:
     return (
         files.where((F.btrim("title", F.lit(BLANKS)) != "") & F.col("body").isNotNull())
         .withColumn("__number", number)
-        .select("gdl_id", "file_id", addr.alias("addr"), body.alias("body"), F.date_format("written_at", "yyyy-MM").alias("arrived"))
+        .select("gdl_id", "file_id", addr.alias("addr"), body.alias("body"), F.concat(F.year("written_at"), F.lit("q"), F.quarter("written_at")).alias("arrived"))
         .where(F.regexp_like("body", F.lit(r"(^|\n)[ \t]*\}\z")))
     )
 
 
 def distinct_graphs(records: DataFrame) -> DataFrame:
     """``graph_records`` once each: with the smallest gdl_id (null only where there is no other) and the
-    first month of arrival. Combined before the shuffle, so a group of copies costs one row a task."""
+    first quarter of arrival. Combined before the shuffle, so a group of copies costs one row a task."""
     return records.groupBy("file_id", "addr", "body").agg(F.min("gdl_id").alias("gdl_id"), F.min("arrived").alias("arrived"))
 
 
@@ -258,7 +258,7 @@ def compacted_graphs(files: DataFrame, target_bytes: int = 128 << 20, path: str
     """Every graph of the tiny files ``files`` exactly once, from a store of few well-sized files.
 
     Copies go first, in the plan, whatever the sizes of files. The records land in the store by
-    month of arrival, one file for each month and partition at most; then the partitions where that
+    quarter of arrival, one file for each quarter and partition at most; then the partitions where that
     left several small files are compacted, and the others stay. A partition is a hash of the record,
     so neither a binary with very many graphs nor a group of copies makes one large. An empty input
     gives an empty result.
@@ -269,6 +269,7 @@ def compacted_graphs(files: DataFrame, target_bytes: int = 128 << 20, path: str
     parts = max(LEAST_PARTS, -(-volume // (FILES_A_PART * target_bytes)))
     key = F.xxhash64("file_id", "addr", "body")
     landed = distinct_graphs(graph_records(files)).withColumn(PART, F.pmod(key, F.lit(parts)).cast("int"))
-    store.append(landed.repartition("arrived", PART).sortWithinPartitions("arrived", PART), F.col("arrived"))
+    tasks = max(parts, -(-volume // target_bytes))
+    store.append(landed.repartition(tasks, "arrived", PART), F.col("arrived"))
     store.compact(target_bytes=target_bytes)
     return store.read()

@@ -13,7 +13,7 @@ BODY = 'node: { title: "a" label: "x" }\n}'
 
 
 def ids(spark, rows, **how):
-    seen = [None, *[datetime(2011, m, 1) for m in (1, 2, 3)]]
+    seen = [None, *[datetime(2011, m, 1) for m in (1, 4, 8)]]
     df = spark.createDataFrame([(*r, seen[i % 4], "clash", "clash", "clash", 1) for i, r in enumerate(rows)], SCHEMA)
     return sorted((r["gdl_id"] for r in compacted_graphs(df, **how).collect()), key=lambda x: (x is None, x))
 
@@ -142,9 +142,9 @@ def test_large_partition_becomes_several_files(spark):
     assert store.file_counts(1).collect()[0]["n_files"] > 1 and held(store) == [*range(400)]
 
 
-def test_landing_makes_one_file_for_each_month_and_partition(spark):
+def test_landing_makes_one_file_for_each_quarter_and_partition(spark):
     path = new_path(spark, "graphs")
-    df = spark.createDataFrame([(i, 1, f"graph of {i:x}", BODY, datetime(2011, 1 + i % 3, 1), "", "", "", 1) for i in range(1, 301)], SCHEMA)
+    df = spark.createDataFrame([(i, 1, f"graph of {i:x}", BODY, datetime(2011, 1 + i % 3 * 3, 1), "", "", "", 1) for i in range(1, 301)], SCHEMA)
     assert compacted_graphs(df, path=path).count() == 300
     store = Store(spark, path)
     assert {r["n_files"] for r in store.file_counts(1, 1).collect()} == {3}
