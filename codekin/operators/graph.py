@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,16 +62,25 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
     return vertices.select("func_id").join(root, "func_id", "left").select("func_id", F.coalesce("component", "func_id").alias("component"))
 
 
-def reachable(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """G5, P17 bounded: (src, dst, hops): the fewest calls, up to ``depth``, that lead from src to dst."""
-    steps = edges.select(F.col("fn_parent").alias("src"), F.col("fn_child").alias("dst")).distinct()
-    known = steps.withColumn("hops", F.lit(1))
-    front = steps
+def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst, hops): the fewest calls that lead from src to dst, for every dst that src
+    reaches, itself included where it lies on a cycle.
+
+    Goes on until no new pair is found; ``depth`` bounds the calls where only near ones are wanted.
+    Every round is written, and only the pairs new in it go on. The result is as large as the
+    closure; a caller of very many functions is one more row each, never a list."""
+    steps = written(edges.select(F.col("fn_parent").alias("src"), F.col("fn_child").alias("dst")).distinct(), "steps")
     onward = steps.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for hop in range(2, depth + 1):
-        front = front.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct().join(known, ["src", "dst"], "left_anti")
-        known = known.unionByName(front.withColumn("hops", F.lit(hop)))
-    return known
+    known = [steps.withColumn("hops", F.lit(1))]
+    front = steps
+    while depth is None or len(known) < depth:
+        so_far = reduce(DataFrame.unionByName, known).select("src", "dst")
+        front = front.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct().join(so_far, ["src", "dst"], "left_anti")
+        front = written(front, "front")
+        if front.isEmpty():
+            break
+        known.append(front.withColumn("hops", F.lit(len(known) + 1)))
+    return reduce(DataFrame.unionByName, known)
 
 
 def call_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,34 +167,27 @@ def recursive_functions(edges: DataFrame) -> DataFrame:
     return edges.groupBy("file_id").applyInPandas(per_file, "func_id long")
 
 
-def propagate(vertices: DataFrame, edges: DataFrame, weight: str, rounds: int) -> DataFrame:
-    """(func_id, weight): a leaf keeps its weight; any other vertex gets half of 0.3 of its
-    children's mean plus 0.7 of its own. ``rounds`` steps from the bottom; on a graph without cycles
-    that is no deeper, the result is final; on others it is the value after so many steps."""
-    own = vertices.select("func_id", F.col(weight).cast("double").alias("own"))
-    steps = edges.where("fn_parent <> fn_child").select("fn_parent", "fn_child")
-    now = own.select("func_id", F.col("own").alias("w"))
-    for _ in range(rounds):
-        mean = steps.join(now.select(F.col("func_id").alias("fn_child"), "w"), "fn_child").groupBy(F.col("fn_parent").alias("func_id")).agg(F.avg("w").alias("m"))
-        now = own.join(mean, "func_id", "left").select("func_id", F.when(F.col("m").isNull(), F.col("own")).otherwise((0.3 * F.col("m") + 0.7 * F.col("own")) / 2).alias("w"))
-    return now
-
+def propagated(vertices: DataFrame, edges: DataFrame, weight: str, tolerance: float = 1e-11, at_once: int = 3) -> DataFrame:
+    """(func_id, w): a leaf keeps its weight; any other vertex gets half of 0.3 of its children's
+    mean plus 0.7 of its own. A self call makes no child, so its caller's own weight is not counted
+    twice; null weights are left out of means.
 
-def propagated(vertices: DataFrame, edges: DataFrame, weight: str, tolerance: float = 1e-7) -> DataFrame:
-    """(func_id, w) of ``propagate`` carried on until no weight changes by more than ``tolerance``
-    (and 1e-12 of itself). A round shrinks a change to 0.15 of it, so the rounds are logarithmic in
-    the weights, on cycles too. Every round is written."""
+    Goes on until no weight changes by more than ``tolerance`` (and 1e-13 of itself). A round shrinks a
+    change to 0.15 of it, so the rounds are logarithmic in the weights, on cycles too, and the result
+    is the one fixed point. ``at_once`` rounds are planned together and written."""
     own = written(vertices.select("func_id", F.col(weight).cast("double").alias("own")), "own")
-    edges = written(edges.where("fn_parent <> fn_child").select("fn_parent", "fn_child"), "edges")
+    edges = written(edges.where("fn_parent <> fn_child").select("fn_parent", "fn_child").distinct(), "edges")
     now = own.select("func_id", F.col("own").alias("w"))
     while True:
-        mean = edges.join(now.select(F.col("func_id").alias("fn_child"), "w"), "fn_child").groupBy(F.col("fn_parent").alias("func_id")).agg(F.avg("w").alias("m"))
-        rows = own.join(mean, "func_id", "left").join(now.withColumnRenamed("w", "before"), "func_id")
-        w = F.when(F.col("m").isNull(), F.col("own")).otherwise((0.3 * F.col("m") + 0.7 * F.col("own")) / 2)
-        now = written(rows.select("func_id", w.alias("w"), "before"), "weights")
-        moved = now.where(F.abs(F.col("w") - F.col("before")) > tolerance + 1e-12 * F.abs("w")).limit(1).count()
-        now = now.drop("before")
-        if not moved:
+        for _ in range(at_once):
+            mean = edges.join(now.select(F.col("func_id").alias("fn_child"), "w"), "fn_child").groupBy(F.col("fn_parent").alias("func_id")).agg(F.avg("w").alias("m"))
+            rows = own.join(mean, "func_id", "left").join(now.withColumnRenamed("w", "before"), "func_id")
+            w = F.when(F.col("m").isNull(), F.col("own")).otherwise((0.3 * F.col("m") + 0.7 * F.col("own")) / 2)
+            rows = rows.select("func_id", w.alias("w"), "before")
+            now = rows.drop("before")
+        rows = written(rows, "weights")
+        now = rows.drop("before")
+        if rows.where(F.abs(F.col("w") - F.col("before")) > tolerance + 1e-13 * F.abs("w")).isEmpty():
             return now
 
 

@@ -14,7 +14,6 @@ from codekin.sources import formats
 from codekin.sources.tables import table
 
 ADJUST = 1000.0
-ROUNDS = 4
 DIAMETER = 4096
 THUNK_SIZE = 5
 
@@ -54,7 +53,7 @@ def g05_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g05_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions reached within three calls."""
+    """Every function that a function reaches, and by how many calls at least."""
     return graph.reachable(_edges(spark, sf_dir))
 
 
@@ -64,15 +63,9 @@ def g05_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g06_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Function sizes propagated upwards over four rounds; ``g06_final`` has the final values."""
-    rows = graph.propagate(functions(spark, sf_dir), _edges(spark, sf_dir), "func_size", ROUNDS)
-    return rows.select("func_id", F.round(F.col("w") + 1e-9, 6).alias("weight"))
-
-
-def g06_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function sizes propagated upwards until they no longer change."""
     rows = graph.propagated(functions(spark, sf_dir), _edges(spark, sf_dir), "func_size")
-    return rows.select("func_id", F.round("w", 6).alias("weight"))
+    return rows.select("func_id", F.round(F.col("w") + 1e-9, 6).alias("weight"))
 
 
 def _spilled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +283,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g06_final g07_spill g08_norm g09_assign g15_umeyama "
+    "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
     "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
     "j13_range s21_offsets g12_paths g11_equiv g11_classes f17_recursive g10_orders g10_classes g13_outputs g14_offsets g23_dominators s13_dot_files"
 )
@@ -311,8 +304,7 @@ SELECT DISTINCT s.src, e.fn_parent, e.fn_child, 2 FROM (SELECT src, fn_parent AS
 ANTI JOIN h1 ON h1.src = s.src AND h1.fn_parent = e.fn_parent AND h1.fn_child = e.fn_child"""
 _H1 = "SELECT fn_parent AS src, fn_parent, fn_child, 1 AS hop FROM fe UNION SELECT fn_child, fn_parent, fn_child, 1 FROM fe"
 _SPILLED = "SELECT fe.fn_parent, fe.fn_child, coalesce(sum(power(0.5, hop - 1)), 0.0) AS w, count(hop) AS n FROM fe LEFT JOIN hs USING (fn_parent, fn_child) GROUP BY 1, 2"
-_ROUND = """SELECT fn.func_id, CASE WHEN m IS NULL THEN func_size::double ELSE (0.3 * m + 0.7 * func_size) / 2 END AS w FROM fn
-LEFT JOIN (SELECT fn_parent, avg(w) AS m FROM fe JOIN {} p ON p.func_id = fn_child WHERE fn_parent <> fn_child GROUP BY 1) c ON c.fn_parent = fn.func_id"""
+_CLOSED = "/* RECURSIVE */ SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT cl.a, fn_child FROM cl JOIN fe ON cl.b = fn_parent"
 ORACLE = {
     "g02_edges": with_views("SELECT fn_parent, fn_child, file_id FROM fe", *_V),
     "g03_weights": "SELECT fn_parent, fn_child, count(*) AS weight FROM fncalls WHERE fn_parent IS NOT NULL AND fn_child IS NOT NULL GROUP BY 1, 2",
@@ -322,11 +314,18 @@ WHEN func_id IN (SELECT fn_parent FROM fe WHERE fn_child <> fn_parent) THEN 2 EL
     "g05_component": with_views("SELECT a AS func_id, min(b) AS component FROM cl GROUP BY 1", *_V,
         un="SELECT fn_parent AS a, fn_child AS b FROM fe UNION SELECT fn_child, fn_parent FROM fe",
         cl="/* RECURSIVE */ SELECT func_id AS a, func_id AS b FROM fn UNION SELECT cl.a, un.b FROM cl JOIN un ON cl.b = un.a"),
-    "g05_reach": with_views("SELECT src, dst, min(hops)::int AS hops FROM (SELECT src, dst, 1 AS hops FROM s1 UNION ALL SELECT src, dst, 2 FROM s2 UNION ALL SELECT src, dst, 3 FROM s3) GROUP BY 1, 2", *_V,
-        s1="SELECT fn_parent AS src, fn_child AS dst FROM fe", s2="SELECT DISTINCT a.src, b.dst FROM s1 a JOIN s1 b ON a.dst = b.src",
-        s3="SELECT DISTINCT a.src, b.dst FROM s2 a JOIN s1 b ON a.dst = b.src"),
-    "g06_propagate": with_views("SELECT func_id, round(w + 1e-9, 6) AS weight FROM r4", *_V, r0="SELECT func_id, func_size::double AS w FROM fn",
-        **{f"r{i}": _ROUND.format(f"r{i - 1}") for i in range(1, ROUNDS + 1)}),
+    "g05_reach": with_views("SELECT a AS src, b AS dst, hops FROM cl", *_V).replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT a AS src", """, cl(a, b, hops) USING KEY (a, b) AS (
+  SELECT fn_parent, fn_child, 1::int FROM fe GROUP BY 1, 2 UNION SELECT cl.a, fn_child, min(hops) + 1 FROM cl JOIN fe ON cl.b = fn_parent
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.cl k WHERE k.a = cl.a AND k.b = fn_child) GROUP BY 1, 2)
+SELECT a AS src""", 1),
+    "g05_level": with_views("SELECT func_id, coalesce(max(level), 0)::int AS level FROM part LEFT JOIN lv ON lv.p = part.p GROUP BY 1", *_V, cl=_CLOSED,
+        part="SELECT func_id, least(func_id, coalesce(min(x.b), func_id)) AS p FROM fn LEFT JOIN (SELECT c.a, c.b FROM cl c JOIN cl d ON c.a = d.b AND c.b = d.a) x ON x.a = func_id GROUP BY 1",
+        dag="SELECT DISTINCT x.p AS a, y.p AS b FROM fe JOIN part x ON x.func_id = fn_parent JOIN part y ON y.func_id = fn_child WHERE x.p <> y.p",
+        lv="/* RECURSIVE */ SELECT a AS p, 0 AS level FROM dag UNION SELECT dag.b, level + 1 FROM lv JOIN dag ON dag.a = lv.p"),
+    "g06_propagate": with_views("SELECT func_id, round(w + 1e-9, 6) AS weight FROM r WHERE i = 40", *_V,
+        r="""/* RECURSIVE */ SELECT 0 AS i, func_id, func_size::double AS own, func_size::double AS w FROM fn
+UNION ALL SELECT i + 1, r.func_id, own, CASE WHEN m IS NULL THEN own ELSE (0.3 * m + 0.7 * own) / 2 END FROM r
+LEFT JOIN (SELECT fn_parent, avg(w) AS m FROM fe JOIN r ON func_id = fn_child WHERE fn_parent <> fn_child GROUP BY 1) c ON fn_parent = r.func_id WHERE i < 40"""),
     "g07_spill": with_views("SELECT fn_parent, fn_child, round(w, 6) AS weight, n AS n_spills FROM sp", *_V, h1=_H1, hs=_SPILL, sp=_SPILLED),
     "g08_norm": with_views("SELECT fn_parent, fn_child, CASE WHEN n = 0 THEN 0.0::double ELSE round(w / n, 6) END AS weight FROM sp", *_V, h1=_H1, hs=_SPILL, sp=_SPILLED),
     "g22_cfg": with_views(r"""SELECT b.func_id, b.bb_id, CASE WHEN coalesce(stmts[-1] LIKE 'jmp(%', false) THEN -1 ELSE coalesce(following, -1) END AS next1, coalesce(next2, -1) AS next2
