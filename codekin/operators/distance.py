@@ -1,8 +1,10 @@
 """Distances between functions' n-gram vectors, through an inverted index.
 
-A search takes stated query functions against all functions. The count ratio filter is an equi-join
-on logarithmic buckets, so no product of the two sides is formed; dot products come from one join on
-the n-gram and one aggregation, combined before its shuffle.
+A search takes stated query functions against all functions. Searches for near functions start from
+shared n-grams (``near_pairs``) and form no other pair. Where every pair within the count ratio is
+asked for, the query functions meet all functions of similar counts in blocks of bounded size
+(``ratio_pairs``). Dot products come from one join on the n-gram, common ones split, and one
+aggregation, combined before its shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codekin.operators.skew import heavy_keys, split_join
+
 RATIO = 3  # pairs are dropped when one count is more than so many times the other (P5)
+ROWS_A_TASK = 2000  # functions that a task of the ratio join takes
+HEAVY_SHARE = 0.005  # n-grams that hold more of all rows are split when vectors meet
+ROWS_A_SALT = 200_000  # rows of all vectors for each part of a common n-gram, and for each task
 DECIMALS = 6
 
 
@@ -23,30 +30,52 @@ def vector_stats(freq: DataFrame) -> DataFrame:
     return freq.groupBy("func_id").agg(F.count(F.lit(1)).alias("k"), F.sum(f).alias("total"), F.sum(f * f).alias("squares"))
 
 
-def ratio_pairs(queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = (), parts: int = 1) -> DataFrame:
+def _within(n1: Column, n2: Column, ratio: int) -> Column:
+    return (n2 <= ratio * n1) & (n1 <= ratio * n2)
+
+
+def ratio_pairs(
+    queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = (),
+    rows_a_task: int = ROWS_A_TASK, least: int = 0, sizes: DataFrame | None = None,
+) -> DataFrame:
     """(func1_id, func2_id): a query function and each function whose count is within ``ratio``.
 
-    Both have func_id, file_id and num_ngrams. Null counts and those below 1 match nothing. Counts are
-    put into buckets of powers of ``ratio``; partners lie in the same or a neighbouring bucket. Columns
-    to ``carry`` come along from both sides with 1 and 2 behind their names, which saves joining them
-    to the pairs later. ``parts`` cuts each bucket's functions for as many tasks, where much is done per pair."""
-    bucket = F.floor(F.log(float(ratio), F.col("num_ngrams").cast("double")) + F.lit(1e-12)).cast("int")
-    q = queries.where("num_ngrams > 0").select(
-        F.col("func_id").alias("func1_id"), F.col("file_id").alias("__file1"), F.col("num_ngrams").alias("__n1"),
+    Both have func_id, file_id and num_ngrams. Null counts and those below ``least`` match nothing; 0
+    matches 0 only (P6). Counts are put into buckets of powers of ``ratio``; partners lie in the same or
+    a neighbouring bucket. A bucket's functions are cut for as many tasks as ``rows_a_task`` asks for,
+    and its queries go to each, so every task has about as many functions; ``sizes`` may stand for
+    ``functions`` when buckets are counted (a row for each bucket, so at most 45). Columns to ``carry``
+    come along from both sides with 1 and 2 behind their names, which saves joining them to the pairs later."""
+    n = F.col("num_ngrams")
+    bucket = F.when(n == 0, -5).otherwise(F.floor(F.log(float(ratio), F.greatest(n, F.lit(1)).cast("double")) + F.lit(1e-12))).cast("int")
+    kept = n >= max(least, 0)
+    counts = (functions if sizes is None else sizes).where(kept).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    tasks = {r["b"]: -(-r["c"] // rows_a_task) for r in counts}
+    cut = F.create_map(*[F.lit(x) for item in [(-99, 1), *tasks.items()] for x in item])
+    q = queries.where(kept).select(
+        F.col("func_id").alias("func1_id"), F.col("file_id").alias("__file1"), n.alias("__n1"),
         F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"), *[F.col(c).alias(f"{c}1") for c in carry],
     )
-    key = ["__bucket"]
-    if parts > 1:
-        key.append("__part")
-        q = q.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    a = functions.where("num_ngrams > 0").select(
-        F.col("func_id").alias("func2_id"), F.col("file_id").alias("__file2"), F.col("num_ngrams").alias("__n2"), bucket.alias("__bucket"),
-        *[F.col(c).alias(f"{c}2") for c in carry], *[F.pmod(F.xxhash64("func_id"), F.lit(parts)).alias(k) for k in key[1:]],
+    q = q.withColumn("__parts", F.try_element_at(cut, F.col("__bucket"))).where("__parts > 0")
+    q = q.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    a = functions.where(kept).select(
+        F.col("func_id").alias("func2_id"), F.col("file_id").alias("__file2"), n.alias("__n2"), bucket.alias("__bucket"),
+        F.pmod(F.xxhash64("func_id"), F.coalesce(F.try_element_at(cut, bucket), F.lit(1))).cast("int").alias("__part"), *[F.col(c).alias(f"{c}2") for c in carry],
     )
-    near = (F.col("__n2") <= ratio * F.col("__n1")) & (F.col("__n1") <= ratio * F.col("__n2"))
+    near = _within(F.col("__n1"), F.col("__n2"), ratio)
     if other_file:
         near &= F.col("__file1") != F.col("__file2")
-    return q.join(a, key).where(near).drop(*key, "__file1", "__file2", "__n1", "__n2")
+    # what a pair costs is not its bytes: the number of tasks is the number of cuts
+    spread = max(1, min(10_000, sum(tasks.values())))
+    key = ["__bucket", "__part"]
+    return q.repartition(spread, *key).join(a.repartition(spread, *key), key).where(near).drop(*key, "__file1", "__file2", "__n1", "__n2")
+
+
+def _meeting(q: DataFrame, a: DataFrame, freq: DataFrame) -> DataFrame:
+    """Query rows and rows of all vectors with an equal n-gram; common n-grams are split."""
+    heavy, n = heavy_keys(freq, F.col("ngram"), HEAVY_SHARE)
+    cores = freq.sparkSession.sparkContext.defaultParallelism
+    return split_join(q, a, "ngram", heavy, "func2_id", max(8, min(4096, n // ROWS_A_SALT)), max(2 * cores, min(20_000, n // ROWS_A_SALT)))
 
 
 def dot_products(queries: DataFrame, freq: DataFrame) -> DataFrame:
@@ -54,7 +83,24 @@ def dot_products(queries: DataFrame, freq: DataFrame) -> DataFrame:
     q = freq.join(queries.select("func_id"), "func_id", "left_semi")
     q = q.select(F.col("func_id").alias("func1_id"), "ngram", F.col("freq").alias("f1"))
     a = freq.select(F.col("func_id").alias("func2_id"), "ngram", F.col("freq").alias("f2"))
-    return q.join(a, "ngram").groupBy("func1_id", "func2_id").agg(F.sum(F.col("f1") * F.col("f2")).alias("dot"))
+    return _meeting(q, a, freq).groupBy("func1_id", "func2_id").agg(F.sum(F.col("f1") * F.col("f2")).alias("dot"))
+
+
+def near_pairs(queries: DataFrame, functions: DataFrame, freq: DataFrame, below: float, ratio: int = RATIO, other_file: bool = True) -> DataFrame:
+    """(func1_id, func2_id, value) of the pairs whose cosine distance is less than ``below`` (1 at most),
+    with counts within ``ratio``. Such pairs share an n-gram, so no other pair is ever formed."""
+    info = functions.where("num_ngrams >= 0").select("func_id", "file_id", "num_ngrams").join(vector_stats(freq).select("func_id", "squares"), "func_id")
+    rows = freq.join(info, "func_id")
+    side = lambda df, k: df.select("ngram", *[F.col(c).alias(f"{n}{k}") for c, n in (("func_id", "id"), ("freq", "f"), ("file_id", "file"), ("num_ngrams", "n"), ("squares", "squares"))])
+    q = side(rows.join(queries.select("func_id"), "func_id", "left_semi"), 1).withColumnRenamed("id1", "func1_id")
+    a = side(rows, 2).withColumnRenamed("id2", "func2_id")
+    pairs = _meeting(q, a, freq).where(_within(F.col("n1"), F.col("n2"), ratio))
+    if other_file:
+        pairs = pairs.where("file1 <> file2")
+    pairs = pairs.groupBy("func1_id", "func2_id").agg(
+        F.sum(F.col("f1") * F.col("f2")).alias("dot"), F.max("squares1").alias("squares1"), F.max("squares2").alias("squares2")
+    )
+    return pairs.select("func1_id", "func2_id", cosine().alias("value")).where(F.col("value") < below)
 
 
 STATS = ("k", "total", "squares")
@@ -103,7 +149,7 @@ def distances(metric: str, queries: DataFrame, functions: DataFrame, freq: DataF
     columns to ``carry`` from both sides."""
     value, needs_dot = METRICS[metric]
     stats = vector_stats(freq)
-    pairs = ratio_pairs(queries.join(stats, "func_id", "left"), functions.join(stats, "func_id", "left"), carry=(*STATS, *carry))
+    pairs = ratio_pairs(queries.join(stats, "func_id", "left"), functions.join(stats, "func_id", "left"), carry=(*STATS, *carry), sizes=functions)
     if needs_dot:
         pairs = pairs.join(dot_products(queries, freq), ["func1_id", "func2_id"], "left")
     return pairs.select("func1_id", "func2_id", value().alias("value"), *[f"{c}{k}" for c in carry for k in (1, 2)])

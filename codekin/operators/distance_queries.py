@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codekin.operators import distance, equivalence, gates
 from codekin.operators.features import frequencies, functions, imports, lifted_names, operations, same_name_pairs, with_views
+from codekin.operators.skew import heavy_keys, split_join
+from codekin.plans.scratch import written
 from codekin.sources.tables import table
 
 QUERY_EVERY = 50  # functions whose id is divisible by this are searched for among all
@@ -14,7 +16,7 @@ QUERY_EVERY = 50  # functions whose id is divisible by this are searched for amo
 
 def _base(spark: SparkSession, sf_dir: str):
     fn = functions(spark, sf_dir)
-    return fn.where(F.col("func_id") % QUERY_EVERY == 0), fn, frequencies(spark, sf_dir)
+    return fn.where(F.col("func_id") % QUERY_EVERY == 0), fn, written(frequencies(spark, sf_dir), "frequencies")
 
 
 def _metric(name: str):
@@ -45,15 +47,37 @@ def gated_pairs(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = (), m
     return rows.select("func1_id", "func2_id", F.col("value").alias("cosim"), passes.cast("int").alias("dist"), "c1", "c2", "i1", "i2", *carried)
 
 
+def _attributes(spark: SparkSession, sf_dir: str, fn: DataFrame, *more: str) -> DataFrame:
+    """(func_id, c, i, ...): complexity and number of imports of each function."""
+    counts = gates.import_counts(imports(spark, sf_dir))
+    return fn.join(counts, "func_id", "left").select("func_id", F.col("cyccomp").alias("c"), F.coalesce("n_imports", F.lit(0)).cast("long").alias("i"), *more)
+
+
+def _both(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Pairs with the attributes of both functions, with 1 and 2 behind their names."""
+    for k in (1, 2):
+        pairs = pairs.join(attributes.select(*[F.col(c).alias(f"func{k}_id" if c == "func_id" else f"{c}{k}") for c in attributes.columns]), f"func{k}_id")
+    return pairs
+
+
+def passing_pairs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """func1_id, func2_id, cosim, c1, c2, i1, i2 and more columns of both functions: the pairs of the
+    search that pass the gates P1 to P3. They share an n-gram, so the search starts from these."""
+    queries, fn, freq = _base(spark, sf_dir)
+    rows = distance.near_pairs(queries, fn, freq, gates.COSINE_BELOW).withColumnRenamed("value", "cosim")
+    rows = _both(rows, _attributes(spark, sf_dir, fn, *more))
+    return rows.where(gates.complexity_gate(F.col("c1"), F.col("c2")) & gates.import_gate(F.col("i1"), F.col("i2")))
+
+
 def f01_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of the search that pass the cosine, complexity and import gates."""
-    return gated_pairs(spark, sf_dir).where("dist = 1").select("func1_id", "func2_id", "cosim")
+    return passing_pairs(spark, sf_dir).select("func1_id", "func2_id", "cosim")
 
 
 def f04_import_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of the search whose first function's imports are among the second's."""
-    queries, fn, _ = _base(spark, sf_dir)
-    return gates.import_subset(distance.ratio_pairs(queries, fn), imports(spark, sf_dir))
+    fn = functions(spark, sf_dir)
+    return gates.import_subset(distance.ratio_pairs(fn.where(F.col("func_id") % QUERY_EVERY == 0), fn), imports(spark, sf_dir))
 
 
 def f07_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +148,8 @@ def d04_bitap(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions without any statement recorded have no row."""
     code = F.array_join(F.transform("ops", lambda o: F.concat(F.coalesce(o, F.lit("")), F.lit(" "))), "")
     ops = operations(spark, sf_dir).select("func_id", code.alias("code"))
-    queries, fn, _ = _base(spark, sf_dir)
-    pairs = distance.ratio_pairs(queries.join(ops, "func_id"), fn.join(ops, "func_id"), carry=("code",), parts=8)
+    fn = functions(spark, sf_dir)
+    pairs = distance.ratio_pairs(fn.where(F.col("func_id") % QUERY_EVERY == 0).join(ops, "func_id"), fn.join(ops, "func_id"), carry=("code",), rows_a_task=100)
     return pairs.select("func1_id", "func2_id", distance.text_distance("bitap")("code2", "code1").alias("bitap"))
 
 
@@ -179,10 +203,7 @@ def j03_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("func1_id", "func2_id", "cosim", "dist", *[F.col(f"{c}{k}").alias(n.format(k)) for c, n in names.items() for k in (1, 2)])
 
 
-def j04_report1(spark: SparkSession, sf_dir: str, same_names: bool = True, dist: int = 0) -> DataFrame:
-    """Pairs of equal (or different) names with complexity, import counts and shared imports."""
-    rows = gated_pairs(spark, sf_dir, ("file_id", "func_name")).where(F.col("dist") == dist)
-    rows = rows.where((F.col("func_name1") == F.col("func_name2")) if same_names else (F.col("func_name1") != F.col("func_name2")))
+def _report1(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     names = imports(spark, sf_dir).groupBy("func_id").agg(F.collect_set("name").alias("names"))
     rows = rows.join(names.select(F.col("func_id").alias("func1_id"), F.col("names").alias("a")), "func1_id", "left")
     rows = rows.join(names.select(F.col("func_id").alias("func2_id"), F.col("names").alias("b")), "func2_id", "left")
@@ -193,14 +214,40 @@ def j04_report1(spark: SparkSession, sf_dir: str, same_names: bool = True, dist:
     )
 
 
+def j04_report1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of equal names that fail a gate, with complexity, import counts and shared imports (J4, J7,
+    P11). The search starts from equal names; common names are split."""
+    queries, fn, freq = _base(spark, sf_dir)
+    named = fn.where("func_name IS NOT NULL AND num_ngrams >= 0").select("func_id", "file_id", "func_name", "num_ngrams")
+    heavy, n = heavy_keys(named, F.col("func_name"), distance.HEAVY_SHARE)
+    side = lambda df, k: df.select("func_name", *[F.col(c).alias(f"{a}{k}{z}") for c, a, z in (("func_id", "func", "_id"), ("file_id", "f", ""), ("num_ngrams", "n", ""))])
+    q = side(named.where(F.col("func_id") % QUERY_EVERY == 0), 1)
+    pairs = split_join(q, side(named, 2), "func_name", heavy, "func2_id", max(8, min(4096, n // 200_000)), max(8, min(20_000, n // 200_000)))
+    pairs = written(pairs.where((F.col("f1") != F.col("f2")) & distance._within(F.col("n1"), F.col("n2"), distance.RATIO)).select("func1_id", "func2_id"), "named")
+    near = distance.near_pairs(queries.join(pairs.select(F.col("func1_id").alias("func_id")).distinct(), "func_id", "left_semi"), fn, freq, 1.0)
+    rows = pairs.join(near, ["func1_id", "func2_id"], "left").select("func1_id", "func2_id", F.coalesce("value", F.lit(1.0)).alias("cosim"))
+    rows = _both(rows, _attributes(spark, sf_dir, fn, "file_id", "func_name"))
+    passes = gates.cosine_gate(F.col("cosim")) & gates.complexity_gate(F.col("c1"), F.col("c2")) & gates.import_gate(F.col("i1"), F.col("i2"))
+    return _report1(spark, sf_dir, rows.where(~passes))
+
+
+def j04_other_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different names that pass the gates, with the same columns."""
+    return _report1(spark, sf_dir, passing_pairs(spark, sf_dir, "file_id", "func_name").where("func_name1 <> func_name2"))
+
+
 def _report(spark: SparkSession, sf_dir: str, dist: int, same_names: bool) -> DataFrame:
-    pairs = gated_pairs(spark, sf_dir, ("file_id", "func_name"))
-    counted = F.col("dist") == dist
+    # pairs are counted where they are formed; those that fail are all but those that pass
+    fn = functions(spark, sf_dir)
+    pairs = distance.ratio_pairs(fn.where(F.col("func_id") % QUERY_EVERY == 0), fn, carry=("file_id",))
+    by_function = pairs.groupBy(F.col("file_id2").alias("file_id"), "func2_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = by_function.groupBy("file_id").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("total"))
+    passed = passing_pairs(spark, sf_dir, "file_id", "func_name")
     if same_names:
-        counted &= F.coalesce(F.col("func_name1") == F.col("func_name2"), F.lit(False))
-    # one pass: matches of each compared function, then of its file
-    by_function = pairs.groupBy(F.col("file_id2").alias("file_id"), "func2_id").agg(F.sum(counted.cast("long")).alias("n"))
-    rows = by_function.groupBy("file_id").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("total")).where("matches > 0")
+        passed = passed.where("func_name1 = func_name2")
+    passed = passed.groupBy(F.col("file_id2").alias("file_id")).agg(F.count(F.lit(1)).alias("passed"))
+    n = F.coalesce("passed", F.lit(0).cast("long"))
+    rows = rows.join(passed, "file_id", "left").withColumn("matches", n if dist else F.col("pairs") - n).where("matches > 0")
     return rows.join(table(spark, sf_dir, "bin_file").select("file_id", "file_name"), "file_id").select("file_id", "file_name", "matches", "total")
 
 
@@ -231,7 +278,7 @@ def t01_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a10_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each query function: all functions at its lowest cosine."""
     queries, fn, freq = _base(spark, sf_dir)
-    rows = distance.distances("cosim", queries, fn, freq).where("value < 1")
+    rows = written(distance.near_pairs(queries, fn, freq, 1.0), "near")
     low = rows.groupBy("func1_id").agg(F.min("value").alias("value"))
     return rows.join(low, ["func1_id", "value"]).select("func1_id", "func2_id", F.col("value").alias("cosim"))
 
@@ -241,13 +288,13 @@ QUERIES = {
     "d05_levenshtein": d05_levenshtein, "d06_damerau": d06_damerau, "f01_gates": f01_gates, "f04_import_subset": f04_import_subset,
     "f07_functions": f07_functions, "f10_candidates": f10_candidates, "f15_prologues": f15_prologues, "f16_trampolines": f16_trampolines,
     "f19_outputs": f19_outputs, "f19_classes": f19_classes, "f20_memory": f20_memory, "a01_ngram_rows": a01_ngram_rows, "a05_union_count": a05_union_count,
-    "u02_only_here": u02_only_here, "j03_star": j03_star, "j04_report1": j04_report1, "a03_report2": a03_report2, "a03_report3": a03_report3,
+    "u02_only_here": u02_only_here, "j03_star": j03_star, "j04_report1": j04_report1, "j04_other_names": j04_other_names, "a03_report2": a03_report2, "a03_report3": a03_report3,
     "t01_topk": t01_topk, "a10_argmin": a10_argmin,
 }
 
 _PAIRS = f"""SELECT q.func_id AS func1_id, a.func_id AS func2_id FROM fn q JOIN fn a ON q.file_id <> a.file_id
   AND a.num_ngrams <= {distance.RATIO} * q.num_ngrams AND q.num_ngrams <= {distance.RATIO} * a.num_ngrams
-  WHERE q.func_id % {QUERY_EVERY} = 0 AND q.num_ngrams > 0 AND a.num_ngrams > 0"""
+  WHERE q.func_id % {QUERY_EVERY} = 0 AND q.num_ngrams >= 0 AND a.num_ngrams >= 0"""
 _STATS = "SELECT func_id, count(*) AS k, sum(freq)::bigint AS total, sum(freq * freq)::bigint AS squares FROM fq GROUP BY 1"
 _DOT = f"""SELECT q.func_id AS func1_id, a.func_id AS func2_id, sum(q.freq * a.freq)::bigint AS dot FROM fq q JOIN fq a USING (ngram)
   WHERE q.func_id % {QUERY_EVERY} = 0 GROUP BY 1, 2"""
@@ -313,6 +360,9 @@ FROM ga JOIN fn a ON a.func_id = func1_id JOIN fn b ON b.func_id = func2_id JOIN
     "j04_report1": _cosine_sql("""SELECT a.file_id AS file1_id, func1_id, a.func_name AS name1, c1, i1, b.file_id AS file2_id, func2_id, b.func_name AS name2, c2, i2, cosim,
   (SELECT count(*) FROM im x JOIN im y USING (name) WHERE x.func_id = func1_id AND y.func_id = func2_id) AS numimp
 FROM ga JOIN fn a ON a.func_id = func1_id JOIN fn b ON b.func_id = func2_id WHERE dist = 0 AND a.func_name = b.func_name"""),
+    "j04_other_names": _cosine_sql("""SELECT a.file_id AS file1_id, func1_id, a.func_name AS name1, c1, i1, b.file_id AS file2_id, func2_id, b.func_name AS name2, c2, i2, cosim,
+  (SELECT count(*) FROM im x JOIN im y USING (name) WHERE x.func_id = func1_id AND y.func_id = func2_id) AS numimp
+FROM ga JOIN fn a ON a.func_id = func1_id JOIN fn b ON b.func_id = func2_id WHERE dist = 1 AND a.func_name <> b.func_name"""),
     "a03_report2": _cosine_sql(_REPORT.format(1, "AND f1.func_name = f2.func_name")),
     "a03_report3": _cosine_sql(_REPORT.format(0, "")),
     "t01_topk": _cosine_sql("""SELECT file_id, file_path, score FROM (SELECT file_id, round(sum(round(low * 1e6)::bigint)::bigint / count(*) / 1e6, 6) AS score FROM

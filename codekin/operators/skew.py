@@ -73,3 +73,19 @@ def balanced_profile(
 
     both = final(hot, F.sum("d"), True).unionByName(final(cold, F.count("__d"), False))
     return both.withColumnRenamed("__k", "key_value")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, heavy: Sequence[str], by: str, salts: int, tasks: int) -> DataFrame:
+    """The inner join of both on ``key``, for keys that a large share of ``right`` holds.
+
+    Rows of ``right`` with a key of ``heavy`` are spread over ``salts`` tasks by a hash of their column
+    ``by``; the rows of ``left`` with such a key meet all of them. Which keys are listed decides only
+    where rows meet, never which. The list is part of the plan, so it must be bounded. ``right`` is cut
+    for ``tasks`` tasks, as many matches may come of few bytes."""
+    if not heavy:
+        return left.join(right.repartition(tasks, key), key)
+    hot = F.col(key).isin(list(heavy))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    left = left.withColumn("__salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+    right = right.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0))
+    return left.join(right.repartition(tasks, key, "__salt"), [key, "__salt"]).drop("__salt")

@@ -42,8 +42,32 @@ def test_bitap_compares_whole_operations(spark):
 
 def test_ratio_pairs_in_parts(spark):
     fn = spark.createDataFrame([(i, i % 3, i) for i in range(40)], "func_id long, file_id long, num_ngrams long")
-    once, cut = (sorted(tuple(r) for r in distance.ratio_pairs(fn, fn, carry=("num_ngrams",), parts=n).collect()) for n in (1, 5))
-    assert once == cut and len(once) == sum(0 < a <= 3 * b and 0 < b <= 3 * a and a % 3 != b % 3 for a in range(40) for b in range(40))
+    once, cut = (sorted(tuple(r) for r in distance.ratio_pairs(fn, fn, carry=("num_ngrams",), rows_a_task=n).collect()) for n in (100, 3))
+    assert once == cut and len(once) == sum(a <= 3 * b and b <= 3 * a and a % 3 != b % 3 for a in range(40) for b in range(40))
+
+
+def test_counts_of_zero_match_each_other_only(spark):
+    fn = spark.createDataFrame([(1, 1, 0), (2, 2, 0), (3, 3, 1), (4, 4, None), (5, 5, -2)], "func_id long, file_id long, num_ngrams long")
+    pairs = lambda **how: sorted(tuple(r) for r in distance.ratio_pairs(fn, fn, other_file=False, **how).collect())
+    assert pairs() == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)] and pairs(least=1) == [(3, 3)]
+
+
+@pytest.mark.parametrize("share", [0.001, 0.9])
+def test_near_pairs_against_brute_force(spark, monkeypatch, share):
+    rng = random.Random(3)
+    monkeypatch.setattr(distance, "HEAVY_SHARE", share)
+    vectors = {i: {g: rng.randint(1, 4) for g in ["common", *rng.sample("abcdefgh", rng.randint(0, 6))]} for i in range(40)}
+    fn = spark.createDataFrame([(i, i % 4, len(v)) for i, v in vectors.items()] + [(99, 9, 0)], "func_id long, file_id long, num_ngrams long")
+    freq = spark.createDataFrame([(i, g, f) for i, v in vectors.items() for g, f in v.items()], "func_id long, ngram string, freq long")
+    got = {(r[0], r[1]): r[2] for r in distance.near_pairs(fn.where("func_id % 5 = 0"), fn, freq, 0.4).collect()}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    want = {}
+    for i, a in vectors.items():
+        for j, b in vectors.items():
+            d = round(1 - sum(x * b.get(g, 0) for g, x in a.items()) / norm(a) / norm(b), 6)
+            if i % 5 == 0 and i % 4 != j % 4 and len(a) <= 3 * len(b) and len(b) <= 3 * len(a) and d < 0.4:
+                want[i, j] = d
+    assert got == pytest.approx(want, abs=1e-6) and want
 
 
 def test_bitap_gives_every_pair(spark, sf_dir):
