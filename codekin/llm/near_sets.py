@@ -7,31 +7,42 @@ machine words, so that a corner is the bit-wise OR of its points and a summed mi
 population count: the whole search runs as joins inside generated code. What exceeds the unary
 code's width is carried as a sum, whose minimum is added to the bound, so the bound always holds.
 
-Top level of the tree: two sets that are alike share one of the first n - ceil(t n) + 1 tokens of
-each in any common order, so records are routed to one subtree per such token, rare tokens first
-(a bounded list of frequent tokens, found by a sketch, is moved to the end of the order; any list
-is valid, it only decides sizes). Below: leaves of about ``LEAF`` points that share a minimum hash,
-each with its corner and its range of set sizes. A subtree of very many records is searched by several
-tasks. A record visits only the leaves of its subtrees
-that its bound cannot exclude; surviving pairs are verified on the whole sets. Exact copies are
-represented by one record throughout.
+The tree, from the top:
+
+- Subtrees by token. Two sets that are alike share one of the first n - ceil(t n) + 1 tokens of each
+  in any common order, so a record stands in one subtree per such token, rare tokens first (a bounded
+  list of frequent tokens, found by a sketch, is moved to the end of the order; any list is valid, it
+  only decides sizes). A subtree of more than ``hot`` records is divided by the next shared token,
+  which lies among one token more of each set, and so on: its size so depends on how many records
+  share several rare tokens, not on the collection.
+- Subtrees by size. A set's partners have its own size class or the next.
+- Nodes. The points of a subtree, in the order of their min-hashes, are packed into leaves of
+  ``LEAF`` points, and nodes of ``FAN`` leaves or nodes, each with its corner and range of sizes. A
+  record enters at the root and goes down to the nodes that its bound cannot exclude, then meets the
+  points of the leaves left. No pair is formed in any other way.
+
+Surviving pairs are verified on the whole sets. Exact copies are represented by one record throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekin.plans.scratch import written
 
 GROUPS, BITS = 64, 4  # coordinates of a point, and unary bits of each
 WORDS = GROUPS * BITS // 64
-LEAF = 64
-SPLIT = 4096  # a subtree of more records is searched by several tasks, each with all of its corners
+LEAF, FAN = 16, 16  # points of a leaf, and children of a node
+HOT = 4096  # a subtree of more records is divided
+ROUTES = 4  # by at most so many tokens
+SPLIT = 4096  # records of one class that a task pairs with others
 FREQUENT = 5000  # at most so many frequent tokens are moved to the end of the order
 _V = [f"v{i}" for i in range(WORDS)]
 
@@ -57,7 +68,7 @@ def count_points(sets: np.ndarray, tokens: np.ndarray, n_sets: int) -> tuple[np.
     return words, (counts - kept).sum(axis=1)
 
 
-def _points(threshold: float, frequent: np.ndarray):
+def _points(threshold: float, frequent: np.ndarray, routes: int):
     order_of = np.argsort(frequent)
     ordered = frequent[order_of]
 
@@ -76,19 +87,21 @@ def _points(threshold: float, frequent: np.ndarray):
                 known = ordered[at] == tokens
                 rank[known] = len(ordered) - order_of[at[known]]  # the most frequent comes last
             starts = np.cumsum(n) - n
-            cluster = np.minimum.reduceat(mixed(tokens, 2), starts) >> np.uint64(33)
+            marks = [np.minimum.reduceat(mixed(tokens, seed), starts).view(np.int64) for seed in (2, 3)]
             place = np.lexsort((tokens, rank, sets))
             prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            first = np.arange(len(tokens)) - np.repeat(starts, n) < np.repeat(prefix, n)
+            kept = np.minimum(prefix + routes - 1, n)
+            first = np.arange(len(tokens)) - np.repeat(starts, n) < np.repeat(kept, n)
             keys = tokens[place][first].view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            size_class = np.floor(np.log(n) / -np.log(threshold) + 1e-9) if threshold < 1 else n
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
-                    pa.array(cluster.astype(np.int64)), pa.array(over, pa.int64()),
+                    ids, pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(prefix, pa.int32()),
+                    pa.array(size_class.astype(np.int32)), *[pa.array(m) for m in marks], pa.array(over, pa.int64()),
                     *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)],
                 ],
-                ["rep", "n", "keys", "cluster", "over", *_V],
+                ["rep", "n", "keys", "prefix", "cls", "m1", "m2", "over", *_V],
             )
 
     return batches
@@ -119,78 +132,128 @@ def _bound(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return total
 
 
-def similar_pairs(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs of ``classes``' representatives, a < b, of Jaccard similarity of
-    at least ``threshold``. Every such pair is returned once."""
-    sketch = distinct.select(F.explode("tokens").alias("t")).agg(
-        F.expr(f"approx_top_k(t, {FREQUENT}, {8 * FREQUENT})").alias("top")
-    ).first()["top"]
-    frequent = np.array([x["item"] for x in sketch or [] if x["count"] > 1], np.int64).view(np.uint64)
-    points = written(
-        distinct.mapInArrow(
-            _points(threshold, frequent),
-            "rep long, n int, keys array<long>, cluster long, over long, " + ", ".join(f"{v} long" for v in _V),
-        ),
-        "points",
-    )
-    routed = points.select("rep", F.explode("keys").alias("key"))
-    shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = (
-        routed.join(shared, "key")
-        .join(points.drop("keys"), "rep")
-        .select("key", "c", F.pmod("cluster", F.ceil(F.col("c") / LEAF)).cast("int").alias("leaf"), "rep", "n", "over", *_V)
-    )
-    members = written(members, "members")
+def _subtrees(points: DataFrame, routes: int, hot: int) -> DataFrame:
+    """(key, rep): the subtrees of each point. Subtrees of one record are left out; a subtree of more
+    than ``hot`` records is divided by a further token, up to ``routes``."""
+    routed = points.select("rep", F.posexplode("keys").alias("place", "key"), "prefix").where("place < prefix").drop("prefix")
+    done = []
+    for route in range(1, routes + 1):
+        counts = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        counted = routed.join(counts, "key")
+        if route == routes:
+            done.append(counted.select("key", "rep"))
+            break
+        counted = written(counted, "routed")
+        done.append(counted.where(F.col("c") <= hot).select("key", "rep"))
+        large = counted.where(F.col("c") > hot)
+        if large.isEmpty():
+            break
+        later = points.select("rep", F.posexplode("keys").alias("next", "token"), "prefix").where(F.col("next") < F.col("prefix") + route).drop("prefix")
+        routed = large.join(later, "rep").where("next > place").select("rep", F.col("next").alias("place"), F.xxhash64("key", "token").alias("key"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def candidates(points: DataFrame, threshold: float, routes: int, hot: int) -> DataFrame:
+    """(a, b), a < b: the pairs of points that the tree does not exclude, once each."""
     share = threshold / (1 + threshold)
     t, slack = F.lit(threshold), F.lit(1e-9)
+    point = ["rep", "n", "over", *_V]
+    members = _subtrees(points, routes, hot).join(points.select(*point, "cls", "m1", "m2"), "rep")
+    sizes = members.groupBy("key", "cls").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("parts")).where("parts > 1")
+    # a subtree that stays large has several roots, so that no task packs more than about ``hot`` points
+    parts = F.coalesce("parts", F.lit(1))
+    members = members.join(sizes, ["key", "cls"], "left").withColumn("part", F.pmod(F.xxhash64("m1", "m2"), parts).cast("int"))
+    own = Window.partitionBy("key", "cls", "part")
+    leaf = F.floor((F.row_number().over(own.orderBy("m1", "m2", "rep")) - 1) / LEAF).cast("int")
+    members = members.select("key", "cls", "part", leaf.alias("leaf"), F.count(F.lit(1)).over(own).alias("c"), *point)
+    members = written(members, "members")
 
     def side(name: str) -> dict[str, Column]:
         return {x: F.col(f"{name}.{x}") for x in ("over", *_V)}
 
-    def alike() -> Column:
-        """Whether the bounds of the points p and q allow the similarity; each pair is met once."""
-        return (
-            (F.col("p.rep") < F.col("q.rep"))
-            & (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
-            & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
+    def nodes(height: int) -> DataFrame:
+        """The nodes of a height: leaves have height 0."""
+        node = F.shiftright("leaf", height * (FAN.bit_length() - 1))
+        rows = members if not height else members.where(F.col("c") > LEAF * FAN ** (height - 1))
+        rows = rows.groupBy("key", "cls", "part", node.alias("node")).agg(
+            F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
         )
+        return rows.withColumn("parent", F.shiftright("node", FAN.bit_length() - 1))
+
+    place = ["key", "cls", "part"]
+    roots = members.groupBy(*place).agg(F.max("c").alias("c"))
+    most = roots.agg(F.max("c")).first()[0] or 0
+    top = 0
+    while LEAF * FAN**top < most:
+        top += 1
+    # a record visits the roots of its own size class and of the next
+    visitor = members.select("key", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"), F.col("cls").alias("own"), *point)
+    entering = visitor.join(roots, ["key", "cls"])
+    visits = None
+    for height in range(top, -1, -1):
+        low, high = LEAF * FAN ** (height - 1) if height else 0, LEAF * FAN**height
+        here = entering.where((F.col("c") > low) & (F.col("c") <= high)).drop("c").withColumn("node", F.lit(0))
+        here = here if visits is None else visits.unionByName(here)
+        p, c = here.alias("p"), nodes(height).alias("c")
+        allowed = (
+            (F.col("c.most") + slack >= t * F.col("p.n"))
+            & (F.col("p.n") + slack >= t * F.col("c.least"))
+            & (_bound(side("p"), side("c")) + slack >= F.lit(share) * (F.col("p.n") + F.greatest("c.least", F.ceil(t * F.col("p.n") - slack))))
+        )
+        met = p.join(c, [F.col(f"p.{x}") == F.col(f"c.{x}") for x in place] + [F.col("p.node") == F.col("c.parent"), allowed])
+        visits = met.select(*[f"p.{x}" for x in place], "c.node", "p.own", *[f"p.{x}" for x in point])
+    p, q = visits.alias("p"), members.alias("q")
+    alike = (
+        ((F.col("p.own") < F.col("q.cls")) | (F.col("p.rep") < F.col("q.rep")))
+        & (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
+        & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
+    )
+    met = p.join(q, [F.col(f"p.{x}") == F.col(f"q.{x}") for x in place] + [F.col("p.node") == F.col("q.leaf"), alike])
+    return met.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
 
-    pair = [F.col("p.rep").alias("a"), F.col("q.rep").alias("b")]
-    # a subtree of one leaf has no corner to exclude it by: its points meet each other at once
-    single = members.where(F.col("c") <= LEAF).drop("c", "leaf")
-    near = single.alias("p").join(single.alias("q"), (F.col("p.key") == F.col("q.key")) & alike()).select(*pair)
 
-    tasks = F.ceil(F.col("c") / SPLIT).cast("int")
-    large = members.where(F.col("c") > LEAF)
-    corners = large.groupBy("key", "leaf").agg(
-        F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
-    )
-    c = corners.withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1))).alias("c")
-    p, q = large.withColumn("task", F.pmod(F.xxhash64("rep"), tasks).cast("int")).alias("p"), large.alias("q")
-    visits = p.join(c, (F.col("p.key") == F.col("c.key")) & (F.col("p.task") == F.col("c.task"))).where(
-        (F.col("c.most") + slack >= t * F.col("p.n"))
-        & (F.col("p.n") + slack >= t * F.col("c.least"))
-        & (_bound(side("p"), side("c")) + slack >= F.lit(share) * (F.col("p.n") + F.greatest("c.least", F.ceil(t * F.col("p.n") - slack))))
+def similar_pairs(distinct: DataFrame, threshold: float, routes: int = ROUTES, hot: int = HOT) -> DataFrame:
+    """(a, b, similarity): pairs of ``classes``' representatives, a < b, of Jaccard similarity of
+    at least ``threshold``. Every such pair is returned once. ``routes`` and ``hot`` change the way
+    through the tree, never the pairs."""
+    row = distinct.select(F.explode("tokens").alias("t")).agg(F.expr(f"approx_top_k(t, {FREQUENT}, {8 * FREQUENT})").alias("top")).first()
+    smallest = distinct.agg(F.min(F.size("tokens"))).first()[0] or 1
+    frequent = np.array([x["item"] for x in row["top"] or [] if x["count"] > 1], np.int64).view(np.uint64)
+    # sets that are alike share ceil(t n) tokens at least: no more can divide a subtree
+    routes = max(1, min(routes, math.ceil(threshold * smallest - 1e-9)))
+    points = written(
+        distinct.mapInArrow(
+            _points(threshold, frequent, routes),
+            "rep long, n int, keys array<long>, prefix int, cls int, m1 long, m2 long, over long, " + ", ".join(f"{v} long" for v in _V),
+        ),
+        "points",
     )
-    visits = visits.select("p.key", "c.leaf", "p.rep", "p.n", *[f"p.{x}" for x in ("over", *_V)]).alias("p")
-    far = visits.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.leaf") == F.col("q.leaf")) & alike()).select(*pair)
-    candidates = near.union(far).distinct()
+    t, slack = F.lit(threshold), F.lit(1e-9)
     left = distinct.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     right = distinct.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    verified = candidates.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
+    rows = candidates(points, threshold, routes, hot)
+    verified = rows.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
     similarity = F.col("i") / (F.col("s") - F.col("i"))
     return verified.where(similarity + slack >= t).select("a", "b", F.round(similarity, 6).alias("similarity"))
 
 
-def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def record_pairs(pairs: DataFrame, members: DataFrame, split: int = SPLIT) -> DataFrame:
     """(id_a, id_b), id_a < id_b: ``similar_pairs`` of representatives carried over to all records,
-    with the pairs of exact copies. A large group of copies is paired by several tasks."""
-    a, b = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    across = pairs.select("a", "b").join(a, "a").join(b, "b")
-    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("tasks"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    many = members.join(sizes.drop("c"), "rep")
-    one = many.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"))
+    with the pairs of exact copies. A class of more than ``split`` copies is cut for several tasks,
+    against other classes as among its own."""
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("tasks"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    tasks = F.coalesce("tasks", F.lit(1))
+    cut = members.join(sizes, "rep", "left").select("rep", "id", "c", tasks.alias("tasks"), F.pmod(F.xxhash64("id"), tasks).cast("int").alias("task"))
+    large = sizes.where("tasks > 1").drop("c")
+    every = F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task")
+    across = pairs.select("a", "b")
+    for k in ("a", "b"):
+        across = across.join(large.withColumnRenamed("rep", k), k, "left").select(*[c for c in across.columns], every)
+        own = cut.select(F.col("rep").alias(k), "task", F.col("id").alias(f"i{k}"))
+        across = across.join(own, [k, "task"]).drop("task", k)
+    many = cut.where("c > 1")
+    one = many.select(F.col("rep").alias("a"), F.col("id").alias("ia"), "task")
     two = many.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("of"))
     copies = one.join(two, (F.col("a") == F.col("b")) & (F.col("task") == F.col("of")) & (F.col("ia") < F.col("ib")))
     return across.select("ia", "ib").union(copies.select("ia", "ib")).select(

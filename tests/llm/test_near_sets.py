@@ -14,11 +14,11 @@ def brute(sets, threshold, least):
     return {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
 
 
-def pairs(spark, sets, threshold, least=1):
+def pairs(spark, sets, threshold, least=1, split=near_sets.SPLIT, **how):
     rows = [(i, sorted(s), 0, "clash") for i, s in sets.items()]
     df = spark.createDataFrame(rows, "id long, tokens array<bigint>, rep long, key string")
     distinct, members = near_sets.classes(df, "id", "tokens", least)
-    got = [tuple(r) for r in near_sets.record_pairs(near_sets.similar_pairs(distinct, threshold), members).collect()]
+    got = [tuple(r) for r in near_sets.record_pairs(near_sets.similar_pairs(distinct, threshold, **how), members, split).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -51,6 +51,36 @@ def test_hot_tokens_many_leaves_and_copies(spark):
     assert pairs(spark, sets, 0.8) == brute(sets, 0.8, 1)
 
 
+@pytest.mark.parametrize("leaf, fan, hot, routes", [(2, 2, 3, 4), (1, 2, 1, 2), (2, 4, 8, 1)])
+def test_any_shape_of_the_tree_gives_the_same_pairs(spark, monkeypatch, leaf, fan, hot, routes):
+    monkeypatch.setattr(near_sets, "LEAF", leaf)
+    monkeypatch.setattr(near_sets, "FAN", fan)
+    sets = related(6, 90)
+    assert pairs(spark, sets, 0.8, 10, hot=hot, routes=routes) == brute(sets, 0.8, 10)
+
+
+def test_large_classes_are_paired_by_several_tasks(spark):
+    sets = {i: set(range(20)) for i in range(9)} | {i: set(range(19)) for i in range(9, 20)} | {20: set(range(5, 20)), 21: set(range(1, 20))}
+    assert pairs(spark, sets, 0.8, split=2) == brute(sets, 0.8, 1)
+
+
+def test_candidates_do_not_grow_with_the_collection(spark):
+    # every set starts with the same tokens, which the sketch cannot tell from others
+    def candidates(n):
+        rng = random.Random(7)
+        sets = {i: {1, 2} | {rng.getrandbits(40) for _ in range(18)} for i in range(n)}
+        sets |= {n + i: sets[i] ^ {min(sets[i] - {1, 2})} for i in range(n // 10)}
+        df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "rep long, tokens array<bigint>")
+        schema = "rep long, n int, keys array<long>, prefix int, cls int, m1 long, m2 long, over long, " + ", ".join(f"{v} long" for v in near_sets._V)
+        # tokens in the order of their values, so that the common ones come first
+        order = np.array(sorted({x for s in sets.values() for x in s}, reverse=True), np.int64).view(np.uint64)
+        points = df.mapInArrow(near_sets._points(0.8, order, 4), schema).cache()
+        return near_sets.candidates(points, 0.8, 4, 64).count() / n
+
+    few, many = candidates(200), candidates(1600)
+    assert 0.1 <= many <= 1.5 * few + 0.1
+
+
 def test_bound_holds():
     rng = np.random.default_rng(1)
     for size in (5, 60, 900):
