@@ -2,14 +2,18 @@
 
 A passage of L characters that stands in a text with at most e edits shares at least
 L + 1 - q (e + 1) of its character q-grams with it, and they lie in a band of e + 1 neighbouring
-diagonals (text position minus item position). Each task indexes the q-grams of the items, looks up
-the q-grams of its texts, counts hits by item in overlapping bands of diagonals, and keeps a region
-where enough hits lie within a window of the passage's length. Kept regions are verified: for e = 0
-along the band's one diagonal, otherwise by banded alignment.
-
-Items are the stated query set; they are taken in blocks of bounded size, each sent to the tasks
-whole, and every block meets all texts. Texts are never shuffled, so skew in the corpus or a passage
-that leaks into a third of it costs nothing extra.
+diagonals (text position minus item position).
+
+1. The q-grams of all items become a table of postings, and a bit map of fixed size tells which hashes
+   are in it (``MOST_BITS`` at most, so its size does not grow with the items beyond that).
+2. One pass over the texts, without a shuffle, keeps the stretches in which enough q-grams hit the map.
+   A stretch is the text of a region; most texts have none.
+3. Equal regions are one from here on, however many texts hold them, so a passage that leaks into a
+   third of the corpus is looked at once. Their q-grams meet the postings in a join; hits are counted
+   by region, item and band of 2 e + 2 diagonals, bands half overlapping, so that any e + 1 diagonals
+   lie in one; bands below the bound drop out.
+4. What is left is verified by alignment within the band: a run of the item's words against the region,
+   from a word's start to a word's end.
 """
 
 from __future__ import annotations
@@ -17,14 +21,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 8_000_000  # characters of items in one block
+from codekin.operators.skew import heavy_keys, split_join
+from codekin.plans.scratch import written
+
 PIECE_CHARS = 1 << 20  # texts are looked up in pieces of about this size
+MOST_BITS = 30  # binary logarithm of the largest bit map
+PAGE_BITS = 16  # and of one page of it
 _FORMAT = "".join(
     f"\\U{a:08x}-\\U{b:08x}" for a, b in [
         (0xAD, 0xAD), *[(c, c) for c in range(0x600, 0x1D180) if unicodedata.category(chr(c)) == "Cf"], (0xE0001, 0xE0001), (0xE0020, 0xE007F)
@@ -49,6 +58,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def word_windows(chars: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of so many words starts and ends."""
+    gaps = np.flatnonzero(chars == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(chars)]])
+    return starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+
+
 def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
     """A hash of each q-gram, q a power of two, by doubling."""
     h, power, length = chars.astype(np.uint64) + np.uint64(1), _BASE, 1
@@ -62,120 +78,100 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-class ItemIndex:
-    """The q-grams of a block of items, with what verification needs."""
-
-    def __init__(self, ids: list[int], texts: list[str], words: int, edits: int):
-        self.words, self.edits = words, edits
-        items = [(i, t) for i, t in zip(ids, texts) if t.count(" ") + 1 >= words and t]
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.texts = [t for _, t in items]
-        self.chars = [code_points(t) for t in self.texts]
-        self.windows: list[list[tuple[int, int]]] = []  # character ranges of each run of so many words
-        for c in self.chars:
-            gaps = np.flatnonzero(c == 32)
-            starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(c)]])
-            self.windows.append(list(zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist())))
-        shortest = [min(b - a for a, b in w) for w in self.windows]
-        self.shortest = np.array(shortest, np.int64)
-        most = min(shortest, default=32) // (edits + 1)
-        self.q = max(1, 1 << min(4, most.bit_length() - 1)) if most else 1
-        self.needed = self.shortest + 1 - self.q * (edits + 1)  # q-grams a kept region must share
-        hashes = [gram_hashes(c, self.q) for c in self.chars]
-        h = np.concatenate([np.empty(0, np.uint64), *hashes])
-        item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        pos = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in hashes]])
-        order = np.argsort(h, kind="stable")
-        self.item, self.pos = item[order].astype(np.int64), pos[order].astype(np.int64)
-        self.hashes, first, self.counts = np.unique(h[order], return_index=True, return_counts=True)
-        self.first = first.astype(np.int64)
-        bits = max(16, min(26, int(len(self.hashes)).bit_length() + 5))
-        self.shift = np.uint64(64 - bits)
-        self.filter = np.zeros(1 << bits, bool)
-        self.filter[self.hashes >> self.shift] = True
-
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, text position, item position) of each q-gram of the text that is in an item."""
-        h = gram_hashes(chars, self.q)
-        at = np.flatnonzero(self.filter[h >> self.shift])
-        if not len(at) or not len(self.hashes):
-            return (np.empty(0, np.int64),) * 3
-        found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        same = self.hashes[found] == h[at]
-        at, found = at[same], found[same]
-        n = self.counts[found]
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[found], n)
-        return self.item[entry], np.repeat(at, n), self.pos[entry]
-
-    def regions(self, chars: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first and last text position of the hits) of each region that meets the bound."""
-        item, at, pos = self.hits(chars)
-        if not len(item):
-            return []
-        width = self.edits + 1
-        out = []
-        diagonal = at - pos
-        for shift in (0, 1) if self.edits else (0,):  # bands of 2 e + 2 diagonals, half overlapping, cover any e + 1
-            band = diagonal if not self.edits else (diagonal + shift * width) // (2 * width)
-            order = np.lexsort((at, band, item))
-            i, b, a = item[order], band[order], at[order]
-            need = self.needed[i]
-            last = np.arange(len(i)) + need - 1
-            ok = last < len(i)
-            last = np.minimum(last, len(i) - 1)
-            # the shortest passage, at the start of any other, spans at most its length and the edits
-            ok &= (i[last] == i) & (b[last] == b) & (a[last] - a <= self.shortest[i] + self.edits - self.q)
-            starts, ends = np.flatnonzero(ok), last[ok]
-            if not len(starts):
+class Bound:
+    """The q-gram length and what a kept region needs, from the shortest passage of all items."""
+
+    def __init__(self, shortest: int, edits: int):
+        self.shortest, self.edits = shortest, edits
+        most = max(1, shortest // (edits + 1))
+        self.q = 1 << min(4, most.bit_length() - 1)
+        self.needed = self.count(shortest)
+        self.span = shortest + edits - self.q  # first to last of the q-grams that a passage's stretch has
+
+    def count(self, length: int) -> int:
+        """Of a passage of so many characters, the q-grams that stay at least."""
+        return max(1, length + 1 - self.q * (self.edits + 1))
+
+
+def _item_rows(words: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            lengths = []
+            for t in texts:
+                a, b = word_windows(code_points(t), words)
+                lengths.append(int((b - a).min()) if t and len(a) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lengths, pa.int32())], ["item", "text", "shortest"])
+
+    return batches
+
+
+def _grams(q: int):
+    """(key columns..., h, at) of each q-gram of the text in the last column."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            hashes = [gram_hashes(code_points(t), q) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            n = np.array([len(h) for h in hashes], np.int64)
+            if not n.sum():
                 continue
-            fresh = np.concatenate([[True], (starts[1:] > np.maximum.accumulate(ends)[:-1]) | (i[starts[1:]] != i[starts[:-1]]) | (b[starts[1:]] != b[starts[:-1]])])
-            group = np.cumsum(fresh) - 1
-            begin = starts[fresh]
-            end = np.zeros(len(begin), np.int64)
-            np.maximum.at(end, group, ends)
-            out += list(zip(i[begin].tolist(), a[begin].tolist(), (a[end] + self.q).tolist()))
-        return out
-
-
-def contains(text: str, low: int, high: int, item: str, windows: list[tuple[int, int]], edits: int) -> bool:
-    """Whether a run of the item's words stands in ``text`` around [low, high) with at most ``edits``
-    edits, as whole words."""
-    if not edits:
-        low = text.rfind(" ", 0, low) + 1
-        high = text.find(" ", high) if text.find(" ", high) >= 0 else len(text)
-        around = f" {text[low:high]} "
-        return any(f" {item[a:b]} " in around for a, b in windows)
-    return any(banded_distance(item[a:b], text[max(0, low - (b - a) - edits) : high + (b - a) + edits], edits) <= edits for a, b in windows)
-
-
-def banded_distance(passage: str, text: str, edits: int) -> int:
-    """The least edit distance of ``passage`` to a stretch of ``text``, or edits + 1 if it is more.
-
-    Columns beyond the budget are cut off, which keeps the active rows a band around the diagonals
-    that can still succeed."""
-    m, over = len(passage), edits + 1
-    column = list(range(m + 1))
-    last = min(m, edits)
-    best = column[m] if m <= edits else over
-    for c in text:
-        diagonal, column[0] = column[0], 0
-        for i in range(1, min(last + 1, m) + 1):
-            up = column[i] if i <= last else over
-            value = min(diagonal + (passage[i - 1] != c), up + 1, column[i - 1] + 1)
-            diagonal, column[i] = up, value
-        last = min(last + 1, m)
-        while last > 0 and column[last] > edits:
-            last -= 1
-        if last == m:
-            best = min(best, column[m])
-    return best
-
-
-def _search(index):
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keys = [batch.column(i).take(row) for i in range(batch.num_columns - 1)]
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(hashes).view(np.int64)), pa.array(at, pa.int32())], [*names, "h", "at"])
+
+    return batches
+
+
+def _page(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << PAGE_BITS, np.uint8)
+    bits[table.column("bit").to_numpy()] = 1
+    return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def bit_map(postings: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(map, bits): which of the 2**bits leading parts of a hash are in ``postings``, packed.
+
+    Pages are made by the executors; the driver puts them together, 128 MB at most."""
+    bits = max(PAGE_BITS, min(MOST_BITS, n.bit_length() + 3))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    marks = postings.select(F.shiftright(place, PAGE_BITS).cast("int").alias("page"), place.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)).cast("int").alias("bit")).distinct()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (PAGE_BITS - 3)
+    for r in marks.groupBy("page").applyInArrow(_page, "page int, bits binary").toLocalIterator():
+        out[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+def regions(chars: np.ndarray, bound: Bound, known: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """(from, to) of each stretch of whole words, or lines of them, where enough q-grams are known."""
+    h = gram_hashes(chars, bound.q)
+    place = h >> np.uint64(64 - bits)
+    at = np.flatnonzero(known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+    if len(at) < bound.needed:
+        return []
+    last = at[bound.needed - 1 :]
+    ok = last - at[: len(last)] <= bound.span
+    starts, ends = at[: len(last)][ok], last[ok] + bound.q
+    if not len(starts):
+        return []
+    # edits near the ends of a passage cost it its outermost q-grams
+    pad = (bound.q + 1) * bound.edits
+    gaps = np.flatnonzero((chars == 32) | (chars == 10))
+    gaps = np.concatenate([[-1], gaps, [len(chars)]])
+    starts = gaps[np.searchsorted(gaps, np.maximum(starts - pad, 0), "right") - 1] + 1
+    ends = gaps[np.searchsorted(gaps, np.minimum(ends + pad, len(chars)), "left")]
+    reach = np.maximum.accumulate(ends)
+    fresh = np.concatenate([[True], starts[1:] > reach[:-1]])
+    return list(zip(starts[fresh].tolist(), reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(reach) - 1)].tolist()))
+
+
+def _stretches(shared, bound: Bound, bits: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: ItemIndex = index.value
+        known = shared.value
         for batch in it:
-            docs, items = [], []
+            docs, stretches = [], []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             start = 0
             while start < len(ids):
@@ -186,47 +182,122 @@ def _search(index):
                     size += len(t) + 1
                     stop += 1
                 whole = "\n".join(parts)
-                ends = np.cumsum([len(t) + 1 for t in parts])
-                found = set()
-                for item, low, high in block.regions(code_points(whole)):
-                    d = int(np.searchsorted(ends, low, side="right"))
-                    while d < len(parts) and (int(ends[d - 1]) if d else 0) < high:  # a band may touch several texts
-                        begin = int(ends[d - 1]) if d else 0
-                        if (d, item) not in found and contains(
-                            parts[d], max(0, low - begin), min(len(parts[d]), high - begin), block.texts[item], block.windows[item], block.edits
-                        ):
-                            found.add((d, item))
-                        d += 1
-                for d, item in sorted(found):
-                    docs.append(ids[start + d])
-                    items.append(int(block.ids[item]))
+                found = regions(code_points(whole), bound, known, bits)
+                ends = np.cumsum([len(t) + 1 for t in parts]) if found else None
+                for low, high in found:
+                    for line in whole[low:high].split("\n"):  # a stretch of false hits may touch several texts
+                        if len(line) >= bound.shortest - bound.edits:
+                            docs.append(ids[start + int(np.searchsorted(ends, low, side="right"))])
+                            stretches.append(line)
+                        low += len(line) + 1
                 start = stop
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], ["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(stretches, pa.string())], ["doc_id", "region"])
 
     return batches
 
 
-def leaked(
-    docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
-    words: int = 13, edits: int = 0, block_chars: int = BLOCK_CHARS,
-) -> DataFrame:
-    """(doc_id, item_id), once each: ``words`` consecutive words of the item stand in the text with
-    at most ``edits`` character edits.
+def aligned(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], text: np.ndarray, low: int, high: int, edits: int) -> bool:
+    """Whether a run of the item's words stands in the text with at most ``edits`` edits, from a word's
+    start to a word's end, on the diagonals (text minus item position) from ``low`` to ``high``.
+
+    Banded alignment by the furthest place that each diagonal reaches with 0, 1, ... edits, for all runs
+    at once; equal stretches are taken in one step."""
+    a, b = windows
+    m, n, wide = len(item), len(text), high - low + 1
+    edge = np.ones(n + 2, bool)  # place i is a word's start or end if the character before or at it is blank
+    edge[1:-1] = text == 32
+    stops = np.full((wide, m + 1), m, np.int64)  # the next place on a diagonal where item and text differ
+    for k in range(wide):
+        d = low + k
+        x0, x1 = max(0, -d), min(m, n - d)
+        differs = np.ones(m + 1, bool)
+        if x1 > x0:
+            differs[x0:x1] = item[x0:x1] != text[x0 + d : x1 + d]
+        places = np.where(differs, np.arange(m + 1), m)
+        stops[k] = np.minimum.accumulate(places[::-1])[::-1]
+    diagonals = np.arange(low, high + 1)[:, None]
+    first = a[None, :] + diagonals
+    starts = (first >= 0) & (first < n) & edge[np.clip(first, 0, n)]
+    end = b[None, :] + diagonals
+    stops_here = (end > 0) & (end <= n) & edge[np.clip(end, 0, n) + 1]
+    at = np.where(starts, a[None, :], -1)
+    row = np.arange(wide)[:, None]
+    for k in range(edits + 1):
+        if k:
+            inside = (at >= 0) & (at + diagonals < n)
+            new = np.where(inside, at + 1, at)  # another character
+            new[1:] = np.maximum(new[1:], np.where(inside[:-1], at[:-1], -1))  # one more in the text
+            new[:-1] = np.maximum(new[:-1], np.where(at[1:] >= 0, at[1:] + 1, -1))  # one less
+            at = new
+        at = np.where(at >= 0, np.minimum(stops[row, np.clip(at, 0, m)], b[None, :]), -1)
+        if ((at >= b[None, :]) & stops_here).any():
+            return True
+    return False
+
+
+def _verify(words: int, edits: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=4096)
+        def parts(item: str):
+            chars = code_points(item)
+            return chars, word_windows(chars, words)
+
+        width = edits + 1
+        for batch in it:
+            kept = []
+            region, item, bands = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i in range(batch.num_rows):
+                chars, windows = parts(item[i])
+                text = code_points(region[i])
+                # a band is 2 * number + which of the two overlapping rows of bands it is of
+                lows = ((band >> 1) * 2 * width - (band & 1) * width for band in sorted(bands[i]))
+                if any(aligned(chars, windows, text, low, low + 2 * width - 1, edits) for low in lows):
+                    kept.append(i)
+            if kept:
+                rows = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(rows) for i in range(3)], ["r1", "r2", "item"])
+
+    return batches
+
+
+def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, words: int = 13, edits: int = 0) -> DataFrame:
+    """(doc_id, item_id), once each: ``words`` consecutive words of the item stand in the text as whole
+    words, with at most ``edits`` character edits.
 
     Null ids, null and empty texts and items of fewer words give no row. Rows that repeat an id
-    count together. Extra columns are not read; empty tables give an empty result. The size of the
-    items is counted first; they are read in as many blocks as ``block_chars`` asks for.
-    """
+    count together. Extra columns are not read; empty tables give an empty result. The texts are read
+    once, whatever the number of items."""
     spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t <> ''")
     queries = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL AND t <> ''")
-    size = queries.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
-    result = None
-    for k in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-        index = ItemIndex([r["i"] for r in part], [normal(r["t"]) for r in part], words, edits)
-        found = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), "doc_id long, item_id long")
-        result = found if result is None else result.unionByName(found)
-    return result.distinct()
+    rows = queries.mapInArrow(_item_rows(words), "item long, text string, shortest int").where("shortest IS NOT NULL")
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "item", "text", "shortest"), "items")
+    shortest = rows.agg(F.min("shortest")).first()[0]
+    if shortest is None:
+        return spark.createDataFrame([], "doc_id long, item_id long")
+    bound = Bound(shortest, edits)
+    need = F.greatest(F.lit(1), F.col("shortest") + 1 - bound.q * (edits + 1)).cast("int")
+    postings = rows.select("row", need.alias("need"), "text").mapInArrow(_grams(bound.q), "row long, need int, h long, at int")
+    postings = written(postings.withColumnRenamed("at", "pos"), "postings")
+    known, bits = bit_map(postings, postings.count())
+    found = written(texts.mapInArrow(_stretches(spark.sparkContext.broadcast(known), bound, bits), "doc_id long, region string"), "regions")
+    once = found.select("region").distinct().select(F.xxhash64("region").alias("r1"), F.xxhash64(F.lit(7), "region").alias("r2"), "region")
+    once = written(once, "once")
+
+    grams = once.mapInArrow(_grams(bound.q), "r1 long, r2 long, h long, at int")
+    common, n = heavy_keys(postings, F.col("h"), 0.001)
+    hits = split_join(grams, postings, "h", common, "row", 16, max(cores, min(20_000, n // 500_000)))
+    width = edits + 1
+    diagonal = F.col("at") - F.col("pos")
+    bands = [2 * F.floor((diagonal + k * width) / (2 * width)).cast("int") + k for k in (0, 1)]
+    counted = hits.select("r1", "r2", "row", "need", F.explode(F.array(*bands)).alias("band"))
+    counted = counted.groupBy("r1", "r2", "row", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need")
+    left = counted.groupBy("r1", "r2", "row").agg(F.collect_set("band").alias("bands"))
+    left = left.join(once, ["r1", "r2"]).join(rows.select("row", "item", "text"), "row").select("r1", "r2", "item", "region", "text", "bands")
+    pairs = written(left.mapInArrow(_verify(words, edits), "r1 long, r2 long, item long").distinct(), "pairs")
+    held = found.select("doc_id", F.xxhash64("region").alias("r1"), F.xxhash64(F.lit(7), "region").alias("s2"))
+    common, n = heavy_keys(held, F.col("r1"), 0.001)
+    leaks = split_join(pairs, held, "r1", common, "doc_id", 64, max(cores, min(20_000, n // 500_000)))
+    return leaks.where("r2 = s2").select("doc_id", F.col("item").alias("item_id")).distinct()

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codekin.llm.leakage import ItemIndex, banded_distance, code_points, leaked, normal
+import numpy as np
+from codekin.llm.leakage import Bound, aligned, code_points, gram_hashes, leaked, normal, regions, word_windows
 
 DOCS, ITEMS = "doc_id long, text string, i long, t string", "item_id long, item_text string, i long"
 ITEM = "Because the quarry frames only tender inlet pairs, 5386 of the ancient quarry rows reach the ferry while another lantern sleeps"
@@ -31,7 +32,6 @@ def test_forms_of_copies(spark):
     items = [(7, ITEM), (8, "one two three"), (9, None), (None, ITEM), (10, "unrelated " * 20), (11, ITEM)]
     want = {(d, i) for d in (1, 2, 4, 5, 6, 7, 13) for i in (7, 11)}
     assert found(spark, docs, items) == want
-    assert found(spark, docs, items, block_chars=150) == want
 
 
 def test_one_letter_words(spark):
@@ -43,38 +43,71 @@ def test_empty_tables(spark):
     assert found(spark, [], [(1, ITEM)]) == set() == found(spark, [(1, ITEM)], []) == found(spark, [], [])
 
 
-def semi_global(passage, text):
-    column = list(range(len(passage) + 1))
-    best = column[-1]
-    for c in text:
-        new = [0]
-        for i, p in enumerate(passage, 1):
-            new.append(min(column[i - 1] + (p != c), column[i] + 1, new[-1] + 1))
-        column, best = new, min(best, new[-1])
-    return best
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute(item, text, words, edits):
+    a = item.split(" ")
+    b = text.split(" ")
+    spans = [" ".join(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
+    return any(distance(" ".join(a[i : i + words]), x) <= edits for i in range(len(a) - words + 1) for x in spans)
+
+
+WORDS = st.lists(st.text("ab", min_size=1, max_size=3), min_size=1, max_size=7).map(" ".join)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=10), st.text("abc", max_size=20), st.integers(0, 5))
-def test_banded_distance(passage, text, edits):
-    assert banded_distance(passage, text, edits) == min(semi_global(passage, text), edits + 1)
+@given(WORDS, WORDS, st.integers(1, 3), st.integers(0, 2))
+def test_alignment_equals_brute_force(item, text, words, edits):
+    i, t = code_points(item), code_points(text)
+    windows = word_windows(i, words)
+    if len(windows[0]):
+        assert aligned(i, windows, t, -len(item) - 3, len(text) + 3, edits) == brute(item, text, words, edits)
 
 
 @pytest.mark.parametrize("edits", [0, 1, 2, 3])
 def test_no_region_within_the_budget_is_lost(edits):
     rng = random.Random(edits)
     item = normal(ITEM)
-    index = ItemIndex([1], [item], 13, edits)
-    for _ in range(60):
-        a, b = rng.choice(index.windows[0])
-        passage = list(item[a:b])
+    chars = code_points(item)
+    a, b = word_windows(chars, 13)
+    bound = Bound(int((b - a).min()), edits)
+    known = np.zeros(1 << 17, np.uint8)
+    for h in gram_hashes(chars, bound.q) >> np.uint64(44):
+        known[int(h) >> 3] |= 1 << (int(h) & 7)
+    for _ in range(80):
+        k = rng.randrange(len(a))
+        passage = list(item[a[k] : b[k]])
         for _ in range(rng.randint(0, edits)):
-            k = rng.randrange(len(passage))
+            i = rng.randrange(1, len(passage) - 1)
             kind = rng.randrange(3)
-            passage[k : k + (kind != 0)] = [] if kind == 1 else [rng.choice("xyz")]
-        text = "".join(rng.choice("qwv ") for _ in range(rng.randint(0, 50))) + "".join(passage) + "qq"
-        regions = index.regions(code_points(text))
-        assert regions and any(low <= text.find("".join(passage)) + len(passage) for _, low, _ in regions)
+            passage[i : i + (kind != 0)] = [] if kind == 1 else [rng.choice("xyz")]
+        passage = "".join(passage)
+        text = normal("".join(rng.choice("qwv ") for _ in range(rng.randint(0, 50))) + " " + passage + " qq")
+        low = text.index(passage)
+        assert any(x <= low and low + len(passage) <= y for x, y in regions(code_points(text), bound, known, 20))
+
+
+def test_many_copies_and_shared_passages(spark):
+    w = ITEM.split()
+    docs = [(i, " ".join(w[i % 5 : i % 5 + 13 + i % 3])) for i in range(200)] + [(i, "own words of " + ITEM) for i in range(200, 260)]
+    items = [(1, ITEM), (2, "other beginning " + " ".join(w[1:15]))]
+    want = {(d, i) for d, t in docs for i, x in items if {tuple(t.lower().replace(",", "").split()[k : k + 13]) for k in range(30)} & {tuple(x.lower().replace(",", "").split()[k : k + 13]) for k in range(len(x.split()) - 12)}}
+    assert found(spark, docs, items) == want
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_word_ends_count_with_edits_too(spark, edits):
+    part = " ".join(ITEM.split()[2:15])
+    docs = [(1, "xxxx" + part + "yyyy"), (2, part + "yyyy"), (3, "so " + part + " it is"), (4, "x" + part)]
+    assert found(spark, docs, [(1, ITEM)], edits=edits) == {(3, 1)} | ({(4, 1)} if edits else set())
 
 
 def test_edited_passages(spark):
