@@ -32,15 +32,16 @@ CACHED_WORDS = 400_000
 LEAST_WORDS = 12  # words of running prose from which on a document is in a language
 SHORT = 4  # sentences of fewer words take the language of their neighbour
 WINDOW = 4  # training texts are also cut into windows of so many words
-ELSEWHERE = 0.02  # prior share of a language that the rest of a document does not show
+ELSEWHERE = 0.02  # prior share of a language that the other sentences of a document do not show
 
 _WORD = re.compile(r"(?<![\w$%@\\/=<>{}\[\]-])_?([^\W\d_]+(?:['’-][^\W\d_]+)*)_?(?![\w$%@\\/=<>{}\[\](]|-\d)")
 _STOP = re.compile(r"[.!?…][\"'»”’)\]]*$")
 _MARK = re.compile(r"(?:[>+*#-]|//|\d+(?:\.\d+)*\.?)$")
-_IR = re.compile(r"reg\d+_t")
-KEPT_PIECES = 500_000  # pieces of text between white space whose words a task keeps at hand
-_pieces: dict[str, tuple[tuple[str, ...], int, bool]] = {}
-_TRANSLITERATED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
+_SIGN = re.compile(r"[{}=\\]|^\|+$|/\*|\*/|->|::|:\w+_")  # brackets of code, table bars, assignments, comments, typed names
+WORDS_A_SIGN = 8  # a line with such signs in two pieces or more, and fewer pieces for each, is no prose
+KEPT_PIECES = 200_000  # pieces of text between white space whose words a task keeps at hand
+LONG_PIECE = 40  # longer pieces are not kept
+_pieces: dict[str, tuple[tuple[str, ...], int, bool, bool]] = {}
 
 
 def unified(text: str) -> str:
@@ -48,21 +49,24 @@ def unified(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
 
 
-def _piece(text: str) -> tuple[tuple[str, ...], int, bool]:
-    """The plain words of a piece without white space, their characters, whether it ends a sentence."""
+def _piece(text: str) -> tuple[tuple[str, ...], int, bool, bool]:
+    """The plain words of a piece without white space, their characters, whether it ends a sentence, and
+    whether it has a sign of code."""
     words = tuple(_WORD.findall(text))
-    if len(_pieces) >= KEPT_PIECES:
-        _pieces.clear()
-    got = _pieces[text] = words, sum(map(len, words)), bool(_STOP.search(text))
+    got = words, sum(map(len, words)), bool(_STOP.search(text)), bool(_SIGN.search(text))
+    if len(text) <= LONG_PIECE:
+        if len(_pieces) >= KEPT_PIECES:
+            _pieces.clear()
+        _pieces[text] = got
     return got
 
 
 def sentences(text: str | None) -> list[tuple[int, list[str]]]:
     """(paragraph, words) of each sentence of running prose, in lower case.
 
-    A line is prose if most of its characters that are no white space belong to plain words:
-    letters, without digits, underscores or signs of code attached. Lines of tables, graphs,
-    listings, logs, digests and headers so drop out; neighbouring prose lines are one paragraph."""
+    A line is prose if most of its characters that are no white space belong to plain words (letters,
+    without digits, underscores or signs of code attached) and signs of code are few. Lines of tables,
+    graphs, listings, logs, digests and headers so drop out; neighbouring prose lines are one paragraph."""
     if not text:
         return []
     out: list[tuple[int, list[str]]] = []
@@ -76,17 +80,13 @@ def sentences(text: str | None) -> list[tuple[int, list[str]]]:
         if parts:
             pieces = [_pieces.get(p) or _piece(p) for p in parts]
             plain = sum([x[1] for x in pieces])
-            prose = (
-                plain > 0
-                and plain >= 0.55 * sum(map(len, parts))
-                and not parts[0].startswith(("|", "/*"))
-                and not (parts[0] in ("node:", "edge:", "graph:") and len(parts) > 1 and parts[1].startswith("{"))
-                and not ("=" in line and sum(["=" in p for p in parts]) > 1)
-                and not ("reg" in line and _IR.search(line))
-            )
+            prose = plain > 0 and plain >= 0.55 * sum(map(len, parts))
+            if prose:
+                signs = sum([x[3] for x in pieces])
+                prose = signs < 2 or signs * WORDS_A_SIGN < len(parts)
         if prose:
             open_ = True
-            for own, _, stops in pieces:
+            for own, _, stops, _ in pieces:
                 words += own
                 if stops and words:
                     out.append((paragraph, words))
@@ -111,9 +111,9 @@ def grams(word: str) -> tuple[str, ...]:
 class LanguageModel:
     """Weights by n-gram and language; ``score`` gives the summands of a word."""
 
-    def __init__(self, langs: list[str], vocabulary: dict[str, int], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, unseen: float, temperature: float = 1.0):
+    def __init__(self, langs: list[str], vocabulary: dict[str, int], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, unseen: float):
         self.langs, self.vocabulary, self.idf, self.weights, self.bias = langs, vocabulary, idf, weights, bias
-        self.unseen, self.temperature = unseen, temperature
+        self.unseen, self.temperature = unseen, 1.0
 
     def score(self, word: str) -> np.ndarray:
         """The scores of each language and, last, the mass by which their sum is divided."""
@@ -138,15 +138,19 @@ def _windows(examples: list[tuple[list[str], str]], size: int) -> list[tuple[lis
     return [(words[k : k + size], label) for words, label in examples for k in range(0, max(1, len(words) - size + 1), size)]
 
 
+def _folded(text: str, umlaut: str) -> str:
+    """A text as it is typed without accents; ``umlaut`` stands for a diaeresis."""
+    return "".join(umlaut if c == "\u0308" else c for c in unicodedata.normalize("NFD", text.casefold()) if c == "\u0308" or not unicodedata.combining(c))
+
+
 def _examples(texts: list[str], labels: list[str]) -> list[tuple[list[str], str]]:
-    """Sentences, each also without accents and with German transliteration."""
+    """Sentences, each also as typed without accents, a diaeresis left out or written as an e."""
     out = []
     for text, label in zip(texts, labels):
         for _, words in sentences(text):
-            out.append((words, label))
             joined = " ".join(words)
-            for other in {joined.translate(_TRANSLITERATED), "".join(c for c in unicodedata.normalize("NFD", joined) if not unicodedata.combining(c)) if label != "ru" else joined} - {joined}:
-                out.append((other.split(" "), label))
+            forms = [joined, *sorted({_folded(joined, ""), _folded(joined, "e")} - {joined})]
+            out += [(form.split(" "), label) for form in forms]
     return out
 
 
@@ -225,6 +229,22 @@ def fitted(samples: DataFrame, lang_col: str, text_col: str, most: int = LABELLE
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
+def in_context(p: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Probabilities of sentences, with the languages of the other sentences of their document as prior.
+
+    ``n`` are the sentences' words, ``owner`` their documents, in order. A sentence's own words are not
+    in its prior, so the only sentence of a document keeps its probabilities."""
+    firsts = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
+    counts = np.diff(firsts, append=len(n))
+    own = p * n[:, None]
+    others = np.maximum(np.repeat(np.add.reduceat(own, firsts, axis=0), counts, axis=0) - own, 0)
+    total = others.sum(axis=1, keepdims=True)
+    alone = np.repeat(counts, counts) == 1
+    prior = np.where(alone[:, None], 1.0, others / np.maximum(total, 1e-9) + ELSEWHERE)
+    p = p * prior
+    return p / p.sum(axis=1, keepdims=True)
+
+
 class _ScoredWords(dict):
     """Row of each word in a table of scores; a word is scored when it is first asked for."""
 
@@ -258,17 +278,10 @@ def _classify(shared):
                 n = np.array(lengths)
                 sums = np.add.reduceat(known.table[np.array(flat)], np.cumsum(n) - n, axis=0)
                 p = model.probabilities(sums.astype(np.float64))
-                # the languages of the rest of a document are the prior of each of its sentences
-                firsts = np.flatnonzero(np.diff(owner, prepend=-1))
-                share = np.add.reduceat(p * n[:, None], firsts, axis=0)
-                share /= share.sum(axis=1, keepdims=True)
-                p = p * (np.repeat(share, np.diff(firsts, append=len(n)), axis=0) + ELSEWHERE)
-                p /= p.sum(axis=1, keepdims=True)
+                p = in_context(p, n, np.array(owner))
                 best = p.argmax(axis=1)
-                sure = p[np.arange(len(n)), best]
             else:
-                n = best = np.empty(0, np.int64)
-                sure = np.empty(0)
+                best = np.empty(0, np.int64)
             best, where = best.tolist(), owner
             # a short sentence takes the language of the one before it, or after it, in its paragraph
             for i in range(len(best)):
@@ -277,17 +290,18 @@ def _classify(shared):
                         best[i] = best[i - 1]
                     elif i + 1 < len(best) and where[i + 1] == where[i] and paragraphs[i + 1] == paragraphs[i]:
                         best[i] = best[i + 1]
+            sure = p[np.arange(len(best)), best].tolist() if best else []  # of the language given
             langs, words, confidence, owners = [], [], [], []
             for i in range(len(best)):
                 lang = model.langs[best[i]]
                 if owners and owners[-1] == where[i] and langs[-1] == lang:
                     words[-1] += lengths[i]
-                    confidence[-1] += float(sure[i]) * lengths[i]
+                    confidence[-1] += sure[i] * lengths[i]
                 else:
                     owners.append(where[i])
                     langs.append(lang)
                     words.append(lengths[i])
-                    confidence.append(float(sure[i]) * lengths[i])
+                    confidence.append(sure[i] * lengths[i])
             offsets = np.searchsorted(np.array(owners, np.int64), np.arange(batch.num_rows + 1))
             values = pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(words, pa.int32()), pa.array([c / w for c, w in zip(confidence, words)], pa.float64())],

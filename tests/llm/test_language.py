@@ -33,6 +33,39 @@ def test_held_out_accuracy(samples):
     assert (m.weights == 0).mean() > 0.3 and 0.2 <= m.temperature <= 5
 
 
+def error(confidence, right):
+    """Expected calibration error over ten bins."""
+    confidence, right = np.array(confidence), np.array(right, float)
+    place = np.ceil(confidence * 10)
+    return sum((place == k).mean() * abs(confidence[place == k].mean() - right[place == k].mean()) for k in set(place))
+
+
+@pytest.mark.parametrize("size", [2, 4, 8])
+def test_confidence_as_written_out_is_calibrated(spark, samples, size):
+    held = np.random.default_rng(3).random(len(samples)) < 0.3
+    m = language.train(samples.sample_text[~held].tolist(), samples.lang[~held].tolist())
+    tests = [(w, label) for t, label in zip(samples.sample_text[held], samples.lang[held]) for _, w in language.sentences(t)]
+    tests = [x for x in language._windows(tests, size) if len(x[0]) == size]
+    docs = spark.createDataFrame([(i, " ".join(w), label) for i, (w, label) in enumerate(tests)], "doc_id long, text string, lang string")
+    rows = [(r["segments"][0], r["label"]) for r in language.segmented(docs, "doc_id", "text", "lang", m).collect() if r["segments"]]
+    assert len(rows) > 0.9 * len(tests)
+    assert error([s["confidence"] for s, _ in rows], [s["lang"] == label for s, label in rows]) < 0.02
+
+
+def test_context_leaves_out_the_sentence_itself():
+    p = np.array([[0.6, 0.4], [0.9, 0.1], [0.2, 0.8], [0.2, 0.8]])
+    got = language.in_context(p, np.array([4, 4, 4, 12]), np.array([5, 7, 7, 7]))
+    assert np.allclose(got[0], p[0])
+    prior = (p[2] * 4 + p[3] * 12) / 16 + language.ELSEWHERE
+    assert np.allclose(got[1], p[1] * prior / (p[1] * prior).sum())
+
+
+def test_short_sentence_has_the_confidence_of_the_language_given(spark, model):
+    segments, _, _ = run(spark, model, [(1, f"{DE} Okay then. {DE}", "de")])
+    got = segments.collect()[0]["segments"]
+    assert [s["lang"] for s in got] == ["de"] and 0.5 < got[0]["confidence"] < 0.999
+
+
 def run(spark, model, rows):
     df = spark.createDataFrame([(*r, "clash", "clash", "c") for r in rows], SCHEMA)
     segments = language.segmented(df, "doc_id", "text", "lang", model)
