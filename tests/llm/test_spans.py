@@ -31,9 +31,9 @@ def brute(records, width):
     return out
 
 
-def spans(spark, rows, width):
+def spans(spark, rows, width, **how):
     df = spark.createDataFrame([(i, t, 0, 0, "clash") for i, t in rows], SCHEMA)
-    got = [(r["id"], r["pos_from"], r["pos_to"]) for r in shared_spans(df, "bb_id", "stmts", width).collect()]
+    got = [(r["id"], r["pos_from"], r["pos_to"]) for r in shared_spans(df, "bb_id", "stmts", width, **how).collect()]
     assert len(got) == len(set(got))
     return set(got), df
 
@@ -53,6 +53,15 @@ def test_spans_equal_brute_force(spark):
         assert spans(spark, list(records.items()), width)[0] == brute(records, width)
 
 
+def test_clashing_hashes_and_hot_windows_change_nothing(spark):
+    rng = random.Random(9)
+    run = [rng.choice("abcdefgh") for _ in range(12)]
+    records = {i: [f"own{i}"] + (run[:8] if i % 3 else run[2:]) + [rng.choice("xyz") for _ in range(i % 7)] for i in range(80)}
+    want = brute(records, 4)
+    for bits, hot in ((64, 100_000), (1, 100_000), (2, 3), (64, 20)):
+        assert spans(spark, list(records.items()), 4, bits=bits, hot=hot)[0] == want
+
+
 def test_nulls_repeats_and_redelivery(spark):
     run = [f"s{i}" for i in range(10)]
     rows = [(1, run), (1, run), (1, None), (2, run[:9]), (3, None), (4, []), (None, run), (5, run * 2), (6, [None] * 12), (7, [None] * 10)]
