@@ -19,7 +19,8 @@ The tree, from the top:
 - Nodes. The points of a subtree, in the order of their min-hashes, are packed into leaves of
   ``LEAF`` points, and nodes of ``FAN`` leaves or nodes, each with its corner and range of sizes. A
   record enters at the root and goes down to the nodes that its bound cannot exclude, then meets the
-  points of the leaves left. No pair is formed in any other way.
+  points of the leaves left. Where a subtree is one leaf, a record visits the corner of the points
+  before it, in the order of sizes. No pair is formed in any other way.
 
 Surviving pairs are verified on the whole sets. Exact copies are represented by one record throughout.
 """
@@ -39,7 +40,7 @@ from codekin.plans.scratch import written
 
 GROUPS, BITS = 64, 4  # coordinates of a point, and unary bits of each
 WORDS = GROUPS * BITS // 64
-LEAF, FAN = 16, 16  # points of a leaf, and children of a node
+LEAF, FAN = 128, 16  # points of a leaf, and children of a node
 HOT = 4096  # a subtree of more records is divided
 ROUTES = 4  # by at most so many tokens
 SPLIT = 4096  # records of one class that a task pairs with others
@@ -132,25 +133,31 @@ def _bound(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return total
 
 
-def _subtrees(points: DataFrame, routes: int, hot: int) -> DataFrame:
-    """(key, rep): the subtrees of each point. Subtrees of one record are left out; a subtree of more
-    than ``hot`` records is divided by a further token, up to ``routes``."""
-    routed = points.select("rep", F.posexplode("keys").alias("place", "key"), "prefix").where("place < prefix").drop("prefix")
-    done = []
+def _subtrees(points: DataFrame, threshold: float, routes: int, hot: int) -> tuple[DataFrame, int]:
+    """(key, c, rep): the subtrees of each point and their sizes, and the largest size. Left out are
+    records without any other of a size that fits in the subtree. A subtree of more than ``hot``
+    records is divided by a further token, up to ``routes``."""
+    routed = points.select("rep", "n", "prefix", F.posexplode("keys").alias("place", "key")).where("place < prefix").drop("prefix")
+    done, most = [], 0
+    by_size = Window.partitionBy("key").orderBy("n")
+    t, slack = F.lit(threshold), F.lit(1e-9)
+    fits = (F.lag("n").over(by_size) + slack >= t * F.col("n")) | (F.col("n") + slack >= t * F.lead("n").over(by_size))
     for route in range(1, routes + 1):
-        counts = routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        counts = written(routed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+        largest = counts.agg(F.max("c")).first()[0] or 0
         counted = routed.join(counts, "key")
-        if route == routes:
-            done.append(counted.select("key", "rep"))
-            break
-        counted = written(counted, "routed")
-        done.append(counted.where(F.col("c") <= hot).select("key", "rep"))
+        some = counted.where(F.col("c") <= hot)
+        done.append(some.withColumn("fits", fits).where("fits").select("key", "c", "rep"))
+        if largest <= hot:
+            return reduce(DataFrame.unionByName, done), max(most, largest)
         large = counted.where(F.col("c") > hot)
-        if large.isEmpty():
-            break
-        later = points.select("rep", F.posexplode("keys").alias("next", "token"), "prefix").where(F.col("next") < F.col("prefix") + route).drop("prefix")
-        routed = large.join(later, "rep").where("next > place").select("rep", F.col("next").alias("place"), F.xxhash64("key", "token").alias("key"))
-    return reduce(DataFrame.unionByName, done)
+        if route == routes:
+            done.append(large.select("key", "c", "rep"))
+            return reduce(DataFrame.unionByName, done), largest
+        most = hot
+        later = points.select("rep", "prefix", F.posexplode("keys").alias("next", "token")).where(F.col("next") < F.col("prefix") + route).drop("prefix")
+        routed = large.join(later, "rep").where("next > place").select("rep", "n", F.col("next").alias("place"), F.xxhash64("key", "token").alias("key"))
+    raise AssertionError("not reached")
 
 
 def candidates(points: DataFrame, threshold: float, routes: int, hot: int) -> DataFrame:
@@ -158,7 +165,38 @@ def candidates(points: DataFrame, threshold: float, routes: int, hot: int) -> Da
     share = threshold / (1 + threshold)
     t, slack = F.lit(threshold), F.lit(1e-9)
     point = ["rep", "n", "over", *_V]
-    members = _subtrees(points, routes, hot).join(points.select(*point, "cls", "m1", "m2"), "rep")
+    rows, most = _subtrees(points, threshold, routes, hot)
+
+    def side(name: str) -> dict[str, Column]:
+        return {x: F.col(f"{name}.{x}") for x in ("over", *_V)}
+
+    def corner(over: Window | None = None, suffix: str = "") -> list[Column]:
+        """Range of sizes and upper corner of points."""
+        parts = [("least", F.min("n")), ("most", F.max("n")), ("over", F.max("over")), *[(v, F.bit_or(v)) for v in _V]]
+        return [(c if over is None else c.over(over)).alias(name + suffix) for name, c in parts]
+
+    def allowed(p: dict[str, Column], n: Column, c: dict[str, Column], least: Column, largest: Column) -> Column:
+        """Whether the bound of a point against a corner lets a partner lie below it."""
+        return (largest + slack >= t * n) & (n + slack >= t * least) & (_bound(p, c) + slack >= F.lit(share) * (n + F.greatest(least, F.ceil(t * n - slack))))
+
+    alike = (
+        (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
+        & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
+    )
+    pair = [F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")]
+
+    # a subtree of one leaf: a point visits the corner of those before it, then these points
+    small = rows.where(F.col("c") <= LEAF).select("key", "rep").join(points.select(*point), "rep")
+    before = Window.partitionBy("key").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    p = small.select("key", *point, *corner(before, "_before"))
+    of = {x: F.col(f"{x}_before") for x in ("over", *_V)}
+    p = p.where(allowed({x: F.col(x) for x in of}, F.col("n"), of, F.col("least_before"), F.col("most_before"))).select("key", *point).alias("p")
+    first = (F.col("q.n") < F.col("p.n")) | ((F.col("q.n") == F.col("p.n")) & (F.col("q.rep") < F.col("p.rep")))
+    near = p.join(small.alias("q"), (F.col("p.key") == F.col("q.key")) & first & alike).select(*pair)
+    if most <= LEAF:
+        return near.distinct()
+
+    members = rows.where(F.col("c") > LEAF).select("key", "rep").join(points.select(*point, "cls", "m1", "m2"), "rep")
     sizes = members.groupBy("key", "cls").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("parts")).where("parts > 1")
     # a subtree that stays large has several roots, so that no task packs more than about ``hot`` points
     parts = F.coalesce("parts", F.lit(1))
@@ -168,16 +206,11 @@ def candidates(points: DataFrame, threshold: float, routes: int, hot: int) -> Da
     members = members.select("key", "cls", "part", leaf.alias("leaf"), F.count(F.lit(1)).over(own).alias("c"), *point)
     members = written(members, "members")
 
-    def side(name: str) -> dict[str, Column]:
-        return {x: F.col(f"{name}.{x}") for x in ("over", *_V)}
-
     def nodes(height: int) -> DataFrame:
         """The nodes of a height: leaves have height 0."""
         node = F.shiftright("leaf", height * (FAN.bit_length() - 1))
         rows = members if not height else members.where(F.col("c") > LEAF * FAN ** (height - 1))
-        rows = rows.groupBy("key", "cls", "part", node.alias("node")).agg(
-            F.max("c").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("over").alias("over"), *[F.bit_or(v).alias(v) for v in _V]
-        )
+        rows = rows.groupBy("key", "cls", "part", node.alias("node")).agg(*corner())
         return rows.withColumn("parent", F.shiftright("node", FAN.bit_length() - 1))
 
     place = ["key", "cls", "part"]
@@ -195,21 +228,13 @@ def candidates(points: DataFrame, threshold: float, routes: int, hot: int) -> Da
         here = entering.where((F.col("c") > low) & (F.col("c") <= high)).drop("c").withColumn("node", F.lit(0))
         here = here if visits is None else visits.unionByName(here)
         p, c = here.alias("p"), nodes(height).alias("c")
-        allowed = (
-            (F.col("c.most") + slack >= t * F.col("p.n"))
-            & (F.col("p.n") + slack >= t * F.col("c.least"))
-            & (_bound(side("p"), side("c")) + slack >= F.lit(share) * (F.col("p.n") + F.greatest("c.least", F.ceil(t * F.col("p.n") - slack))))
-        )
-        met = p.join(c, [F.col(f"p.{x}") == F.col(f"c.{x}") for x in place] + [F.col("p.node") == F.col("c.parent"), allowed])
+        open_ = allowed(side("p"), F.col("p.n"), side("c"), F.col("c.least"), F.col("c.most"))
+        met = p.join(c, [F.col(f"p.{x}") == F.col(f"c.{x}") for x in place] + [F.col("p.node") == F.col("c.parent"), open_])
         visits = met.select(*[f"p.{x}" for x in place], "c.node", "p.own", *[f"p.{x}" for x in point])
     p, q = visits.alias("p"), members.alias("q")
-    alike = (
-        ((F.col("p.own") < F.col("q.cls")) | (F.col("p.rep") < F.col("q.rep")))
-        & (F.least("p.n", "q.n") + slack >= t * F.greatest("p.n", "q.n"))
-        & (_bound(side("p"), side("q")) + slack >= F.lit(share) * (F.col("p.n") + F.col("q.n")))
-    )
-    met = p.join(q, [F.col(f"p.{x}") == F.col(f"q.{x}") for x in place] + [F.col("p.node") == F.col("q.leaf"), alike])
-    return met.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+    once = (F.col("p.own") < F.col("q.cls")) | (F.col("p.rep") < F.col("q.rep"))
+    met = p.join(q, [F.col(f"p.{x}") == F.col(f"q.{x}") for x in place] + [F.col("p.node") == F.col("q.leaf"), once, alike])
+    return near.unionByName(met.select(*pair)).distinct()
 
 
 def similar_pairs(distinct: DataFrame, threshold: float, routes: int = ROUTES, hot: int = HOT) -> DataFrame:
