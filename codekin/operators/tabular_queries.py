@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codekin.functions import scalars
-from codekin.operators import writes
+from codekin.operators import results, writes
 from codekin.operators.features import blocks, functions, imports, ngrams, operations, with_views
 from codekin.operators.graph_queries import _edges
-from codekin.plans.scratch import new_path
+from codekin.plans.scratch import new_path, written
 from codekin.sources import formats
 from codekin.sources.tables import cleaned, table
 from codekin.streaming import worker
@@ -32,8 +30,18 @@ def s03_small_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s06_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function's operations as hexadecimal code, two bytes each."""
-    code = F.array_join(F.transform("ops", lambda o: F.substring(F.md5(o), 1, 4)), "")
-    return operations(spark, sf_dir).select("func_id", code.alias("code"))
+    ops = written(operations(spark, sf_dir), "operations")
+    code = operation_codes(ops)
+    return ops.select("func_id", scalars.opcode_hex(F.transform("ops", lambda o: code[o])).alias("code"))
+
+
+def operation_codes(ops: DataFrame) -> Column:
+    """A map of each operation to a code of its own, 1 for the first in order, and so on. An instruction
+    set is small; more than two bytes can tell apart raise."""
+    names = [r[0] for r in ops.select(F.explode("ops").alias("o")).distinct().orderBy("o").limit(1 << 16).collect()]
+    if len(names) >= 1 << 16:
+        raise ValueError("more operations than codes of two bytes")
+    return F.create_map(*[F.lit(x) for i, n in enumerate(names or [""], 1) for x in (n, i)])
 
 
 def s11_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +125,21 @@ def s25_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pattern", "crc_length", "length", F.regexp_extract(F.col("names")[0], r"f(\d+)$", 1).cast("long").alias("func_id"))
 
 
-#: Signatures of three function openings over the codes of ``s06_opcodes``, ``..`` for any byte.
-_OPS = {name: hashlib.md5(name.encode()).hexdigest()[:4] for name in ("label", "lea", "push", "mov", "T_", "mem")}
-SIGNATURES = (_OPS["label"] + _OPS["T_"] + "...." + _OPS["T_"], _OPS["mem"] + _OPS["mem"], _OPS["T_"] + _OPS["label"])
+WILD = 4  # digits of a signature that stand for any byte
 
 
 def e01_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each file: 0 if one of its functions starts with a signature, else 1."""
-    code = s06_opcodes(spark, sf_dir).join(functions(spark, sf_dir).select("func_id", "file_id"), "func_id")
-    return formats.exact_matches(code, SIGNATURES)
+    """Of each file: 0 if one of its functions has an opening that the signatures list, else 1.
+
+    The signatures are lines as pattern files have them, written from the openings of the functions of
+    files 1 to 20, whose ids are reserved for subjects: twelve digits, two bytes that may be anything, and
+    four digits more. They meet the functions on what they fix, as an equi-join."""
+    code = written(s06_opcodes(spark, sf_dir).join(functions(spark, sf_dir).select("func_id", "file_id"), "func_id"), "codes")
+    long = F.length("code") >= 20
+    line = F.concat(F.upper(F.substring("code", 1, 12)), F.lit("." * WILD), F.upper(F.substring("code", 17, 4)), F.lit(" 00 0000 0010 :0000 opening"))
+    path = new_path(spark, "patterns")
+    code.where(long & (F.col("file_id") < FIRST_ID)).select(line.alias("value")).distinct().write.text(path)
+    return formats.exact_by_signature(code, formats.signatures(spark.read.text(path)), WILD)
 
 
 def d07_cyccomp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,15 +157,26 @@ def d11_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("file_id", F.sha1(F.encode("file_path", "UTF-8")).alias("path_sha1"), F.md5(F.encode("file_name", "UTF-8")).alias("name_md5"), F.coalesce(scalars.bitness(F.col("file_type")), F.lit(0)).alias("bits"))
 
 
+def _function_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(func_id, text): the bytes of each function's statements, in the order of its blocks."""
+    rows = blocks(spark, sf_dir).where("func_id IS NOT NULL").groupBy("func_id").agg(F.array_sort(F.collect_list(F.struct("bb_no", "bb_id", "stmts"))).alias("b"))
+    return rows.select("func_id", F.encode(F.array_join(F.flatten(F.transform("b", lambda b: b["stmts"])), "\n"), "UTF-8").alias("text"))
+
+
 def d12_function_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each block's statements."""
-    return blocks(spark, sf_dir).select("bb_id", F.md5(F.encode(F.array_join("stmts", "\n"), "UTF-8")).alias("digest"))
+    """Digest of each function's statements."""
+    return _function_text(spark, sf_dir).select("func_id", F.md5("text").alias("digest"))
+
+
+def d12_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of each function's statements."""
+    return _function_text(spark, sf_dir).select("func_id", F.crc32("text").alias("crc"))
 
 
 def d14_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Further hashes of function names: FNV-1a, Murmur3, CRC-32, xxHash64."""
-    n = functions(spark, sf_dir).where("func_name IS NOT NULL")
-    return n.select("func_id", scalars.fnv1a(F.col("func_name")).alias("fnv1a"), scalars.murmur3("func_name").alias("murmur3"), F.crc32(F.encode("func_name", "UTF-8")).alias("crc32"), F.xxhash64("func_name").alias("xxhash64"))
+    """Further hashes of function names: FNV-1a, one-at-a-time, Murmur2 and 3, CRC-32, xxHash64."""
+    n = functions(spark, sf_dir).where("func_name IS NOT NULL").withColumn("m2", scalars.murmur2("func_name"))
+    return n.select("func_id", "m2.murmur2", "m2.murmur2_64", scalars.one_at_a_time(F.col("func_name")).alias("one_at_a_time"), scalars.fnv1a(F.col("func_name")).alias("fnv1a"), scalars.murmur3("func_name").alias("murmur3"), F.crc32(F.encode("func_name", "UTF-8")).alias("crc32"), F.xxhash64("func_name").alias("xxhash64"))
 
 
 def d15_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +185,11 @@ def d15_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d16_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node and rest of each file's path, without double slashes."""
+    """Node and rest of each file's path, without double slashes, and the name of a member of an archive
+    in its place (D16, D17)."""
     path = scalars.single_slashes(F.col("file_path"))
-    return table(spark, sf_dir, "bin_file").select("file_id", scalars.mount_node(path).alias("node"), scalars.mount_rest(path).alias("rest"))
+    member = scalars.archive_path(F.concat(path, F.lit(".a("), F.col("file_name"), F.lit(")")))
+    return table(spark, sf_dir, "bin_file").select("file_id", scalars.mount_node(path).alias("node"), scalars.mount_rest(path).alias("rest"), member.alias("member"))
 
 
 def d18_opcode_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +203,32 @@ def d20_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("node_id", scalars.elapsed_ms(F.col("seen_at"), F.col("loaded_at")).alias("elapsed_ms"))
 
 
+MACHINE = (
+    "not", "neg", "add", "sub", "mul", "and", "or", "xor", "div", "mod", "sdiv", "srem", "smod", "shl", "shr", "sar", "eq", "ult", "ule", "slt", "sle",
+    "sext", "low", "high", "concat", "ite",
+)
+
+
 def d24_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Machine operations on the addresses and sizes of functions."""
-    a, b = F.col("startea"), F.col("func_size")
-    names = ("not", "add", "sub", "and", "or", "xor", "div", "mod", "eq", "ult", "slt")
+    """Machine operations on addresses and sizes of functions, once as they stand (r_) and once with the
+    address negated, so that its sign counts (s_); shifts go by the size modulo 40 (D24, D25)."""
     f = functions(spark, sf_dir).where("startea IS NOT NULL AND func_size IS NOT NULL")
-    return f.select("func_id", *[scalars.machine_op(n, a, b).alias(f"r_{n}") for n in names])
+    a, b, by = F.col("startea"), F.col("func_size"), F.pmod("func_size", F.lit(40))
+    other = lambda n: by if n in ("shl", "shr", "sar") else b
+    return f.select(
+        "func_id", *[scalars.machine_op(n, a, other(n), c=F.col("endea")).alias(f"r_{n}") for n in MACHINE],
+        *[scalars.machine_op(n, -a, other(n), c=F.col("endea")).alias(f"s_{n}") for n in MACHINE],
+    )
+
+
+def d25_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes to and reads from a memory: size at the start, complexity at the end, then start again."""
+    f = functions(spark, sf_dir).where("startea IS NOT NULL AND endea IS NOT NULL AND func_size IS NOT NULL AND cyccomp IS NOT NULL")
+    m = F.create_map(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    for at, value in (("startea", "func_size"), ("endea", "cyccomp"), ("startea", "endea")):
+        m = scalars.memory_write(m, F.col(at), F.col(value).cast("long"))
+    read = lambda at: scalars.memory_read(m, at)
+    return f.select("func_id", read(F.col("startea")).alias("first"), read(F.col("endea")).alias("second"), read(F.col("startea") + 1).alias("third"))
 
 
 def w01_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,8 +303,7 @@ def j08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by their part of the largest graph (join with a one-row aggregate)."""
     f = table(spark, sf_dir, "bin_file").where("num_vertices IS NOT NULL")
-    f.createOrReplaceTempView("codekin_files")
-    return spark.sql("SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM codekin_files), 6) AS part FROM codekin_files")
+    return spark.sql("SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM {f}), 6) AS part FROM {f}", f=f)
 
 
 def j11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,20 +313,57 @@ def j11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "bin_file").select("file_id", "client_id").join(names, "client_id").select("file_id", "n_name", "r_name")
 
 
+EARLIER = "2011-11-01"  # an earlier run, for the queries on results
+
+
+def _earlier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of an earlier run: the part of a file's graph files of that time that are complete, its
+    client as experiment; no score where none is, no time where it is not known."""
+    whole = F.coalesce(F.rtrim("body").endswith("}"), F.lit(False)).cast("long")
+    g = table(spark, sf_dir, "gdl_file").where(F.coalesce("written_at", F.lit("1970-01-01").cast("timestamp")) < F.lit(EARLIER).cast("timestamp"))
+    g = g.groupBy("file_id").agg(F.sum(whole).alias("w"), F.count(F.lit(1)).alias("n"), F.min("written_at").alias("a"), F.max("written_at").alias("b"))
+    g = g.join(table(spark, sf_dir, "bin_file").select("file_id", F.col("client_id").cast("long").alias("e")), "file_id")
+    return results.result_rows(g.withColumn("score", F.when(F.col("w") > 0, F.round(F.col("w") / F.col("n"), 6))), F.col("e"), F.col("a"), F.col("b"))
+
+
+def x04_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of an earlier run with their status."""
+    return _earlier_results(spark, sf_dir).select("file_id", "expt_id", "elapsed_ms", F.unix_micros("finished_at").alias("finished_us"), "score", "status")
+
+
+def x05_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of each client a run works on in each mode."""
+    files, done = table(spark, sf_dir, "bin_file").select("file_id", "client_id"), _earlier_results(spark, sf_dir)
+    parts = [results.to_do(files, done, m).groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("mode"), "client_id", "n") for m in results.MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def x06_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and stop of each experiment's run."""
+    rows = _earlier_results(spark, sf_dir).where("finished_at IS NOT NULL")
+    started = F.unix_micros("finished_at") - 1000 * F.col("elapsed_ms")
+    log = rows.select("expt_id", F.lit("start").alias("event"), F.timestamp_micros(started).alias("at"))
+    log = log.unionByName(rows.select("expt_id", F.lit("stop").alias("event"), F.col("finished_at").alias("at")))
+    return results.runs(log).select("expt_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("stopped_at").alias("stopped_us"), "elapsed_ms")
+
+
+def w04_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results after a second run has repaired what the earlier one left (W4, X5): score 1 for the repaired."""
+    done = _earlier_results(spark, sf_dir)
+    files = results.to_do(table(spark, sf_dir, "bin_file").select("file_id", F.col("client_id").cast("long").alias("e")), done, "repair")
+    at = F.lit("2013-01-01").cast("timestamp")
+    new = results.result_rows(files.withColumn("score", F.lit(1.0)), F.col("e"), at, at)
+    return results.merged(done, new).select("file_id", "expt_id", "elapsed_ms", "score", "status")
+
+
 def f12_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files without a complete graph, or with a broken one: to be worked on again."""
-    whole = F.coalesce(F.rtrim("body").endswith("}"), F.lit(False))
-    g = table(spark, sf_dir, "gdl_file").select("file_id", whole.alias("whole"))
-    f = table(spark, sf_dir, "bin_file").select("file_id")
-    none = f.join(g.where("whole").select("file_id"), "file_id", "left_anti")
-    broken = f.join(g.where("NOT whole").select("file_id"), "file_id", "left_semi")
-    return none.union(broken).distinct()
+    """Files without a good result of an earlier run, or with a bad one: to be worked on again."""
+    return results.to_do(table(spark, sf_dir, "bin_file").select("file_id"), _earlier_results(spark, sf_dir), "repair")
 
 
 def f13_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files without any graph row."""
-    f = table(spark, sf_dir, "bin_file").select("file_id")
-    return f.join(table(spark, sf_dir, "gdl_file").select("file_id"), "file_id", "left_anti")
+    """Files without any result of an earlier run."""
+    return results.to_do(table(spark, sf_dir, "bin_file").select("file_id"), _earlier_results(spark, sf_dir), "resume")
 
 
 def a11_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,20 +390,36 @@ def x01_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "s09_files s25_signatures s01_functions s03_small_blocks s06_opcodes s11_dot s14_xml s17_gdl_nodes s17_gdl_edges s17_compact s18_random s20_lines s22_markers s24_gml e01_exact "
-    "d07_cyccomp d11_digests d12_function_digest d14_hashes d15_escaped d16_paths d18_opcode_length d20_elapsed d24_machine w01_ngrams w02_first_copy "
+    "d07_cyccomp d11_digests d12_function_digest d12_checksum d14_hashes d15_escaped d16_paths d18_opcode_length d20_elapsed d24_machine w01_ngrams w02_first_copy "
     "w04_upsert w05_boundary u05_ignore u06_ids u08_update u09_reserved t04_loads j08_paths j10_scalar j11_lookup f12_pending f13_unseen a11_extent "
-    "a15_instructions a18_frames x01_worker"
+    "a15_instructions a18_frames x01_worker x04_results x05_modes x06_runs w04_results d25_memory"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()} | {"s15_csv": _csv(",", False), "s16_tsv": _csv("\t", True)}
 
 _GRAPH = ("fn", "ce", "fe")
-_CODE = ("SELECT func_id, string_agg(substr(md5(op), 1, 4), '' ORDER BY i) AS code FROM op GROUP BY 1")
+_CODE = "SELECT func_id, string_agg(lpad(lower(to_hex(k)), 4, '0'), '' ORDER BY i) AS code FROM op JOIN (SELECT op, row_number() OVER (ORDER BY op) AS k FROM (SELECT DISTINCT op FROM op)) USING (op) GROUP BY 1"
 _CALLS = "SELECT func_id, func_name, func_size FROM fn"
 _NODE, _EDGE = formats._GDL_NODE, formats._GDL_EDGE
 _LABEL = "CASE WHEN lower(l) LIKE 'nullsub\\_%' ESCAPE '\\' THEN 'nullsub_' WHEN lower(l) LIKE 'sub\\_%' ESCAPE '\\' THEN 'sub_' ELSE l END"
 _GDL_N = f"SELECT gdl_id, t AS title, {_LABEL} AS label FROM (SELECT gdl_id, unnest(regexp_extract_all(body, '{_NODE}', 1)) AS t, unnest(regexp_extract_all(body, '{_NODE}', 2)) AS l FROM gdl_file)"
 _GDL_E = f"SELECT gdl_id, unnest(regexp_extract_all(body, '{_EDGE}', 1)) AS sourcename, unnest(regexp_extract_all(body, '{_EDGE}', 2)) AS targetname FROM gdl_file"
 _WHOLE = r"coalesce(regexp_matches(body, '\} *$'), false)"
+#: Of @ (# with its sign), b, n for shifts and c.
+_MACHINE_SQL = {
+    "not": "xor(@, f)", "neg": "-@", "add": "@ + b", "sub": "@ - b", "mul": "(@::hugeint * b % 4294967296)::bigint", "and": "@ & b", "or": "@ | b", "xor": "xor(@, b)",
+    "div": "CASE WHEN b = 0 THEN f ELSE @ // b END", "mod": "CASE WHEN b = 0 THEN @ ELSE @ % b END",
+    "sdiv": "CASE WHEN b <> 0 THEN # // sb WHEN # < 0 THEN 1 ELSE f END", "srem": "CASE WHEN b = 0 THEN @ ELSE # % sb END",
+    "smod": "CASE WHEN b = 0 THEN @ ELSE ((# % sb) + sb) % sb END",
+    "shl": "CASE WHEN n >= 32 THEN 0 ELSE (@::hugeint << n % 32)::hugeint % 4294967296 END::bigint", "shr": "CASE WHEN n >= 32 THEN 0 ELSE @ >> n END", "sar": "floor(# / power(2, least(n, 31)))::bigint",
+    "eq": "(@ = b)::bigint", "ult": "(@ < b)::bigint", "ule": "(@ <= b)::bigint", "slt": "(# < sb)::bigint", "sle": "(# <= sb)::bigint",
+    "sext": "CASE WHEN @ & 32768 > 0 THEN (@ & 65535) - 65536 ELSE @ & 65535 END", "low": "@ & 65535", "high": "@ // 65536", "concat": "(@ & 65535) * 65536 + (b & 65535)",
+    "ite": "CASE WHEN @ <> 0 THEN b ELSE c END",
+}
+_EARLIER = f"""SELECT file_id, client_id::bigint AS expt_id, a, b, coalesce(CASE WHEN w > 0 THEN round(w / n, 6) END, -4.0)::double AS score FROM bin_file JOIN (
+  SELECT file_id, count(*) FILTER (regexp_matches(body, '\\}} *$')) AS w, count(*) AS n, min(written_at) AS a, max(written_at) AS b FROM gdl_file
+  WHERE coalesce(written_at, '1970-01-01 00:00:00+00'::timestamptz) < '{EARLIER} 00:00:00+00'::timestamptz GROUP BY 1) USING (file_id)"""
+_ELAPSED = "(floor((epoch_us(b) - epoch_us(a)) / 1000000) * 1000 + ceil((epoch_us(b) - epoch_us(a)) % 1000000 / 1000))::bigint"
+_REPAIR = "SELECT file_id, client_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM er WHERE score >= 0 AND b IS NOT NULL)"
 ORACLE = {
     "s01_functions": with_views("SELECT file_id, func_id, func_size, cyccomp, num_ngrams FROM fn", "fn"),
     "s03_small_blocks": with_views("SELECT func_id, bb_id, bb_no, len(stmts)::int AS n_stmts FROM bb WHERE func_id IN (SELECT func_id FROM fn WHERE func_size < 300)", "fn", "bb"),
@@ -337,21 +436,22 @@ SELECT gdl_id, count(*) AS n_nodes, coalesce(string_agg(label || ' ' || k || ' '
     "s20_lines": r"SELECT count(*) AS n_lines FROM (SELECT unnest(regexp_split_to_array(body, '\r\n|\r|\n')) AS line FROM gdl_file) WHERE contains(line, 'edge:')",
     "s22_markers": """SELECT doc_id, concat_ws(',', CASE WHEN contains(text, 'checksum') THEN 'checksum' END, CASE WHEN contains(text, 'opcodes') THEN 'opcodes' END) AS comments
 FROM documents WHERE contains(text, 'checksum') OR contains(text, 'opcodes')""",
-    "s24_gml": with_views("""SELECT '  node [ id ' || func_id || ' label "' || replace(coalesce(func_name, ''), '"', '''') || '" ]' AS value FROM fn
+    "s24_gml": with_views("""SELECT unnest(['graph [', '  directed 1', ']']) AS value UNION ALL SELECT '  node [ id ' || func_id || ' label "' || replace(coalesce(func_name, ''), '"', '''') || '" ]' AS value FROM fn
 UNION ALL SELECT '  edge [ source ' || fn_parent || ' target ' || fn_child || ' ]' FROM fe""", *_GRAPH),
     "s25_signatures": with_views("SELECT upper(code[1:12]) || '....' AS pattern, 8 AS crc_length, least(length(code) // 2, 65535)::bigint AS length, func_id FROM co WHERE length(code) >= 16", "bb", "st", "op", co=_CODE),
-    "e01_exact": with_views("SELECT file_id, min(CASE WHEN " + " OR ".join(f"regexp_matches(code, '^{p}')" for p in SIGNATURES) + " THEN 0 ELSE 1 END)::int AS is_diff FROM co JOIN fn USING (func_id) GROUP BY 1", "fn", "bb", "st", "op",
+    "e01_exact": with_views("SELECT file_id, min(CASE WHEN length(code) >= 20 AND code[1:12] || code[17:20] IN (SELECT code[1:12] || code[17:20] FROM co JOIN fn USING (func_id) WHERE file_id < 21 AND length(code) >= 20) THEN 0 ELSE 1 END)::int AS is_diff FROM co JOIN fn USING (func_id) GROUP BY 1", "fn", "bb", "st", "op",
         co="SELECT DISTINCT bb.func_id, coalesce(c.code, '') AS code FROM bb LEFT JOIN (" + _CODE + ") c USING (func_id) WHERE bb.func_id IS NOT NULL"),
     "d07_cyccomp": with_views("SELECT func_id, d::bigint AS decisions, x::bigint AS exits, (d - x + 2)::bigint AS cyccomp FROM (SELECT func_id, sum(len(list_filter(stmts, lambda s: starts_with(s, 'jmp(') OR starts_with(s, 'cjmp(')))) AS d, sum((NOT coalesce(starts_with(stmts[-1], 'jmp(') OR starts_with(stmts[-1], 'cjmp('), false))::int) AS x FROM bb WHERE func_id IS NOT NULL GROUP BY 1)", "bb"),
     "d11_digests": "SELECT file_id, sha1(file_path) AS path_sha1, md5(file_name) AS name_md5, (CASE WHEN contains(lower(file_type), '64-bit') THEN 64 WHEN contains(lower(file_type), '32-bit') THEN 32 ELSE 0 END)::int AS bits FROM bin_file",
-    "d12_function_digest": with_views("SELECT bb_id, md5(coalesce(array_to_string(stmts, e'\\n'), '')) AS digest FROM bb", "bb"),
+    "d12_function_digest": with_views("SELECT func_id, md5(coalesce(string_agg(s, e'\\n' ORDER BY bb_no, bb_id, p), '')) AS digest FROM bb LEFT JOIN (SELECT bb_id, p, s FROM st) USING (bb_id) WHERE func_id IS NOT NULL GROUP BY 1", "bb", "st"),
     "d15_escaped": r"""SELECT gdl_id, array_to_string(list_transform(string_split(title, ''), lambda c: CASE WHEN regexp_matches(c, '[\x00-\x1f\x7f\\"'']') THEN '\' || lpad(lower(to_hex(ascii(c))), 2, '0') ELSE c END), '') AS title FROM gdl_file WHERE title IS NOT NULL""",
-    "d16_paths": "SELECT file_id, regexp_extract(p, '^/+([^/]+)/', 1) AS node, regexp_extract(p, '^/+[^/]+(/.*)$', 1) AS rest FROM (SELECT file_id, regexp_replace(file_path, '/{2,}', '/', 'g') AS p FROM bin_file)",
+    "d16_paths": "SELECT file_id, regexp_extract(p, '^/+([^/]+)/', 1) AS node, regexp_extract(p, '^/+[^/]+(/.*)$', 1) AS rest, p || '.a:' || file_name AS member FROM (SELECT file_id, file_name, regexp_replace(file_path, '/{2,}', '/', 'g') AS p FROM bin_file)",
     "d18_opcode_length": "SELECT file_id, (CASE WHEN file_sha1 IS NULL OR length(file_sha1) < 2 THEN 0 WHEN lower(file_sha1[1:2]) <> '0f' THEN 1 WHEN file_sha1[3:4] IN ('38', '3a') THEN 3 ELSE 2 END)::int AS n_bytes FROM bin_file",
     "d20_elapsed": "SELECT node_id, (floor(us / 1000000) * 1000 + ceil((us - floor(us / 1000000) * 1000000) / 1000))::bigint AS elapsed_ms FROM (SELECT node_id, loaded_at, epoch_us(loaded_at) - epoch_us(seen_at) AS us FROM gdl_node WHERE seen_at IS NOT NULL AND loaded_at IS NOT NULL)",
-    "d24_machine": with_views("""SELECT func_id, xor(a, f) AS r_not, (a + b) & f AS r_add, (a - b) & f AS r_sub, a & b AS r_and, a | b AS r_or, xor(a, b) AS r_xor, CASE WHEN b = 0 THEN f ELSE a // b END AS r_div,
-  CASE WHEN b = 0 THEN a ELSE a % b END AS r_mod, (a = b)::bigint AS r_eq, (a < b)::bigint AS r_ult, (a < b)::bigint AS r_slt
-FROM (SELECT func_id, startea & 4294967295 AS a, func_size & 4294967295 AS b, 4294967295::bigint AS f FROM fn WHERE startea IS NOT NULL AND func_size IS NOT NULL)""", "fn"),
+    "d24_machine": with_views("SELECT func_id, " + ", ".join(f"({e.replace('@', 'a').replace('#', 'sa')}) & f AS r_{n}, ({e.replace('@', 'z').replace('#', 'sz')}) & f AS s_{n}" for n, e in _MACHINE_SQL.items()) + """
+FROM (SELECT *, CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END AS sa, CASE WHEN z >= 2147483648 THEN z - 4294967296 ELSE z END AS sz, CASE WHEN b >= 2147483648 THEN b - 4294967296 ELSE b END AS sb
+  FROM (SELECT func_id, startea & 4294967295 AS a, (-startea) & 4294967295 AS z, func_size & 4294967295 AS b, func_size % 40 AS n, endea & 4294967295 AS c, 4294967295::bigint AS f FROM fn WHERE startea IS NOT NULL AND func_size IS NOT NULL))""", "fn"),
+    "d25_memory": with_views("SELECT func_id, endea AS first, CASE WHEN endea = startea THEN endea ELSE cyccomp::bigint END AS second, CASE WHEN startea + 1 = endea THEN cyccomp ELSE 0 END::bigint AS third FROM fn WHERE startea IS NOT NULL AND endea IS NOT NULL AND func_size IS NOT NULL AND cyccomp IS NOT NULL", "fn"),
     "w01_ngrams": with_views("SELECT func_id, ngram, freq FROM fq", "bb", "st", "op", "gr", "fq"),
     "w02_first_copy": "SELECT client_id, file_sha1, file_id, file_path FROM (SELECT *, row_number() OVER (PARTITION BY client_id, file_sha1 ORDER BY file_id) AS r FROM bin_file WHERE file_sha1 IS NOT NULL) WHERE r = 1",
     "w04_upsert": "SELECT node_id, epoch_us(loaded_at) AS loaded_us, coalesce(title, '') AS title FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC, title DESC NULLS LAST, color DESC NULLS LAST) AS r FROM gdl_node WHERE loaded_at IS NOT NULL) WHERE r = 1",
@@ -365,9 +465,15 @@ FROM (SELECT func_id, startea & 4294967295 AS a, func_size & 4294967295 AS b, 42
     "j08_paths": "SELECT a.file_id, b.file_id AS listed_id FROM bin_file a JOIN bin_file b ON sha1(a.file_path) = b.path_sha1",
     "j10_scalar": "SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM bin_file), 6) AS part FROM bin_file WHERE num_vertices IS NOT NULL",
     "j11_lookup": "SELECT file_id, n_name, r_name FROM bin_file JOIN nation ON client_id = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "f12_pending": f"""WITH g AS (SELECT file_id, {_WHOLE} AS w FROM gdl_file)
-SELECT file_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM g WHERE w) OR file_id IN (SELECT file_id FROM g WHERE NOT w)""",
-    "f13_unseen": "SELECT file_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM gdl_file WHERE file_id IS NOT NULL)",
+    "x04_results": f"WITH er AS ({_EARLIER}) SELECT file_id, expt_id, {_ELAPSED} AS elapsed_ms, epoch_us(b) AS finished_us, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END AS status FROM er",
+    "x05_modes": f"""WITH er AS ({_EARLIER}), m AS (SELECT 'replace' AS mode, client_id FROM bin_file UNION ALL SELECT 'resume', client_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM er)
+UNION ALL SELECT 'repair', client_id FROM ({_REPAIR})) SELECT mode, client_id, count(*) AS n FROM m GROUP BY 1, 2""",
+    "x06_runs": f"""WITH er AS ({_EARLIER}), s AS (SELECT expt_id, min(epoch_us(b) - 1000 * {_ELAPSED}) AS a, max(epoch_us(b)) AS b FROM er WHERE b IS NOT NULL GROUP BY 1)
+SELECT expt_id, a AS started_us, b AS stopped_us, (floor((b - a) / 1000000) * 1000 + ceil((b - a) % 1000000 / 1000))::bigint AS elapsed_ms FROM s""",
+    "w04_results": f"""WITH er AS ({_EARLIER}), r AS ({_REPAIR}) SELECT file_id, client_id::bigint AS expt_id, 0::bigint AS elapsed_ms, 1.0::double AS score, 'OK' AS status FROM r
+UNION ALL SELECT file_id, expt_id, {_ELAPSED}, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END FROM er WHERE file_id NOT IN (SELECT file_id FROM r)""",
+    "f12_pending": f"WITH er AS ({_EARLIER}) SELECT file_id FROM ({_REPAIR})",
+    "f13_unseen": f"WITH er AS ({_EARLIER}) SELECT file_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM er)",
     "a11_extent": with_views("SELECT file_id, min(startea) AS lo, max(endea) AS hi, max(endea) - min(startea) AS diameter, sum(endea - startea)::bigint AS size FROM fn GROUP BY 1", "fn"),
     "a15_instructions": with_views("SELECT func_id, sum(len(stmts))::int AS n_ops FROM bb WHERE func_id IS NOT NULL GROUP BY 1", "bb"),
     "a18_frames": with_views("SELECT file_id, count(*) FILTER (num_vars > 0) AS with_vars, count(*) FILTER (num_params > 0) AS with_params, sum(coalesce(num_vars, 0))::bigint AS vars, sum(coalesce(num_params, 0))::bigint AS params FROM fn GROUP BY 1", "fn"),

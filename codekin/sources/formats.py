@@ -73,11 +73,25 @@ def compact_graphs(files: DataFrame, id_col: str, body_col: str) -> DataFrame:
 
 
 def gml_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(value): GML text of vertices (id, label) and edges (src, dst), one item per line."""
+    """(value): GML text of a directed graph of vertices (id, label) and edges (src, dst), one item per
+    line between the lines that open and close it; ``write_gml`` keeps their order."""
+    return _gml(vertices, edges).select("value")
+
+
+def _gml(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    spark = vertices.sparkSession
     quoted = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), '"', "'")
-    v = vertices.select(F.concat(F.lit("  node [ id "), F.col("id").cast("string"), F.lit(' label "'), quoted("label"), F.lit('" ]')).alias("value"))
-    e = edges.select(F.concat(F.lit("  edge [ source "), F.col("src").cast("string"), F.lit(" target "), F.col("dst").cast("string"), F.lit(" ]")).alias("value"))
-    return v.union(e)
+    v = vertices.select(F.lit(2).alias("place"), F.concat(F.lit("  node [ id "), F.col("id").cast("string"), F.lit(' label "'), quoted("label"), F.lit('" ]')).alias("value"))
+    e = edges.select(F.lit(3).alias("place"), F.concat(F.lit("  edge [ source "), F.col("src").cast("string"), F.lit(" target "), F.col("dst").cast("string"), F.lit(" ]")).alias("value"))
+    frame = spark.createDataFrame([(0, "graph ["), (1, "  directed 1"), (4, "]")], "place int, value string")
+    return frame.union(v).union(e)
+
+
+def write_gml(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """One graph as GML text files whose names, in order, make one file: sorted by place, so the frame
+    is around its items and nodes stand before the edges that name them."""
+    rows = _gml(vertices, edges)
+    rows.repartitionByRange("place", F.xxhash64("value")).sortWithinPartitions("place", "value").select("value").write.text(path)
 
 
 def write_xml(rows: DataFrame, path: str, root: str, row: str) -> None:
@@ -128,6 +142,38 @@ def signatures(lines: DataFrame) -> DataFrame:
     )
 
 
+def noted(rows: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with the markers of ``found`` (key, comments) written into ``column``; where none are
+    found it stays as it is."""
+    got = found.select(key, F.col("comments").alias("__comments"))
+    return rows.join(got, key, "left").select(*[F.coalesce("__comments", column).alias(column) if c == column else F.col(c) for c in rows.columns])
+
+
+#: Magic number of ELF files, and the places of word size, byte order and kind in their header: fixed values.
+ELF, ELF_CLASS, ELF_ORDER, ELF_KIND = b"\x7fELF", 5, 6, 17
+ELF_BITS = {1: 32, 2: 64}
+ELF_KINDS = {2: "executable", 3: "shared object"}
+
+
+def elf_type(content: Column) -> Column:
+    """The type text of an ELF file, as ``ELF 32-bit LSB executable``; null for other files and for
+    little files cut off before it."""
+    byte = lambda k: F.conv(F.hex(F.substring(content, k, 1)), 16, 10).cast("int")
+    look = lambda names, x: F.create_map(*[F.lit(y) for item in names.items() for y in item])[x].cast("string")
+    kind = F.when(byte(ELF_ORDER) == 2, byte(ELF_KIND + 1)).otherwise(byte(ELF_KIND))
+    order = F.when(byte(ELF_ORDER) == 1, "LSB").when(byte(ELF_ORDER) == 2, "MSB")
+    text = F.concat(F.lit("ELF "), look(ELF_BITS, byte(ELF_CLASS)), F.lit("-bit "), order, F.lit(" "), look(ELF_KINDS, kind))
+    return F.when((F.substring(content, 1, 4) == F.lit(ELF)) & (F.octet_length(content) > ELF_KIND), text)
+
+
+def binaries_in(spark: SparkSession, folder: str, bits: int, glob: str = "*") -> DataFrame:
+    """(path, name, size, file_type, file_sha1) of the executables and shared objects of a word size, of low
+    byte first, below a folder; other files are left out."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    rows = rows.withColumn("file_type", elf_type(F.col("content"))).where(F.col("file_type").startswith(f"ELF {bits}-bit LSB "))
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), "file_type", F.sha1("content").alias("file_sha1"))
+
+
 def exact_matches(functions: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """(file_id, is_diff): 0 for a file with a function whose hexadecimal code starts with one of
     the patterns, else 1. ``..`` in a pattern is any byte. The patterns are an argument, so small."""
@@ -137,6 +183,26 @@ def exact_matches(functions: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return functions.groupBy("file_id").agg(F.min(F.when(hit, 0).otherwise(1)).cast("int").alias("is_diff"))
 
 
+def exact_by_signature(functions: DataFrame, patterns: DataFrame, wild: int) -> DataFrame:
+    """(file_id, is_diff) against signature lines of one form: ``pattern`` is some fixed digits, ``wild``
+    dots and some more digits. ``functions`` has file_id and hexadecimal ``code``; shorter codes match
+    nothing. Any number of patterns: they meet the functions on their fixed digits in an equi-join."""
+    shape = F.regexp_extract("pattern", r"^([0-9A-F]+)(\.+)([0-9A-F]+)$", 1)
+    rows = patterns.where(F.col("pattern").rlike(rf"^[0-9A-F]+\.{{{wild}}}[0-9A-F]+$"))
+    rows = rows.select(F.length(shape).alias("__head"), F.length("pattern").alias("__whole"), F.regexp_replace("pattern", r"\.", "").alias("__key")).distinct()
+    forms = rows.select("__head", "__whole").distinct().limit(64).collect()
+    code = F.upper("code")
+    keys = [
+        F.when(F.length(code) >= r["__whole"], F.struct(F.lit(r["__head"]).alias("__head"), F.lit(r["__whole"]).alias("__whole"), F.concat(F.substring(code, 1, r["__head"]), F.substring(code, r["__head"] + wild + 1, r["__whole"] - r["__head"] - wild)).alias("__key")))
+        for r in forms
+    ]
+    if not keys:
+        return functions.groupBy("file_id").agg(F.lit(1).alias("is_diff"))
+    tried = functions.select("file_id", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("file_id", "k.*").distinct()
+    hit = tried.join(rows, ["__head", "__whole", "__key"], "left_semi").select("file_id").distinct().withColumn("__hit", F.lit(0))
+    return functions.select("file_id").distinct().join(hit, "file_id", "left").select("file_id", F.coalesce("__hit", F.lit(1)).alias("is_diff"))
+
+
 def files_in(spark: SparkSession, folder: str, glob: str = "*", magic: bytes | None = None) -> DataFrame:
     """(path, name, size, modify_time, file_sha1, path_sha1) of the files below a folder, of those
     that start with ``magic`` if it is given."""

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codekin.functions import scalars
-from codekin.operators import distance, distance_queries, equivalence, gates, graph, matching, writes
+from codekin.operators import distance, distance_queries, equivalence, gates, graph, matching, results, tabular_queries, writes
 from codekin.sources import formats
 
 
@@ -296,3 +296,120 @@ def test_database(spark, tmp_path):
     assert database.load(spark, str(tmp_path / "c"), ["t"])["t"].count() == 5
     database.truncate(spark, str(tmp_path / "c"), "t")
     assert spark.read.parquet(str(tmp_path / "c" / "t.parquet")).count() == 0
+
+
+def bit_vector(op, a, b, c):
+    """Machine operations on 32 bits in plain integers."""
+    m = 1 << 32
+    s, d = (x - m if x >= m // 2 else x for x in (a, b))
+    quotient, rest = (0, 0) if not b else (abs(s) // abs(d) * (1 if (s < 0) == (d < 0) else -1), abs(s) % abs(d) * (-1 if s < 0 else 1))
+    return {
+        "not": ~a, "neg": -a, "add": a + b, "sub": a - b, "mul": a * b, "and": a & b, "or": a | b, "xor": a ^ b,
+        "div": a // b if b else -1, "mod": a % b if b else a, "sdiv": quotient if b else (1 if s < 0 else -1), "srem": rest if b else a, "smod": s % d if b else a,
+        "shl": a << b if b < 32 else 0, "shr": a >> b if b < 32 else 0, "sar": s >> min(b, 31), "eq": a == b, "ult": a < b, "ule": a <= b, "slt": s < d, "sle": s <= d,
+        "sext": (a & 0xFFFF) - (0x10000 if a & 0x8000 else 0), "low": a & 0xFFFF, "high": a >> 16, "concat": (a & 0xFFFF) << 16 | b & 0xFFFF, "ite": b if a else c,
+    }[op] % m
+
+
+def test_machine_operations(spark):
+    values = [0, 1, 2, 3, 7, 31, 32, 33, 40, 0x7FFF, 0x8000, 0xFFFF, 0x10000, 2**31 - 1, 2**31, 2**31 + 1, 0x80000001, 2**32 - 2, 2**32 - 1]
+    rows = [(a, b, 5) for a in values for b in values]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    got = df.select("a", "b", "c", *[scalars.machine_op(n, F.col("a"), F.col("b"), c=F.col("c")).alias(n) for n in tabular_queries.MACHINE]).collect()
+    for r in got:
+        for n in tabular_queries.MACHINE:
+            assert r[n] == bit_vector(n, r["a"], r["b"], r["c"]), (n, r["a"], r["b"])
+
+
+def test_memory(spark):
+    m = F.create_map(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    m = scalars.memory_write(scalars.memory_write(m, F.lit(5).cast("long"), F.lit(6).cast("long")), F.lit(1).cast("long"), F.lit(9).cast("long"))
+    row = spark.range(1).select(*[scalars.memory_read(m, F.lit(k).cast("long")).alias(f"v{k}") for k in (1, 5, 7)]).first()
+    assert tuple(row) == (9, 6, 0)
+
+
+def test_hashes_of_published_values(spark):
+    texts = ["a", "The quick brown fox jumps over the lazy dog", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(scalars.one_at_a_time(F.col("t"))).collect()]
+    assert got == [0xCA2E9442, 0x519E91F5, 0, None]
+
+    def verification(hash_, width):
+        # hashes of 0, 0 1, 0 1 2, ... with seeds counting down, hashed together
+        data = b"".join(hash_(bytes(range(i)), 256 - i).to_bytes(width, "little") for i in range(256))
+        return hash_(data, 0) & 0xFFFFFFFF
+
+    assert verification(scalars.murmur2_32, 4) == 0x27864C1E
+    assert verification(scalars.murmur2_64, 8) == 0x1F0D3804
+    assert verification(scalars.murmur3_32, 4) == 0xB0F57EE3
+
+
+def test_archive_paths(spark):
+    rows = spark.createDataFrame([("/n/lib.a(x.o)",), ("/n/lib.a/x.o",), ("/n/lib.a//x.o",), ("/n/x.o",), ("/n/f(1)",), (None,)], "p string")
+    assert [r[0] for r in rows.select(scalars.archive_path(F.col("p"))).collect()] == ["/n/lib.a:x.o", "/n/lib.a:x.o", "/n/lib.a:x.o", "/n/x.o", "/n/f(1)", None]
+
+
+def test_elf_files_of_one_word_size(spark, tmp_path):
+    head = lambda bits, order, kind: b"\x7fELF" + bytes([bits, order, 1]) + bytes(9) + (bytes([kind, 0]) if order == 1 else bytes([0, kind])) + bytes(20)
+    for name, data in {"a": head(1, 1, 2), "b": head(1, 1, 3), "c": head(2, 1, 2), "d": head(1, 2, 2), "e": head(1, 1, 1), "f": b"\x7fELF", "g": b"", "h": b"#!/bin/sh " * 9}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["name"]: r["file_type"] for r in formats.binaries_in(spark, str(tmp_path), 32).collect()}
+    assert got == {"a": "ELF 32-bit LSB executable", "b": "ELF 32-bit LSB shared object"}
+    assert [r["name"] for r in formats.binaries_in(spark, str(tmp_path), 64).collect()] == ["c"]
+
+
+def test_gml_file_has_its_frame(spark, tmp_path):
+    v = spark.createDataFrame([(1, 'a"b'), (2, None)], "id long, label string")
+    e = spark.createDataFrame([(1, 2)], "src long, dst long")
+    formats.write_gml(v, e, str(tmp_path / "g"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*"))).splitlines()
+    assert text[:2] == ["graph [", "  directed 1"] and text[-2:] == ["  edge [ source 1 target 2 ]", "]"] and len(text) == 6
+
+
+def test_markers_are_written_back(spark):
+    rows = spark.createDataFrame([(1, "x", None), (2, "y", "old"), (3, "checksum Adler", "old")], "id long, text string, comments string")
+    found = formats.marked_texts(rows, "id", "text")
+    assert sorted(tuple(r) for r in formats.noted(rows, found, "id", "comments").select("id", "comments").collect()) == [(1, None), (2, "old"), (3, "Adler")]
+
+
+def test_exact_signatures(spark):
+    f = spark.createDataFrame([(1, "aabbccddeeff00001122"), (1, "00"), (2, "aabbccddeeffabcd112233"), (3, "aabbccddeeff000011"), (4, None), (5, "ffbbccddeeff00001122")], "file_id long, code string")
+    lines = spark.createDataFrame([("AABBCCDDEEFF....1122 00 0000 0010 :0000 f",), ("nothing",), ("AABB 00 0000 0010 :0000 f",)], "value string")
+    got = {r["file_id"]: r["is_diff"] for r in formats.exact_by_signature(f, formats.signatures(lines), 4).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+    assert {r["is_diff"] for r in formats.exact_by_signature(f, formats.signatures(lines.limit(0)), 4).collect()} == {1}
+
+
+def test_operation_codes_are_injective(spark):
+    ops = spark.createDataFrame([(["b", "a"],), (["c"],), ([],), (None,)], "ops array<string>")
+    code = tabular_queries.operation_codes(ops)
+    assert [r[0] for r in ops.where("size(ops) > 0").select(scalars.opcode_hex(F.transform("ops", lambda o: code[o]))).collect()] == ["00020001", "0003"]
+    assert ops.limit(0).select(tabular_queries.operation_codes(ops.limit(0))).count() == 0
+
+
+def test_results_and_modes(spark):
+    at = "timestamp '2011-01-01 00:00:00'"
+    rows = spark.createDataFrame([(1, 0.5), (2, -1.0), (3, None), (4, 0.0), (5, -9.0)], "file_id long, score double")
+    done = results.result_rows(rows, 7, F.expr(at), F.expr(at + " + interval 1500 milliseconds"))
+    assert {r["file_id"]: (r["status"], r["elapsed_ms"]) for r in done.collect()} == {
+        1: ("OK", 1500), 2: ("TIMEOUT_DATABASE", 1500), 3: ("DATABASE_MISSING", 1500), 4: ("OK", 1500), 5: ("ERROR", 1500)
+    }
+    assert results.result_rows(rows, 7, F.expr(at)).where("finished_at > timestamp '2020-01-01'").count() == 5
+    files = spark.createDataFrame([(i,) for i in range(1, 8)], "file_id long")
+    twice = done.unionByName(done.where("file_id = 4").withColumn("score", F.lit(-3.0))).unionByName(done.where("file_id = 1").withColumn("file_id", F.lit(7).cast("long")).withColumn("finished_at", F.lit(None).cast("timestamp")))
+    ids = lambda mode: sorted(r[0] for r in results.to_do(files, twice, mode).collect())
+    assert ids("replace") == list(range(1, 8)) and ids("resume") == [6] and ids("repair") == [2, 3, 4, 5, 6, 7]
+    with pytest.raises(ValueError):
+        results.to_do(files, done, "other")
+    new = done.where("file_id = 2").withColumn("score", F.lit(0.25)).withColumn("finished_at", F.expr(at + " + interval 1 day"))
+    assert {r["file_id"]: r["score"] for r in results.merged(done, new).collect()} == {1: 0.5, 2: 0.25, 3: -4.0, 4: 0.0, 5: -9.0}
+    log = spark.createDataFrame([(1, "start", "2011-01-01 00:00:00"), (1, "stop", "2011-01-01 00:00:02"), (2, "start", "2011-01-01 00:00:00")], "expt_id long, event string, at string")
+    assert {r["expt_id"]: r["elapsed_ms"] for r in results.runs(log.withColumn("at", F.to_timestamp("at"))).collect()} == {1: 2000, 2: None}
+
+
+def test_work_is_stopped_after_its_time(spark):
+    assert results.within(spark, 60, lambda: spark.range(10).count()) == 10
+    slow = F.udf(lambda x: __import__("time").sleep(0.5) or x, "long")
+    with pytest.raises(TimeoutError):
+        results.within(spark, 2, lambda: spark.range(0, 400, 1, 4).select(slow("id").alias("x")).agg(F.sum("x")).collect())
+    assert spark.range(5).count() == 5
