@@ -8,8 +8,8 @@
    positions. A word stands at most once in a chunk's list, so no word can make up more than a
    small share of the join's rows, however common it is in the texts.
 
-Decoding replaces each id by its piece of bytes through the id-to-piece table, whose size is the
-vocabulary's, and reads the bytes as UTF-8.
+Decoding goes the same way back: each chunk's distinct ids are joined to the id-to-piece table, whose
+size is the vocabulary's, and the pieces put in place of positions and read as UTF-8.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekin.plans.scratch import written
@@ -102,35 +102,54 @@ def _encode(path: str):
     return batches
 
 
-def _place(docs: pa.Table, table: pa.Table) -> pa.Table:
-    """The documents of one chunk with the ids of its words in place of their positions."""
-    table = table.sort_by("k").combine_chunks()
-    docs = docs.combine_chunks()
-    rows = docs.num_rows
-    if not rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+def _gathered(docs: pa.Table, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a chunk's lists ``parts`` in the order of its documents' positions, and where each
+    document begins and ends in them."""
     column = docs.column("places").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     width = docs.column("width")[0].as_py()
-    raw = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    words = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // width
     places = np.frombuffer(b"".join(column.to_pylist()), np.uint16 if width == 2 else np.uint32)
-    if table.num_rows:
-        lists = table.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[places]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[places], n)
-        ids = flat[at]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(raw)])]
-    else:
-        ids, bounds = np.empty(0, np.int32), np.zeros(rows + 1)
+    sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[places]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[places], n)
+    return flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])].astype(np.int64)
+
+
+def _lists(table: pa.Table, column: str, kind: pa.DataType) -> pa.Array:
+    """A column of lists of a chunk's words, in their order; of none an empty array."""
+    lists = table.sort_by("k").column(column).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    return lists if table.num_rows else pa.array([], kind)
+
+
+def _place(docs: pa.Table, table: pa.Table) -> pa.Table:
+    """The documents of one chunk with the ids of its words in place of their positions."""
+    docs = docs.combine_chunks()
+    if not docs.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+    ids, bounds = _gathered(docs, _lists(table, "ids", pa.list_(pa.int32())))
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
     return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
 
 
+def _place_pieces(docs: pa.Table, table: pa.Table) -> pa.Table:
+    """The documents of one chunk with the bytes of its ids in place of their positions, read as UTF-8."""
+    docs = docs.combine_chunks()
+    if not docs.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    pieces = table.sort_by("k").column("piece").to_pylist()
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+    data, bounds = _gathered(docs, pa.ListArray.from_arrays(pa.array(offsets), pa.array(data)))
+    whole = data.tobytes()
+    texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.table({"doc_id": docs.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+
 def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens.
 
@@ -170,31 +189,20 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _decode(path: str):
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        sizes = np.array([len(p) for p in table], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        for batch in it:
-            texts = []
-            lists = batch.column(1)
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            length = sizes[ids]
-            ends = np.cumsum(length)
-            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(starts[ids], length)
-            data = flat[at].tobytes()
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the bytes of each id of a vocabulary, as many rows as it has."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(pieces(path))], "id int, piece binary")
 
-    return batches
 
-
-def decoded(ids: DataFrame, path: str) -> DataFrame:
+def decoded(ids: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): every id joined to its piece, the bytes read as UTF-8.
 
-    Null and empty lists give an empty text. The table of pieces is the vocabulary's, so its size is
-    fixed; each task reads it from the vocabulary file."""
-    return ids.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
+    Null and empty lists give an empty text. As in encoding, a chunk's documents are kept as positions
+    in its list of distinct ids; only that list meets the table of pieces, whose size is the
+    vocabulary's and which is broadcast."""
+    chunks = ids.select("doc_id", "ids").mapInArrow(_chunks(chunk_words), "chunk long, doc_id long, places binary, width int, words array<int>")
+    chunks = written(chunks, "chunks")
+    lists = chunks.where("words IS NOT NULL").select(F.col("chunk").alias("of"), F.posexplode("words").alias("k", "id"))
+    placed = lists.join(F.broadcast(piece_table(ids.sparkSession, path)), "id").select("of", "k", "piece")
+    texts = chunks.where("places IS NOT NULL").select("chunk", "doc_id", "places", "width")
+    return texts.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(_place_pieces, "doc_id long, text string")

@@ -15,34 +15,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+ROWS_A_SALT = 100_000  # records for each part of the suffixes with one first term
 
 
 def _suffixes(longest: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            grams: list[list[str]] = []
-            first: list[list[int]] = []
-            for terms in batch.column(0).to_pylist():
-                seen: set[tuple[str, ...]] = set()
-                for i in range(len(terms)):
-                    gram = terms[i : i + longest]
-                    marks = [0] * longest
-                    for n in range(1, len(gram) + 1):
-                        prefix = tuple(gram[:n])
-                        if prefix not in seen:
-                            seen.add(prefix)
-                            marks[n - 1] = 1
-                    grams.append(gram)
-                    first.append(marks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.list_(pa.string())), *[pa.array([m[n] for m in first], pa.int64()) for n in range(longest)]],
-                ["suffix", *[f"r{n}" for n in range(longest)]],
-            )
+            lists = batch.column(0)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            total = int(lengths.sum())
+            if not total:
+                continue
+            coded = lists.flatten().dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            record = np.repeat(np.arange(len(lengths)), lengths)
+            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)  # terms from a position to its record's end
+            marks, prefix = [], np.zeros(total, np.int64)
+            for n in range(1, longest + 1):
+                at = np.flatnonzero(left >= n)
+                # prefixes of n terms by number: the number of the first n - 1 terms, and the last one
+                _, number = np.unique(prefix[at] * len(coded.dictionary) + codes[at + n - 1], return_inverse=True)
+                prefix = np.zeros(total, np.int64)
+                prefix[at] = number
+                _, first = np.unique(record[at] * (total + 1) + number, return_index=True)
+                mark = np.zeros(total, np.int64)
+                mark[at[first]] = 1
+                marks.append(pa.array(mark))
+            size = np.minimum(left, longest)
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(np.arange(total), size)
+            terms = coded.dictionary.take(pa.array(codes[place]))
+            suffixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), terms)
+            yield pa.RecordBatch.from_arrays([suffixes, *marks], ["suffix", *[f"r{n}" for n in range(longest)]])
 
     return batches
 
@@ -94,12 +103,13 @@ def _stack(longest: int):
     return batches
 
 
-def term_statistics(records: DataFrame, terms_col: str, longest: int = 1) -> DataFrame:
+def term_statistics(records: DataFrame, terms_col: str, longest: int = 1, n_records: int | None = None) -> DataFrame:
     """(gram, occurrences, records) of every run of 1 to ``longest`` terms.
 
     ``records`` has one row per record; ``terms_col`` is its list of terms, in order, without nulls.
     Null and empty lists give nothing. A term repeated within a record counts each time as an
-    occurrence and once as a record."""
+    occurrence and once as a record. ``n_records``, if known, sets how many tasks share the suffixes of
+    one first term."""
     if longest < 1:
         raise ValueError("longest must be at least 1")
     marks = [f"r{n}" for n in range(longest)]
@@ -109,7 +119,7 @@ def term_statistics(records: DataFrame, terms_col: str, longest: int = 1) -> Dat
     combined = suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in marks])
     route: list[Column] = [F.element_at("suffix", 1)]
     if longest > 1:
-        route.append(F.pmod(F.xxhash64(F.try_element_at("suffix", F.lit(2))), F.lit(SALTS)))
+        route.append(F.pmod(F.xxhash64(F.try_element_at("suffix", F.lit(2))), F.lit(max(16, min(4096, (n_records or 0) // ROWS_A_SALT)))))
     ordered = combined.repartition(*route).sortWithinPartitions(F.col("suffix").desc())
     grams = ordered.mapInArrow(_stack(longest), "gram array<string>, occurrences long, records long")
     if longest == 1:

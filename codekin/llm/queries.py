@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from codekin.llm import encoding, frequency, language, leakage, near_sets, spans
 from codekin.operators.graph import components
+from codekin.plans.scratch import written
 from codekin.sources.tables import BLANKS, table
 
 RARE_AT_MOST, COMMON_SHARE = 2, 0.04
+LONGEST_RUN = 3  # called names in a row that are counted together
 SIMILARITY, LEAST_SET = 0.8, 10
 SPAN = 10
 
@@ -36,8 +38,11 @@ FIELDS = {"calls": call_records, "label": label_records}
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for field, records in FIELDS.items():
-        rows = records(spark, sf_dir)
-        stats = frequency.marked(frequency.term_statistics(rows, "terms"), rows.count(), RARE_AT_MOST, COMMON_SHARE)
+        rows = written(records(spark, sf_dir), "records")
+        n = rows.count()
+        # counts of terms are those of the prefixes of one term of all suffixes
+        stats = frequency.term_statistics(rows, "terms", LONGEST_RUN, n).where(F.size("gram") == 1)
+        stats = frequency.marked(stats, n, RARE_AT_MOST, COMMON_SHARE)
         parts.append(stats.select(F.lit(field).alias("field_name"), F.col("gram")[0].alias("term"), "occurrences", "records", "mark"))
     return parts[0].unionByName(parts[1])
 
@@ -54,7 +59,8 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and records of every run of up to three called names."""
-    stats = frequency.term_statistics(call_records(spark, sf_dir), "terms", longest=3)
+    rows = written(call_records(spark, sf_dir), "records")
+    stats = frequency.term_statistics(rows, "terms", LONGEST_RUN, rows.count())
     return stats.select(F.array_join("gram", " ").alias("run"), F.size("gram").alias("n_terms"), "occurrences", "records")
 
 
