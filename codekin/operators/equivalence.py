@@ -11,8 +11,8 @@ import itertools
 import json
 import random
 import re
+import time
 from collections.abc import Sequence
-from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +25,7 @@ MOST_VISITS = 4  # of one block on one path
 PROBE_DEPTH = 50  # how far an unvisited descendant is looked for
 MOST_PATHS = 500
 MOST_OUTPUTS = 8
+SECONDS = 60.0  # for the paths of two functions
 SIDE = 32  # classes of one name that meet as many others in one row
 STATUSES = ("FALSE", "TRUE", "MISMATCH", "TIMEOUT", "ERR", "TOO_MANY", "ERR_IR", "ERR_UNK", "UNKNOWN")
 
@@ -135,8 +136,8 @@ class Machine:
                 self.values[m[1]] = value
 
     def results(self) -> list[tuple]:
-        """Writes to memory in order and final registers without temporaries, by value."""
-        registers = sorted(("reg", v) for k, v in self.values.items() if k.startswith("R_"))
+        """Writes to memory in order and final registers without temporaries, by name."""
+        registers = [("reg", self.values[k]) for k in sorted(self.values) if k.startswith("R_")]
         return self.outputs + registers
 
 
@@ -144,31 +145,37 @@ class Paths:
     """A function's paths of statements with what their comparison needs; outputs are run when first asked for."""
 
     def __init__(self, found: Sequence[Sequence[str]], samples: int = 3):
-        self.n, self.samples = len(found), samples
+        self.n, self.samples, self.ran = len(found), samples, []
         self.plain = list(dict.fromkeys(tuple(s for s in p if not s.startswith(("label ", "/*"))) for p in found))
         self.known = set(self.plain)
         self.shapes = {(sum("mem[" in s.split(" = ")[0] for s in p), sum(s.startswith("cjmp(") for s in p)) for p in self.plain}
 
-    @cached_property
-    def outputs(self) -> list[tuple | None]:
-        """Of each path the results of all samples; None where a statement cannot be run."""
-        return [self._run(p) for p in self.plain]
-
-    def _run(self, path: Sequence[str]) -> tuple | None:
-        out = []
+    def outputs(self, until: float) -> list[tuple | None]:
+        """Of each path its outputs; None where a statement cannot be run. ``TimeoutError`` after ``until``;
+        what has been run by then is kept for the next call."""
+        while len(self.ran) < len(self.plain):
+            self.ran.append(self._run(self.plain[len(self.ran)], until))
+        return self.ran
+
+    def _run(self, path: Sequence[str], until: float) -> tuple | None:
+        """An output is what it is in every sample, so that an order in which two paths' outputs agree is
+        the same in all of them; sorted, two paths are equal exactly if there is such an order."""
+        samples = []
         try:
             for seed in range(self.samples):
                 machine = Machine(seed)
-                for s in path:
+                for k, s in enumerate(path):
+                    if not k % 64 and time.monotonic() > until:
+                        raise TimeoutError
                     machine.run(s)
-                out.append(tuple(sorted(machine.results())))
+                samples.append(machine.results())
         except ValueError:
             return None
-        return tuple(out)
+        return tuple(sorted((kinds[0][0], tuple(v for _, v in kinds)) for kinds in zip(*samples)))
 
 
-def status(a: Paths, b: Paths) -> str:
-    """The status of two functions."""
+def status(a: Paths, b: Paths, seconds: float = SECONDS) -> str:
+    """The status of two functions; TIMEOUT when their paths have not been run in time."""
     if a.n > MOST_PATHS or b.n > MOST_PATHS:
         return "TOO_MANY"
     if not a.n or not b.n:
@@ -177,10 +184,14 @@ def status(a: Paths, b: Paths) -> str:
         return "MISMATCH"
     if a.known <= b.known:
         return "TRUE"
-    results = set(b.outputs)
+    until = time.monotonic() + seconds
+    try:
+        results, found = set(b.outputs(until)), a.outputs(until)
+    except TimeoutError:
+        return "TIMEOUT"
     if None in results:
         return "ERR_IR"
-    for got in a.outputs:
+    for got in found:
         if got not in results:
             return "ERR_IR" if got is None else "FALSE"
     return "UNKNOWN"
@@ -257,6 +268,27 @@ def function_paths(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     return _bodies(flow, blocks).select("func_id", counted("blocks").alias("p")).select("func_id", "p.n_paths", "p.n_longest", "p.complete")
 
 
+def path_outputs(flow: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(func_id, path_no, n_blocks, n_conditions, n_registers, n_stores) of each execution path: its path
+    conditions, the distinct machine registers it writes and its stores to memory."""
+
+    @F.pandas_udf("array<struct<n_blocks int, n_conditions int, n_registers int, n_stores int>>")
+    def counted(column: pd.Series) -> pd.Series:
+        out = []
+        for rows in column:
+            of = {}
+            for x in rows:
+                stmts = list(x["stmts"])
+                of[x["bb_id"]] = (
+                    sum(s.startswith("cjmp(") for s in stmts), {m[1] for s in stmts if (m := re.match(r"(R_[A-Z]+):reg\d+_t = ", s))}, sum(s.startswith("mem[") for s in stmts)
+                )
+            out.append([(len(p), sum(of[b][0] for b in p), len(set().union(*[of[b][1] for b in p])), sum(of[b][2] for b in p)) for p in _unfolded(rows)[0]])
+        return pd.Series(out)
+
+    rows = _bodies(flow, blocks, "stmts").select("func_id", F.posexplode(counted("blocks")).alias("path_no", "p"))
+    return rows.select("func_id", "path_no", "p.n_blocks", "p.n_conditions", "p.n_registers", "p.n_stores")
+
+
 def function_dominators(flow: DataFrame, blocks: DataFrame) -> DataFrame:
     """(func_id, n_reached, n_depth, n_loops) of each function: blocks reached from the first one,
     depth of its dominator tree, heads of natural loops."""
@@ -282,14 +314,11 @@ def function_dominators(flow: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def orders(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``matches``: whether some order of list ``b`` equals list ``a``; lists of more
-    than eight items, and null lists, do not match."""
-
-    @F.pandas_udf("boolean")
-    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([p is not None and q is not None and output_orders(list(p), list(q)) is not None for p, q in zip(x, y)], dtype=bool)
+    """``pairs`` with ``matches``: whether some order of list ``b`` equals list ``a``, which is whether
+    they are equal once sorted; lists of more than eight items, and null lists, do not match."""
 
-    return pairs.withColumn("matches", matched(a, b))
+    same = (F.size(a) <= MOST_OUTPUTS) & (F.array_sort(a) == F.array_sort(b))
+    return pairs.withColumn("matches", F.coalesce(same, F.lit(False)))
 
 
 def name_classes(names: DataFrame, keys: DataFrame) -> DataFrame:

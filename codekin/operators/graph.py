@@ -333,8 +333,48 @@ def clustered(functions: DataFrame, diameter: int) -> DataFrame:
     return rows.groupBy("file_id").applyInPandas(per_file, "func_id long, cluster int")
 
 
-def two_step_counts(edges: DataFrame, value: Column | None = None) -> DataFrame:
-    """The square of the adjacency matrix in coordinate form: (src, dst, value)."""
-    a = edges.select(F.col("fn_parent").alias("src"), F.col("fn_child").alias("mid"), (F.lit(1).cast("long") if value is None else value).alias("x"))
-    b = a.select(F.col("src").alias("mid"), F.col("mid").alias("dst"), F.col("x").alias("y"))
-    return a.join(b, "mid").groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of two sparse matrices (src, dst, value) in coordinate form."""
+    right = b.select(F.col("src").alias("mid"), F.col("dst"), F.col("value").alias("y"))
+    rows = a.select("src", F.col("dst").alias("mid"), F.col("value").alias("x")).join(right, "mid")
+    return rows.groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+
+def transposed(a: DataFrame) -> DataFrame:
+    """The transpose of a sparse matrix."""
+    return a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value")
+
+
+def split_parts(a: DataFrame) -> DataFrame:
+    """(src, dst, symmetric, skew): the two parts of a square matrix, whose sum it is; rows where both
+    vanish are left out."""
+    both = a.select("src", "dst", F.col("value").alias("x"), F.lit(0).alias("y")).union(transposed(a).select("src", "dst", F.lit(0), "value"))
+    rows = both.groupBy("src", "dst").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    rows = rows.select("src", "dst", ((F.col("x") + F.col("y")) / 2).alias("symmetric"), ((F.col("x") - F.col("y")) / 2).alias("skew"))
+    return rows.where("symmetric <> 0 OR skew <> 0")
+
+
+def two_step_counts(edges: DataFrame) -> DataFrame:
+    """The square of the adjacency matrix: (src, dst, value)."""
+    a = edges.select(F.col("fn_parent").alias("src"), F.col("fn_child").alias("dst"), F.lit(1).cast("long").alias("value"))
+    return matrix_product(a, a)
+
+
+def preorder(vertices: DataFrame, children: DataFrame) -> DataFrame:
+    """(func_id, path): a key of each function that a root leads to; in its order the functions are listed
+    parent before children, children in their places.
+
+    ``children``: fn_parent, fn_child, place; roots are the vertices without another caller. A function
+    hangs below the caller over which it is nearest to a root, of several the first in the listing.
+    Functions that only cycles lead to have no row. One round a level, each written."""
+    calls = written(children.where("fn_parent <> fn_child").select("fn_parent", "fn_child", F.lpad(F.col("place").cast("string"), 6, "0").alias("step")), "calls")
+    front = vertices.select("func_id").join(calls.select(F.col("fn_child").alias("func_id")), "func_id", "left_anti")
+    known = [written(front.select("func_id", F.lpad(F.col("func_id").cast("string"), 12, "0").alias("path")), "front")]
+    while True:
+        so_far = reduce(DataFrame.unionByName, known).select("func_id")
+        step = known[-1].select(F.col("func_id").alias("fn_parent"), "path").join(calls, "fn_parent")
+        step = step.groupBy(F.col("fn_child").alias("func_id")).agg(F.min(F.concat_ws("/", "path", "step")).alias("path"))
+        step = written(step.join(so_far, "func_id", "left_anti"), "front")
+        if step.isEmpty():
+            return reduce(DataFrame.unionByName, known)
+        known.append(step)

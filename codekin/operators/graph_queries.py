@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.functions.scalars import adjusted_weight
+from codekin.functions.scalars import adjusted_weight, spill_discount
 from codekin.operators import distance, equivalence, graph, matching
 from codekin.operators.features import blocks, call_edges, frequencies, functions, lifted_names, same_name_pairs, with_views
-from codekin.operators.gates import COSINE_BELOW, complexity_gate
+from codekin.operators.gates import COSINE_BELOW, SMALL_FUNCTION, complexity_gate
 from codekin.plans.scratch import new_path, written
 from codekin.sources import formats
 from codekin.sources.tables import table
@@ -115,8 +115,20 @@ def g15_umeyama(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g17_align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment score of the subject and each other file with a candidate."""
-    return matching.align_scores(_costs(spark, sf_dir), _edges(spark, sf_dir), functions(spark, sf_dir).select("func_id", "file_id", "func_size"))
+    """Alignment scores of the subject and each other file with a candidate, in all three versions."""
+    costs, edges = _costs(spark, sf_dir), written(_edges(spark, sf_dir), "edges")
+    sizes = written(functions(spark, sf_dir).select("func_id", "file_id", "func_size"), "sizes")
+    scores = [matching.align_scores(costs, edges, sizes, v, SMALL_FUNCTION // 3).withColumnRenamed("score", f"score_v{v}") for v in matching.VERSIONS]
+    return scores[0].join(scores[1], ["file1", "file2"]).join(scores[2], ["file1", "file2"])
+
+
+def g19_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each candidate pair its own cost and the mean cost between the two functions' clusters, which are
+    address ranges of one size here."""
+    fn = functions(spark, sf_dir).where("startea IS NOT NULL")
+    clusters = fn.select("func_id", "file_id", F.floor(F.col("startea") / DIAMETER).alias("cluster"))
+    rows = matching.cluster_costs(_costs(spark, sf_dir), clusters)
+    return rows.select("func1_id", "func2_id", "vertex", F.round(F.col("cluster") + 1e-9, 6).alias("cluster"))
 
 
 def g18_pair_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +177,29 @@ def d22_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.two_step_counts(_edges(spark, sf_dir).select("fn_parent", "fn_child"))
 
 
+def d22_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric and skew part of the adjacency matrix of calls."""
+    a = _edges(spark, sf_dir).select(F.col("fn_parent").alias("src"), F.col("fn_child").alias("dst"), F.lit(1).alias("value"))
+    return graph.split_parts(a)
+
+
+def d09_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge's spilled weight, less the more often its caller is a caller."""
+    e = _spilled(spark, sf_dir)
+    often = e.groupBy("fn_parent").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(often, "fn_parent").select("fn_parent", "fn_child", F.round(spill_discount(F.col("n"), F.col("weight")), 6).alias("weight"))
+
+
+def w03_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of all call graphs in pre-order, children by size: a key that sorts so."""
+    return graph.preorder(functions(spark, sf_dir), w03_children(spark, sf_dir))
+
+
+def g13_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions, registers and stores of every execution path."""
+    return equivalence.path_outputs(*_flow(spark, sf_dir))
+
+
 def a12_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices and edges of each file's call graph."""
     v = functions(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_vertices"))
@@ -285,7 +320,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "g02_edges g03_weights d08_edge_weight g04_rank g05_component g05_reach g05_level g06_propagate g07_spill g08_norm g09_assign g15_umeyama "
-    "g17_align_score g18_pair_sets g19_neighbours g20_clusters g21_groups g22_cfg g25_patched d22_two_steps a12_graph_size a13_variance w03_children "
+    "g17_align_score g18_pair_sets g19_neighbours g19_clusters g20_clusters g21_groups g22_cfg g25_patched d22_two_steps d22_parts d09_discount w03_preorder g13_paths a12_graph_size a13_variance w03_children "
     "j13_range s21_offsets g12_paths g11_equiv g11_classes f17_recursive g10_orders g10_classes g13_outputs g14_offsets g23_dominators s13_dot_files"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -335,6 +370,14 @@ LEFT JOIN (SELECT func_id, regexp_extract(s, '^label (pc_0x[0-9a-f]+):', 1) AS t
     "g25_patched": with_views("""SELECT DISTINCT fn_parent, coalesce(target, fn_child) AS fn_child FROM fe LEFT JOIN
   (SELECT e.fn_parent AS func_id, min(e.fn_child) AS target FROM fe e JOIN fn ON fn.func_id = e.fn_parent WHERE e.fn_parent <> e.fn_child AND num_ngrams <= 5 GROUP BY 1 HAVING count(*) = 1) t ON t.func_id = fn_child""", *_V),
     "d22_two_steps": with_views("SELECT a.fn_parent AS src, b.fn_child AS dst, count(*) AS value FROM fe a JOIN fe b ON a.fn_child = b.fn_parent GROUP BY 1, 2", *_V),
+    "d22_parts": with_views("""SELECT src, dst, (sum(x) + sum(y)) / 2.0::double AS symmetric, (sum(x) - sum(y)) / 2.0::double AS skew FROM (
+  SELECT fn_parent AS src, fn_child AS dst, 1 AS x, 0 AS y FROM fe UNION ALL SELECT fn_child, fn_parent, 0, 1 FROM fe) GROUP BY 1, 2""", *_V),
+    "d09_discount": with_views("SELECT fn_parent, fn_child, round((10 - least(count(*) OVER (PARTITION BY fn_parent), 10)) / 10.0::double * w, 6) AS weight FROM sp", *_V, h1=_H1, hs=_SPILL, sp=_SPILLED),
+    "w03_preorder": with_views("SELECT func_id, path FROM cl", *_V, ch="SELECT fn_parent, fn_child, lpad((row_number() OVER (PARTITION BY fn_parent ORDER BY cs, fn_child))::varchar, 6, '0') AS step FROM fe",
+        ed="SELECT * FROM ch WHERE fn_parent <> fn_child").replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT func_id, path FROM cl", """, cl(func_id, path) USING KEY (func_id) AS (
+  SELECT func_id, lpad(func_id::varchar, 12, '0') FROM fn WHERE func_id NOT IN (SELECT fn_child FROM ed) UNION
+  SELECT fn_child, min(path || '/' || step) FROM cl JOIN ed ON fn_parent = cl.func_id WHERE NOT EXISTS (SELECT 1 FROM recurring.cl k WHERE k.func_id = fn_child) GROUP BY 1)
+SELECT func_id, path FROM cl"""),
     "a12_graph_size": with_views("SELECT file_id, n_vertices, coalesce(n_edges, 0) AS n_edges FROM (SELECT file_id, count(*) AS n_vertices FROM fn GROUP BY 1) LEFT JOIN (SELECT file_id, count(*) AS n_edges FROM fe GROUP BY 1) USING (file_id)", *_V),
     "a13_variance": with_views("SELECT file_id, round(var_pop(abs(pa - ca)::double) / 1e6, 4) AS variance FROM fe GROUP BY 1", *_V),
     "w03_children": with_views("SELECT fn_parent, fn_child, cs AS func_size, row_number() OVER (PARTITION BY fn_parent ORDER BY cs, fn_child)::int AS place FROM fe", *_V),
@@ -345,6 +388,8 @@ JOIN fn ON fn.file_id = p.file_id AND address >= startea AND address < endea""",
 LEFT JOIN (SELECT p1, p2, avg(cc) AS child FROM nb GROUP BY 1, 2) c ON c.p1 = co.f1 AND c.p2 = co.f2 LEFT JOIN (SELECT c1, c2, avg(pc) AS parent FROM nb GROUP BY 1, 2) p ON p.c1 = co.f1 AND p.c2 = co.f2""",
         "fn", "ce", "fe", "bb", "st", "op", "gr", "fq", **_COSTS,
         nb="SELECT p.f1 AS p1, p.f2 AS p2, c.f1 AS c1, c.f2 AS c2, c.cost AS cc, p.cost AS pc FROM co c JOIN fe e1 ON e1.fn_child = c.f1 JOIN fe e2 ON e2.fn_child = c.f2 JOIN co p ON p.f1 = e1.fn_parent AND p.f2 = e2.fn_parent"),
+    "g19_clusters": with_views("SELECT f1 AS func1_id, f2 AS func2_id, cost AS vertex, round(avg(cost) OVER (PARTITION BY a.file_id, a.startea // 4096, b.file_id, b.startea // 4096) + 1e-9, 6) AS cluster FROM co JOIN fn a ON a.func_id = f1 JOIN fn b ON b.func_id = f2",
+        "fn", "bb", "st", "op", "gr", "fq", **_COSTS),
     "g21_groups": with_views("SELECT a AS func_id, min(b) AS component FROM cl GROUP BY 1", "fn", "bb", "st", "op", "gr", "fq", **_COSTS,
         un="SELECT f1 AS a, f2 AS b FROM co UNION SELECT f2, f1 FROM co",
         cl="/* RECURSIVE */ SELECT a, a AS b FROM un UNION SELECT cl.a, un.b FROM cl JOIN un ON cl.b = un.a"),

@@ -118,6 +118,33 @@ def assigned(costs: DataFrame, missing: float = 1.0) -> DataFrame:
     return costs.groupBy("file1", "file2").applyInPandas(per_pair, "file1 long, file2 long, func1_id long, func2_id long, cost double")
 
 
+def inserted(pairs: DataFrame, more: DataFrame) -> DataFrame:
+    """A pair set (func1_id, func2_id, kind) with further pairs, once each; a pair already there keeps its
+    kind, so a sure one never becomes a possible one."""
+    keys = ["func1_id", "func2_id"]
+    return pairs.unionByName(more.dropDuplicates(keys).join(pairs.select(*keys), keys, "left_anti"))
+
+
+def deleted(pairs: DataFrame, less: DataFrame) -> DataFrame:
+    """A pair set without the given pairs."""
+    return pairs.join(less.select("func1_id", "func2_id"), ["func1_id", "func2_id"], "left_anti")
+
+
+def having(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs asked for, with the kind they have in a pair set, null where it lacks them."""
+    return asked.select("func1_id", "func2_id").join(pairs.select("func1_id", "func2_id", "kind"), ["func1_id", "func2_id"], "left")
+
+
+def cluster_costs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(func1_id, func2_id, vertex, cluster): a pair's own cost, and the mean cost of all pairs between the
+    clusters of its two functions (null where one is in none). ``clusters``: func_id, file_id, cluster."""
+    of = lambda k: clusters.select(F.col("func_id").alias(f"func{k}_id"), F.col("file_id").alias(f"__f{k}"), F.col("cluster").alias(f"__c{k}"))
+    rows = pairs.select("func1_id", "func2_id", "cost").join(of(1), "func1_id", "left").join(of(2), "func2_id", "left")
+    keys = ["__f1", "__c1", "__f2", "__c2"]
+    mean = rows.where("__c1 IS NOT NULL AND __c2 IS NOT NULL").groupBy(*keys).agg(F.avg("cost").alias("cluster"))
+    return rows.join(mean, keys, "left").select("func1_id", "func2_id", F.col("cost").alias("vertex"), "cluster")
+
+
 def neighbour_costs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(func1_id, func2_id, child, parent): of each pair the mean cost over pairs of its children and
     over pairs of its parents; null where there is none.
@@ -134,19 +161,34 @@ def neighbour_costs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select(*keys).join(child, keys, "left").join(parent, keys, "left")
 
 
-def align_scores(candidates: DataFrame, edges: DataFrame, sizes: DataFrame, rounds: int = 2, weights: tuple[float, float, float] = (0.5, 0.25, 0.25)) -> DataFrame:
+#: Of each version of the alignment score the rounds and the weights of a pair's own cost, its
+#: children's and its parents'.
+VERSIONS = {1: (0, (1.0, 0.0, 0.0)), 2: (1, (0.5, 0.5, 0.0)), 3: (2, (0.5, 0.25, 0.25))}
+
+
+def align_scores(
+    candidates: DataFrame, edges: DataFrame, sizes: DataFrame, version: int = 3, small: int = 0,
+) -> DataFrame:
     """(file1, file2, score): size-weighted cost of the best assignment; 0 identical, 1 unrelated.
 
+    ``version`` 1 takes own costs, 2 also those of children, 3 of children and parents. Functions of less
+    than ``small`` bytes are told apart by their calls alone, as their bodies say little: their pairs'
+    own cost gives way to the mean of the calls around, where there are any.
+
     ``candidates``: file1, file2, func1_id, func2_id, cost. Each round mixes a pair's own cost with the
     mean costs of its paired children and parents (its own where it has none). ``sizes``: func_id,
     file_id, func_size of all functions; those of file1 without a partner cost 1."""
+    rounds, weights = VERSIONS[version]
     own = now = written(candidates, "candidates")
+    tiny = sizes.where(F.col("func_size") < small).select(F.col("func_id").alias("func1_id"), F.lit(True).alias("tiny"))
     edges = written(edges, "edges")
     keys = ["func1_id", "func2_id"]
     for _ in range(rounds):
         around = neighbour_costs(now.select(*keys, "cost"), edges)
         mixed = weights[0] * F.col("own") + weights[1] * F.coalesce("child", "own") + weights[2] * F.coalesce("parent", "own")
-        now = written(own.withColumnRenamed("cost", "own").join(around, keys).select("file1", "file2", *keys, mixed.alias("cost")), "costs")
+        calls = F.coalesce((F.col("child") + F.col("parent")) / 2, "child", "parent", "own")
+        rows = own.withColumnRenamed("cost", "own").join(around, keys).join(tiny, "func1_id", "left")
+        now = written(rows.select("file1", "file2", *keys, F.when(F.col("tiny"), calls).otherwise(mixed).alias("cost")), "costs")
     matched = assigned(now).join(sizes.select(F.col("func_id").alias("func1_id"), F.col("func_size").alias("size")), "func1_id")
     matched = matched.groupBy("file1", "file2").agg(F.sum((1 - F.col("cost")) * F.col("size")).alias("gain"))
     total = sizes.groupBy(F.col("file_id").alias("file1")).agg(F.sum("func_size").alias("total"))

@@ -132,6 +132,9 @@ def test_paths_and_equivalence():
     assert equivalence.compare_paths([[r]], [[less]]) == "FALSE"
     assert equivalence.compare_paths([[r]], [["mem[0x1:reg32_t]:reg32_t = R_EAX:reg32_t;"]]) == "MISMATCH"
     assert equivalence.compare_paths([["R_EAX:reg32_t = what;"]], [[r]]) == "ERR_IR"
+    # statements in another order have the same outputs
+    assert equivalence.Paths([[r]]).outputs(float("inf")) == equivalence.Paths([[swapped]]).outputs(float("inf"))
+    assert equivalence.status(equivalence.Paths([[r] * 100]), equivalence.Paths([[swapped] * 100]), seconds=-1) == "TIMEOUT"
     assert equivalence.output_orders([1, 2, 3], [3, 1, 2]) == (1, 2, 0) and equivalence.output_orders([1], [2]) is None
 
 
@@ -413,3 +416,37 @@ def test_work_is_stopped_after_its_time(spark):
     with pytest.raises(TimeoutError):
         results.within(spark, 2, lambda: spark.range(0, 400, 1, 4).select(slow("id").alias("x")).agg(F.sum("x")).collect())
     assert spark.range(5).count() == 5
+
+
+def test_matrices(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-2, 3, (5, 5)), rng.integers(-2, 3, (5, 5))
+    frame = lambda x: spark.createDataFrame([(int(i), int(j), int(x[i, j])) for i, j in np.argwhere(x)], "src long, dst long, value long")
+    cells = lambda df, c="value": {(r["src"], r["dst"]): r[c] for r in df.collect() if r[c]}
+    want = lambda x: {(int(i), int(j)): x[i, j] for i, j in np.argwhere(x)}
+    assert cells(graph.matrix_product(frame(a), frame(b))) == want(a @ b) and cells(graph.transposed(frame(a))) == want(a.T)
+    parts = graph.split_parts(frame(a))
+    assert cells(parts, "symmetric") == want((a + a.T) / 2) and cells(parts, "skew") == want((a - a.T) / 2)
+
+
+def test_preorder(spark):
+    v = spark.createDataFrame([(i,) for i in range(1, 9)], "func_id long")
+    e = spark.createDataFrame([(1, 2, 2), (1, 3, 1), (3, 4, 1), (2, 4, 1), (4, 3, 1), (5, 5, 1), (6, 7, 1), (7, 6, 1), (4, 8, 2)], "fn_parent long, fn_child long, place int")
+    rows = sorted((r["path"], r["func_id"]) for r in graph.preorder(v, e).collect())
+    assert [i for _, i in rows] == [1, 3, 4, 8, 2, 5]  # 6 and 7 only call each other
+
+
+def test_pair_sets(spark):
+    pairs = spark.createDataFrame([(1, 2, "IS"), (1, 3, "MAY")], "func1_id long, func2_id long, kind string")
+    more = spark.createDataFrame([(1, 2, "MAY"), (4, 4, "MAY"), (4, 4, "MAY")], pairs.schema)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(matching.inserted(pairs, more)) == [(1, 2, "IS"), (1, 3, "MAY"), (4, 4, "MAY")]
+    assert rows(matching.deleted(pairs, more)) == [(1, 3, "MAY")]
+    assert rows(matching.having(more.distinct(), pairs)) == [(1, 2, "IS"), (4, 4, None)]
+
+
+def test_path_outputs(spark):
+    b = [(1, 1, 0, ["R_EAX:reg32_t = 0x1:reg32_t;", "cjmp(x, name(pc_0x2), 1);"]), (2, 1, 1, ["mem[0x1:reg32_t]:reg32_t = R_EAX:reg32_t;"]), (3, 1, 2, ["label pc_0x2:", "R_EBX:reg32_t = 0x1:reg32_t;", "R_EBX:reg32_t = 0x2:reg32_t;"])]
+    blocks = spark.createDataFrame(b, "bb_id long, func_id long, bb_no int, stmts array<string>")
+    rows = sorted(tuple(r)[2:] for r in equivalence.path_outputs(graph.control_flow(blocks), blocks).collect())
+    assert rows == [(2, 1, 2, 0), (3, 1, 2, 1)]
