@@ -314,7 +314,7 @@ def s13_dot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "bin_file").select("file_id", F.sha1(F.encode("file_path", "UTF-8")).alias("graph"))
     rows = _edges(spark, sf_dir).join(names.where("graph IS NOT NULL"), "file_id")
     path = new_path(spark, "graphs")
-    formats.dot_lines(rows, "fn_parent", "fn_child", ["graph"]).select("value", F.regexp_extract("value", 'graph="([0-9a-f]+)"', 1).alias("graph")).repartition("graph").write.partitionBy("graph").text(path)
+    formats.write_dot_sets(rows, "fn_parent", "fn_child", "graph", path)
     return formats.read_dot(spark, path, ["graph"]).groupBy("graph").agg(F.count(F.lit(1)).alias("n_edges"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekin.operators.skew import balanced_profile, heavy_keys
+from codekin.operators.skew import balanced_counts, balanced_profile, heavy_keys
 from codekin.sources.compaction import compacted_graphs
 from codekin.sources.tables import cleaned, table
 
@@ -28,12 +28,12 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names held by at least 1 % of all rows, from exact per-name results."""
+    """The names held by at least 1 % of all rows, from exact counts of every name."""
     parts = []
     for f, t in FIELDS:
         df = table(spark, sf_dir, t)
         heavy, n = heavy_keys(df, cleaned(f), FOUND_SHARE / 4)
-        found = balanced_profile(df, cleaned(f), "file_id", "seen_at", heavy=heavy)
+        found = balanced_counts(df, cleaned(f), heavy)
         parts.append(found.where(F.col("n_rows") * 100 >= n).select(F.lit(f).alias("field_name"), "key_value"))
     return parts[0].unionByName(parts[1])
 

@@ -75,6 +75,18 @@ def balanced_profile(
     return both.withColumnRenamed("__k", "key_value")
 
 
+def balanced_counts(df: DataFrame, key: Column, heavy: Sequence[str]) -> DataFrame:
+    """(key_value, n_rows) of every value of ``key`` that is not null: rows of the listed heavy keys by a
+    broadcast join, combined to one row a key and task before they are shuffled, the rest by an ordinary
+    shuffle, united. The list only routes."""
+    rows = df.select(key.alias("key_value")).where("key_value IS NOT NULL")
+    schema = T.StructType([T.StructField("key_value", T.StringType())])
+    known = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in heavy], schema))
+    count = F.count(F.lit(1)).alias("n_rows")
+    parts = [rows.join(known, "key_value", how).groupBy("key_value").agg(count) for how in ("left_semi", "left_anti")]
+    return parts[0].unionByName(parts[1])
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, heavy: Sequence[str], by: str, salts: int, tasks: int) -> DataFrame:
     """The inner join of both on ``key``, for keys that a large share of ``right`` holds.
 

@@ -10,7 +10,7 @@ from codekin.operators import results, writes
 from codekin.operators.features import blocks, functions, imports, ngrams, operations, with_views
 from codekin.operators.graph_queries import _edges
 from codekin.plans.scratch import new_path, written
-from codekin.sources import formats
+from codekin.sources import database, formats
 from codekin.sources.tables import cleaned, table
 from codekin.streaming import worker
 
@@ -383,6 +383,34 @@ def a18_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions(spark, sf_dir).groupBy("file_id").agg(has("num_vars").alias("with_vars"), has("num_params").alias("with_params"), F.sum(F.coalesce("num_vars", F.lit(0))).alias("vars"), F.sum(F.coalesce("num_params", F.lit(0))).alias("params"))
 
 
+_SLOT = r"mem\[(R_E[BS]P):reg32_t ([+-]) 0x([0-9a-f]+):reg32_t\]"
+
+
+def a18_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each lifted function: distinct slots of its stack frame below and above the saved registers.
+
+    Slots above them, from eight bytes over the frame pointer on, are parameters; those over the stack
+    pointer and below the frame pointer are local variables."""
+    found = F.regexp_extract_all("s", F.lit(_SLOT), F.lit(0))
+    s = blocks(spark, sf_dir).where("func_id IS NOT NULL").select("func_id", F.explode("stmts").alias("s")).where(F.col("s").contains("mem[R_E"))
+    s = s.select("func_id", F.explode(found).alias("m"))
+    part = lambda k: F.regexp_extract("m", _SLOT, k)
+    slots = s.select("func_id", part(1).alias("base"), part(2).alias("sign"), F.conv(part(3), 16, 10).cast("long").alias("offset")).distinct()
+    above = (F.col("base") == "R_EBP") & (F.col("sign") == "+") & (F.col("offset") >= 8)
+    local = (F.col("base") == "R_ESP") | (F.col("sign") == "-")
+    return slots.groupBy("func_id").agg(F.sum(local.cast("long")).alias("n_vars"), F.sum(above.cast("long")).alias("n_params"))
+
+
+def s19_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables dumped into another folder, one of them emptied there and restored: rows of each."""
+    names, target = ("bin_file", "func", "fncalls"), new_path(spark, "database")
+    database.dump(spark, sf_dir, target, names)
+    database.truncate(spark, target, "func")
+    database.dump(spark, sf_dir, target, ["func"])
+    parts = [spark.read.parquet(f"{target}/{n}.parquet").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in names]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def x01_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph files worked off as a stream, batch by batch: nodes and edges of each."""
     return worker.graph_sizes(spark, f"{sf_dir}/gdl_file.parquet", new_path(spark, "stream"))
@@ -392,7 +420,7 @@ _NAMES = (
     "s09_files s25_signatures s01_functions s03_small_blocks s06_opcodes s11_dot s14_xml s17_gdl_nodes s17_gdl_edges s17_compact s18_random s20_lines s22_markers s24_gml e01_exact "
     "d07_cyccomp d11_digests d12_function_digest d12_checksum d14_hashes d15_escaped d16_paths d18_opcode_length d20_elapsed d24_machine w01_ngrams w02_first_copy "
     "w04_upsert w05_boundary u05_ignore u06_ids u08_update u09_reserved t04_loads j08_paths j10_scalar j11_lookup f12_pending f13_unseen a11_extent "
-    "a15_instructions a18_frames x01_worker x04_results x05_modes x06_runs w04_results d25_memory"
+    "a15_instructions a18_frames a18_offsets s19_database x01_worker x04_results x05_modes x06_runs w04_results d25_memory"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()} | {"s15_csv": _csv(",", False), "s16_tsv": _csv("\t", True)}
 
@@ -465,6 +493,10 @@ FROM (SELECT *, CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END AS sa,
     "j08_paths": "SELECT a.file_id, b.file_id AS listed_id FROM bin_file a JOIN bin_file b ON sha1(a.file_path) = b.path_sha1",
     "j10_scalar": "SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM bin_file), 6) AS part FROM bin_file WHERE num_vertices IS NOT NULL",
     "j11_lookup": "SELECT file_id, n_name, r_name FROM bin_file JOIN nation ON client_id = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "a18_offsets": with_views(rf"""SELECT func_id, count(DISTINCT m) FILTER (b = 'R_ESP' OR g = '-') AS n_vars, count(DISTINCT m) FILTER (b = 'R_EBP' AND g = '+' AND o >= 8) AS n_params
+FROM (SELECT func_id, m, regexp_extract(m, '{_SLOT}', 1) AS b, regexp_extract(m, '{_SLOT}', 2) AS g, ('0x' || regexp_extract(m, '{_SLOT}', 3))::bigint AS o
+  FROM (SELECT func_id, unnest(regexp_extract_all(s, '{_SLOT}')) AS m FROM st)) GROUP BY 1""", "bb", "st"),
+    "s19_database": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in ("bin_file", "func", "fncalls")),
     "x04_results": f"WITH er AS ({_EARLIER}) SELECT file_id, expt_id, {_ELAPSED} AS elapsed_ms, epoch_us(b) AS finished_us, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END AS status FROM er",
     "x05_modes": f"""WITH er AS ({_EARLIER}), m AS (SELECT 'replace' AS mode, client_id FROM bin_file UNION ALL SELECT 'resume', client_id FROM bin_file WHERE file_id NOT IN (SELECT file_id FROM er)
 UNION ALL SELECT 'repair', client_id FROM ({_REPAIR})) SELECT mode, client_id, count(*) AS n FROM m GROUP BY 1, 2""",

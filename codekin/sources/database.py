@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def dump(spark: SparkSession, source: str, target: str, names: Sequence[str]) -> None:
@@ -28,8 +29,18 @@ def truncate(spark: SparkSession, folder: str, name: str) -> None:
     empty.write.mode("overwrite").parquet(path)
 
 
-def repair(spark: SparkSession, source: str, target: str, name: str) -> int:
-    """Copy what can be read of a table with damaged files; returns the number of rows kept."""
-    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(f"{source}/{name}.parquet")
+def repair(spark: SparkSession, source: str, target: str, name: str) -> tuple[int, list[str]]:
+    """Copy what can be read of a table with damaged files; returns the number of rows kept and the paths of
+    the files that cannot be read. Files that give rows are whole; only the others are opened once more."""
+    folder = f"{source}/{name}.parquet"
+    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(folder)
     rows.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
-    return spark.read.parquet(f"{target}/{name}.parquet").count()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    whole = rows.select("_metadata.file_path").distinct().select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("path"))
+    damaged = []
+    for r in listed.join(whole, "path", "left_anti").toLocalIterator():
+        try:
+            spark.read.parquet(r["path"]).count()
+        except Exception:  # noqa: BLE001 - whatever the reader says of it
+            damaged.append(r["path"])
+    return spark.read.parquet(f"{target}/{name}.parquet").count(), sorted(damaged)

@@ -23,6 +23,14 @@ def write_dot(edges: DataFrame, src: str, dst: str, path: str, attributes: Seque
     dot_lines(edges, src, dst, attributes).write.mode("append").text(path)
 
 
+def write_dot_sets(edges: DataFrame, src: str, dst: str, graph: str, path: str, files: int = 8) -> None:
+    """The edges of each graph as DOT text in a folder of its own, named by the column ``graph``: up to
+    ``files`` files each, so a graph that holds a third of all edges is written by as many tasks."""
+    lines = dot_lines(edges.withColumn("graph", F.col(graph)), src, dst, ["graph"])
+    rows = lines.select("value", F.regexp_extract("value", 'graph="([^"]*)"', 1).alias("graph"))
+    rows.repartition("graph", F.pmod(F.xxhash64("value"), F.lit(files))).write.partitionBy("graph").text(path)
+
+
 def read_dot(spark: SparkSession, path: str, attributes: Sequence[str] = ()) -> DataFrame:
     """(src, dst, attributes as strings) of every edge line; other lines are skipped."""
     lines = spark.read.text(path).where(F.col("value").rlike(_DOT_EDGE))

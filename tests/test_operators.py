@@ -295,7 +295,9 @@ def test_database(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "a" / "t.parquet"))
     database.dump(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"])
     (tmp_path / "b" / "t.parquet" / "bad.parquet").write_bytes(b"no parquet")
-    assert database.repair(spark, str(tmp_path / "b"), str(tmp_path / "c"), "t") == 5
+    spark.range(0).write.mode("append").parquet(str(tmp_path / "b" / "t.parquet"))
+    kept, damaged = database.repair(spark, str(tmp_path / "b"), str(tmp_path / "c"), "t")
+    assert kept == 5 and [d.rsplit("/", 1)[1] for d in damaged] == ["bad.parquet"]
     assert database.load(spark, str(tmp_path / "c"), ["t"])["t"].count() == 5
     database.truncate(spark, str(tmp_path / "c"), "t")
     assert spark.read.parquet(str(tmp_path / "c" / "t.parquet")).count() == 0

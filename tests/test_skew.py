@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from codekin.operators.skew import balanced_profile, heavy_keys
+from codekin.operators.skew import balanced_counts, balanced_profile, heavy_keys, split_join
 
 SCHEMA = "name string, file_id long, seen_at timestamp, n_rows long, is_heavy string, salt long"
 
@@ -37,6 +37,19 @@ def test_skewed_nulls_ties_and_repeated_rows(spark):
     assert profile(df, heavy=["hot", "k1", "absent"]) == brute(rows)
 
 
+def test_counts_and_joins_do_not_depend_on_the_list(spark):
+    rows = [("hot",)] * 300 + [(f"k{i % 40}",) for i in range(200)] + [(None,)] * 20
+    df = spark.createDataFrame(rows, "name string").withColumn("id", F.monotonically_increasing_id())
+    want = {"hot": 300} | {f"k{i}": 5 for i in range(40)}
+    few = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("none", 4), (None, 5)], "name string, q int")
+    joined = sorted(tuple(r) for r in few.join(df, "name").collect())
+    for heavy in ([], ["hot"], ["hot", "k1", "absent"]):
+        got = balanced_counts(df, F.col("name"), heavy).collect()
+        assert len(got) == len(want) and {r["key_value"]: r["n_rows"] for r in got} == want
+        assert sorted(tuple(r) for r in split_join(few, df, "name", heavy, "id", 4, 3).select("name", "q", "id").collect()) == joined
+    assert balanced_counts(df.limit(0), F.col("name"), ["hot"]).count() == 0
+
+
 def test_heavy_keys_are_found(spark):
     df = spark.createDataFrame([("hot",)] * 500 + [(f"k{i}",) for i in range(500)], "name string")
     heavy, n = heavy_keys(df, F.col("name"), 0.1)
