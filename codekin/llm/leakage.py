@@ -34,6 +34,7 @@ from codekin.plans.scratch import written
 PIECE_CHARS = 1 << 20  # texts are looked up in pieces of about this size
 MOST_BITS = 30  # binary logarithm of the largest bit map
 PAGE_BITS = 16  # and of one page of it
+FEW_POSTINGS = 1_000_000  # up to so many (24 MB) are broadcast; beyond, regions and postings meet by a shuffle
 _FORMAT = "".join(
     f"\\U{a:08x}-\\U{b:08x}" for a, b in [
         (0xAD, 0xAD), *[(c, c) for c in range(0x600, 0x1D180) if unicodedata.category(chr(c)) == "Cf"], (0xE0001, 0xE0001), (0xE0020, 0xE007F)
@@ -281,14 +282,18 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_i
     need = F.greatest(F.lit(1), F.col("shortest") + 1 - bound.q * (edits + 1)).cast("int")
     postings = rows.select("row", need.alias("need"), "text").mapInArrow(_grams(bound.q), "row long, need int, h long, at int")
     postings = written(postings.withColumnRenamed("at", "pos"), "postings")
-    known, bits = bit_map(postings, postings.count())
+    total = postings.count()
+    known, bits = bit_map(postings, total)
     found = written(texts.mapInArrow(_stretches(spark.sparkContext.broadcast(known), bound, bits), "doc_id long, region string"), "regions")
     once = found.select("region").distinct().select(F.xxhash64("region").alias("r1"), F.xxhash64(F.lit(7), "region").alias("r2"), "region")
     once = written(once, "once")
 
     grams = once.mapInArrow(_grams(bound.q), "r1 long, r2 long, h long, at int")
-    common, n = heavy_keys(postings, F.col("h"), 0.001)
-    hits = split_join(grams, postings, "h", common, "row", 16, max(cores, min(20_000, n // 500_000)))
+    if total <= FEW_POSTINGS:  # a region's hits stay together and are counted before any shuffle
+        hits = grams.join(F.broadcast(postings), "h")
+    else:
+        common, n = heavy_keys(postings, F.col("h"), 0.001)
+        hits = split_join(grams, postings, "h", common, "row", 16, max(cores, min(20_000, n // 500_000)))
     width = edits + 1
     diagonal = F.col("at") - F.col("pos")
     bands = [2 * F.floor((diagonal + k * width) / (2 * width)).cast("int") + k for k in (0, 1)]

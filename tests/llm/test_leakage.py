@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import numpy as np
+from codekin.llm import leakage
 from codekin.llm.leakage import Bound, aligned, code_points, gram_hashes, leaked, normal, regions, word_windows
 
 DOCS, ITEMS = "doc_id long, text string, i long, t string", "item_id long, item_text string, i long"
@@ -95,7 +96,9 @@ def test_no_region_within_the_budget_is_lost(edits):
         assert any(x <= low and low + len(passage) <= y for x, y in regions(code_points(text), bound, known, 20))
 
 
-def test_many_copies_and_shared_passages(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_many_copies_and_shared_passages(spark, monkeypatch, few):
+    monkeypatch.setattr(leakage, "FEW_POSTINGS", few)
     w = ITEM.split()
     docs = [(i, " ".join(w[i % 5 : i % 5 + 13 + i % 3])) for i in range(200)] + [(i, "own words of " + ITEM) for i in range(200, 260)]
     items = [(1, ITEM), (2, "other beginning " + " ".join(w[1:15]))]
