@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codekin.operators.skew import heavy_keys, split_join
 
+RATIO_KEY = ["__bucket", "__part"]
 RATIO = 3  # pairs are dropped when one count is more than so many times the other (P5)
+QUERIES_A_BLOCK = 2000  # queries that meet a block of functions in Python
 ROWS_A_TASK = 2000  # functions that a task of the ratio join takes
 HEAVY_SHARE = 0.005  # n-grams that hold more of all rows are split when vectors meet
 ROWS_A_SALT = 200_000  # rows of all vectors for each part of a common n-gram, and for each task
@@ -34,18 +37,10 @@ def _within(n1: Column, n2: Column, ratio: int) -> Column:
     return (n2 <= ratio * n1) & (n1 <= ratio * n2)
 
 
-def ratio_pairs(
-    queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = (),
-    rows_a_task: int = ROWS_A_TASK, least: int = 0, sizes: DataFrame | None = None,
-) -> DataFrame:
-    """(func1_id, func2_id): a query function and each function whose count is within ``ratio``.
-
-    Both have func_id, file_id and num_ngrams. Null counts and those below ``least`` match nothing; 0
-    matches 0 only (P6). Counts are put into buckets of powers of ``ratio``; partners lie in the same or
-    a neighbouring bucket. A bucket's functions are cut for as many tasks as ``rows_a_task`` asks for,
-    and its queries go to each, so every task has about as many functions; ``sizes`` may stand for
-    ``functions`` when buckets are counted (a row for each bucket, so at most 45). Columns to ``carry``
-    come along from both sides with 1 and 2 behind their names, which saves joining them to the pairs later."""
+def _ratio_sides(
+    queries: DataFrame, functions: DataFrame, ratio: int, carry: Sequence[str], rows_a_task: int, least: int, sizes: DataFrame | None
+) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides of ``ratio_pairs`` with the columns ``RATIO_KEY`` on which they meet, and the number of cuts."""
     n = F.col("num_ngrams")
     bucket = F.when(n == 0, -5).otherwise(F.floor(F.log(float(ratio), F.greatest(n, F.lit(1)).cast("double")) + F.lit(1e-12))).cast("int")
     kept = n >= max(least, 0)
@@ -62,13 +57,28 @@ def ratio_pairs(
         F.col("func_id").alias("func2_id"), F.col("file_id").alias("__file2"), n.alias("__n2"), bucket.alias("__bucket"),
         F.pmod(F.xxhash64("func_id"), F.coalesce(F.try_element_at(cut, bucket), F.lit(1))).cast("int").alias("__part"), *[F.col(c).alias(f"{c}2") for c in carry],
     )
+    return q, a, max(1, min(10_000, sum(tasks.values())))
+
+
+def ratio_pairs(
+    queries: DataFrame, functions: DataFrame, ratio: int = RATIO, other_file: bool = True, carry: Sequence[str] = (),
+    rows_a_task: int = ROWS_A_TASK, least: int = 0, sizes: DataFrame | None = None,
+) -> DataFrame:
+    """(func1_id, func2_id): a query function and each function whose count is within ``ratio``.
+
+    Both have func_id, file_id and num_ngrams. Null counts and those below ``least`` match nothing; 0
+    matches 0 only (P6). Counts are put into buckets of powers of ``ratio``; partners lie in the same or
+    a neighbouring bucket. A bucket's functions are cut for as many tasks as ``rows_a_task`` asks for,
+    and its queries go to each, so every task has about as many functions; ``sizes`` may stand for
+    ``functions`` when buckets are counted (a row for each bucket, so at most 45). Columns to ``carry``
+    come along from both sides with 1 and 2 behind their names, which saves joining them to the pairs later."""
+    q, a, spread = _ratio_sides(queries, functions, ratio, carry, rows_a_task, least, sizes)
     near = _within(F.col("__n1"), F.col("__n2"), ratio)
     if other_file:
         near &= F.col("__file1") != F.col("__file2")
     # what a pair costs is not its bytes: the number of tasks is the number of cuts
-    spread = max(1, min(10_000, sum(tasks.values())))
-    key = ["__bucket", "__part"]
-    return q.repartition(spread, *key).join(a.repartition(spread, *key), key).where(near).drop(*key, "__file1", "__file2", "__n1", "__n2")
+    met = q.repartition(spread, *RATIO_KEY).join(a.repartition(spread, *RATIO_KEY), RATIO_KEY)
+    return met.where(near).drop(*RATIO_KEY, "__file1", "__file2", "__n1", "__n2")
 
 
 def _meeting(q: DataFrame, a: DataFrame, freq: DataFrame) -> DataFrame:
@@ -190,6 +200,58 @@ def approximate_find(pattern: Sequence[str], text: Sequence[str], share: float =
     return best if best <= budget else -1
 
 
+def _edit_block(ratio: int, share: float):
+    def block(queries: pd.DataFrame, functions: pd.DataFrame) -> pd.DataFrame:
+        patterns, texts = ([c.split(" ")[:-1] for c in codes] for codes in (queries.code1, functions.code2))
+        place: dict[str, int] = {}
+        for words in (*patterns, *texts):
+            for w in words:
+                place.setdefault(w, len(place))
+
+        def counted(lists: list[list[str]]) -> np.ndarray:
+            out = np.zeros((len(lists), len(place)), np.int32)
+            for i, words in enumerate(lists):
+                np.add.at(out[i], [place[w] for w in words], 1)
+            return out
+
+        need, has = counted(patterns), counted(texts)
+        if "." in place:
+            need[:, place["."]] = 0  # stands for any operation
+        budget = (share * np.array([len(t) for t in texts])).astype(int)
+        n2, file2, id2 = functions.__n2.to_numpy(), functions.__file2.to_numpy(), functions.func2_id.to_numpy()
+        known: dict[tuple[str, str], int] = {}
+        parts = []
+        for i, (id1, file1, n1) in enumerate(zip(queries.func1_id, queries.__file1, queries.__n1)):
+            near = np.flatnonzero((n2 <= ratio * n1) & (n1 <= ratio * n2) & (file2 != file1))
+            # an operation that the text has too few of costs an edit each time
+            open_ = np.maximum(need[i] - has[near], 0).sum(axis=1) <= budget[near]
+            edits = np.full(len(near), -1, np.int32)
+            for k in np.flatnonzero(open_):
+                pair = queries.code1.iat[i], functions.code2.iat[near[k]]
+                if pair not in known:
+                    known[pair] = approximate_find(patterns[i], texts[near[k]], share)
+                edits[k] = known[pair]
+            parts.append(pd.DataFrame({"func1_id": np.full(len(near), id1), "func2_id": id2[near], "bitap": edits}))
+        return pd.concat(parts) if parts else pd.DataFrame({"func1_id": [], "func2_id": [], "bitap": []}).astype("int64")
+
+    return block
+
+
+def edit_pairs(queries: DataFrame, functions: DataFrame, share: float = 0.1, ratio: int = RATIO, rows_a_task: int = 500) -> DataFrame:
+    """(func1_id, func2_id, bitap) of the pairs of ``ratio_pairs``: the fewest edits with which the query's
+    operations stand in the other function's, -1 beyond ``share`` of these.
+
+    Both have ``code``: operations, each with a blank behind it, not null. Blocks of queries and functions
+    of bounded size meet in Python once; most pairs are settled there by counting operations, in vector
+    operations, and only ids and results come back."""
+    q, a, _ = _ratio_sides(queries, functions, ratio, ("code",), rows_a_task, 0, None)
+    cuts = F.lit(max(1, -(-queries.count() // QUERIES_A_BLOCK)))
+    q = q.withColumn("__cut", F.pmod(F.xxhash64("func1_id"), cuts).cast("int"))
+    a = a.withColumn("__cut", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    key = [*RATIO_KEY, "__cut"]
+    return q.groupBy(*key).cogroup(a.groupBy(*key)).applyInPandas(_edit_block(ratio, share), "func1_id long, func2_id long, bitap int")
+
+
 def damerau(a: str, b: str) -> int:
     """Edit distance with transpositions of neighbouring characters, each stretch edited once."""
     before: list[int] = []
@@ -206,10 +268,8 @@ def damerau(a: str, b: str) -> int:
 
 
 def text_distance(name: str) -> Callable:
-    """A pandas UDF of (text, pattern) or (a, b); null if either is null. For bitap both are words, each
-    with a blank behind it. Results are kept per
-    distinct pair within a batch."""
-    call = {"bitap": lambda text, pattern: approximate_find(pattern.split(" ")[:-1], text.split(" ")[:-1]), "damerau": damerau}[name]
+    """A pandas UDF of (a, b); null if either is null. Results are kept per distinct pair within a batch."""
+    call = {"damerau": damerau}[name]
 
     @F.pandas_udf("int")
     def distance(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

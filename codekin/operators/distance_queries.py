@@ -149,8 +149,8 @@ def d04_bitap(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.array_join(F.transform("ops", lambda o: F.concat(F.coalesce(o, F.lit("")), F.lit(" "))), "")
     ops = operations(spark, sf_dir).select("func_id", code.alias("code"))
     fn = functions(spark, sf_dir)
-    pairs = distance.ratio_pairs(fn.where(F.col("func_id") % QUERY_EVERY == 0).join(ops, "func_id"), fn.join(ops, "func_id"), carry=("code",), rows_a_task=100)
-    return pairs.select("func1_id", "func2_id", distance.text_distance("bitap")("code2", "code1").alias("bitap"))
+    fn = written(fn.join(ops, "func_id").select("func_id", "file_id", "num_ngrams", "code"), "codes")
+    return distance.edit_pairs(fn.where(F.col("func_id") % QUERY_EVERY == 0), fn)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,11 +33,23 @@ def test_approximate_find(pattern, text, share):
     assert distance.approximate_find(pattern, text, share) == (want if want <= int(share * len(text)) else -1)
 
 
-def test_bitap_compares_whole_operations(spark):
-    # xor and mem share the first digit of their md5
-    rows = [("mem " * 20, "xor " * 20), ("mem " * 20, "xor " * 2), ("mem xor ", "xor "), ("mem " * 20, "mem " * 23), ("", "mem "), ("", ""), (" ", " "), (None, "a ")]
-    df = spark.createDataFrame(rows, "text string, pattern string")
-    assert [r[0] for r in df.select(distance.text_distance("bitap")("text", "pattern")).collect()] == [-1, 2, 0, -1, -1, 0, 0, None]
+@pytest.mark.parametrize("rows, queries", [(500, 2000), (3, 2)])
+def test_edit_pairs_equal_direct_search(spark, monkeypatch, rows, queries):
+    monkeypatch.setattr(distance, "QUERIES_A_BLOCK", queries)
+    rng = random.Random(8)
+    words = ["mem", "xor", "mov", "."]  # xor and mem share the first digit of their md5
+    texts = [[rng.choice(words[:3]) for _ in range(rng.randint(20, 40))] for _ in range(6)]
+    codes = [t[rng.randint(0, 5) :] for t in texts for _ in range(4)] + [[], ["mov"], [""], [".", "xor", "."], ["mem"] * 20, ["xor"] * 20]
+    fn = [(i, i % 3, rng.choice([0, 5, 9, None]), "".join(w + " " for w in c)) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(fn, "func_id long, file_id long, num_ngrams long, code string")
+    want = {}
+    for i, f1, n1, c1 in fn:
+        for j, f2, n2, c2 in fn:
+            if f1 != f2 and n1 is not None and n2 is not None and n1 <= 3 * n2 and n2 <= 3 * n1 and not i % 2:
+                want[i, j] = distance.approximate_find(c1.split(" ")[:-1], c2.split(" ")[:-1])
+    got = [tuple(r) for r in distance.edit_pairs(df.where("func_id % 2 = 0"), df, rows_a_task=rows).collect()]
+    assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want and {0, -1} < set(want.values())
+    assert distance.edit_pairs(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_ratio_pairs_in_parts(spark):
