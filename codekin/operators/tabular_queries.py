@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codekin.functions import scalars
 from codekin.operators import results, writes
+from codekin.operators.distance_queries import _cosine_sql, passing_pairs
 from codekin.operators.features import blocks, functions, imports, ngrams, operations, with_views
 from codekin.operators.graph_queries import _edges
 from codekin.plans.scratch import new_path, written
@@ -307,10 +308,19 @@ def j10_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with the names looked up for their client."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("client_id"), "n_name", "r_name")
-    return table(spark, sf_dir, "bin_file").select("file_id", "client_id").join(names, "client_id").select("file_id", "n_name", "r_name")
+    """Each experiment with its subject, a client's first file, and the number of its results.
+
+    Subjects are one a client, so their side is small and left to the planner to broadcast."""
+    f = table(spark, sf_dir, "bin_file").select(F.col("client_id").cast("long").alias("expt_id"), "file_id", "file_path")
+    subject = writes.keep_first(f.where("expt_id IS NOT NULL"), ["expt_id"], "file_id")
+    done = _earlier_results(spark, sf_dir).groupBy("expt_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return done.join(subject, "expt_id").select("expt_id", F.col("file_id").alias("subject_id"), F.col("file_path").alias("subject_path"), "n_results")
+
+
+def j03_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that pass the gates with the result of the compared file, keyed by its experiment."""
+    pairs = passing_pairs(spark, sf_dir, "file_id").select("func1_id", "func2_id", "cosim", F.col("file_id2").alias("file_id"))
+    return pairs.join(_earlier_results(spark, sf_dir), "file_id").select("func1_id", "func2_id", "cosim", "file_id", "expt_id", "score", "status")
 
 
 EARLIER = "2011-11-01"  # an earlier run, for the queries on results
@@ -420,7 +430,7 @@ _NAMES = (
     "s09_files s25_signatures s01_functions s03_small_blocks s06_opcodes s11_dot s14_xml s17_gdl_nodes s17_gdl_edges s17_compact s18_random s20_lines s22_markers s24_gml e01_exact "
     "d07_cyccomp d11_digests d12_function_digest d12_checksum d14_hashes d15_escaped d16_paths d18_opcode_length d20_elapsed d24_machine w01_ngrams w02_first_copy "
     "w04_upsert w05_boundary u05_ignore u06_ids u08_update u09_reserved t04_loads j08_paths j10_scalar j11_lookup f12_pending f13_unseen a11_extent "
-    "a15_instructions a18_frames a18_offsets s19_database x01_worker x04_results x05_modes x06_runs w04_results d25_memory"
+    "a15_instructions a18_frames j03_results a18_offsets s19_database x01_worker x04_results x05_modes x06_runs w04_results d25_memory"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()} | {"s15_csv": _csv(",", False), "s16_tsv": _csv("\t", True)}
 
@@ -492,7 +502,9 @@ FROM (SELECT *, CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END AS sa,
   ('0x' || regexp_extract(s, '= mem\[([A-Z_a-z0-9]+):reg32_t \+ 0x([0-9a-f]+):reg32_t\]', 2))::bigint AS o FROM st WHERE regexp_matches(s, '= mem\[([A-Z_a-z0-9]+):reg32_t \+ 0x([0-9a-f]+):reg32_t\]')) GROUP BY 1""", "bb", "st"),
     "j08_paths": "SELECT a.file_id, b.file_id AS listed_id FROM bin_file a JOIN bin_file b ON sha1(a.file_path) = b.path_sha1",
     "j10_scalar": "SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM bin_file), 6) AS part FROM bin_file WHERE num_vertices IS NOT NULL",
-    "j11_lookup": "SELECT file_id, n_name, r_name FROM bin_file JOIN nation ON client_id = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "j11_lookup": f"""WITH er AS ({_EARLIER}) SELECT expt_id, subject_id, file_path AS subject_path, n_results FROM (SELECT expt_id, count(*) AS n_results FROM er GROUP BY 1)
+JOIN (SELECT client_id::bigint AS expt_id, min(file_id) AS subject_id FROM bin_file GROUP BY 1) USING (expt_id) JOIN bin_file ON file_id = subject_id""",
+    "j03_results": _cosine_sql("SELECT func1_id, func2_id, cosim, er.file_id, expt_id, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END AS status FROM ga JOIN fn ON fn.func_id = func2_id JOIN er ON er.file_id = fn.file_id WHERE dist = 1", er=_EARLIER),
     "a18_offsets": with_views(rf"""SELECT func_id, count(DISTINCT m) FILTER (b = 'R_ESP' OR g = '-') AS n_vars, count(DISTINCT m) FILTER (b = 'R_EBP' AND g = '+' AND o >= 8) AS n_params
 FROM (SELECT func_id, m, regexp_extract(m, '{_SLOT}', 1) AS b, regexp_extract(m, '{_SLOT}', 2) AS g, ('0x' || regexp_extract(m, '{_SLOT}', 3))::bigint AS o
   FROM (SELECT func_id, unnest(regexp_extract_all(s, '{_SLOT}')) AS m FROM st)) GROUP BY 1""", "bb", "st"),
