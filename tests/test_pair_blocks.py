@@ -35,3 +35,15 @@ def test_blocks_of_any_size_give_the_same(spark, vectors, monkeypatch):
     for name, value in (("FUNCTIONS_A_BLOCK", (3, 3)), ("QUERIES_A_CUT", 4), ("CELLS", 20), ("ROWS_A_BATCH", 2), ("COMMON_SHARE", 2.0)):
         monkeypatch.setattr(pair_blocks, name, value)
     assert found() == once and all(once)
+
+
+def test_lowest_pairs_only_are_written(spark, vectors, monkeypatch):
+    fn, freq = vectors
+    queries, rows = fn.where("func_id % 3 = 0"), {}
+    monkeypatch.setattr(distance, "written", lambda df, name, kept=distance.written: rows.setdefault(name, kept(df, name)))
+    got = distance.nearest_pairs(queries, fn, freq).collect()
+    monkeypatch.undo()
+    near = distance.near_pairs(queries, fn, freq, 1.0).collect()
+    low = {r["func1_id"]: min(x["value"] for x in near if x["func1_id"] == r["func1_id"]) for r in near}
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in near if r["value"] == low[r["func1_id"]])
+    assert rows["nearest"].count() < len(near) / 2
