@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from codekin.operators import distance, pair_blocks
 
 
-@pytest.mark.parametrize("name", ["f01_gates"])
+@pytest.mark.parametrize("name", ["f01_gates", "j03_results"])
 def test_no_pair_is_shuffled(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "hashpartitioning(func1_id" not in plan and "hashpartitioning(func2_id" not in plan
