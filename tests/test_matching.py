@@ -62,3 +62,9 @@ def test_neighbour_costs_and_assignment_by_file(spark):
 def test_neighbours_shuffle_each_pair_once(spark, sf_dir):
     plan = entry.queries()["g19_neighbours"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["g09_assign"])
+def test_assignment_holds_no_group_in_pandas(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
