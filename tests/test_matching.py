@@ -64,7 +64,7 @@ def test_neighbours_shuffle_each_pair_once(spark, sf_dir):
     assert "MapInArrow" in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["g09_assign"])
+@pytest.mark.parametrize("name", ["g09_assign", "g18_pair_sets"])
 def test_assignment_holds_no_group_in_pandas(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "InPandas" not in plan
