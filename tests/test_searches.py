@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-IN_BLOCKS = ["a03_report2", "j04_other_names"]
+IN_BLOCKS = ["a03_report2", "j04_other_names", "t01_topk"]
 
 
 @pytest.mark.parametrize("name", IN_BLOCKS)
