@@ -14,7 +14,7 @@ def test_pairs_are_decided_in_blocks(spark, sf_dir, name):
     assert "MapInArrow" in plan and "Join [__bucket" not in plan
 
 
-@pytest.mark.parametrize("name", ["g21_groups"])
+@pytest.mark.parametrize("name", ["g21_groups", "g19_clusters"])
 def test_candidates_of_the_subject_are_decided_in_blocks(spark, sf_dir, monkeypatch, name):
     plans, kept = [], graph_queries.written
 
