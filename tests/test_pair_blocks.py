@@ -47,3 +47,24 @@ def test_lowest_pairs_only_are_written(spark, vectors, monkeypatch):
     low = {r["func1_id"]: min(x["value"] for x in near if x["func1_id"] == r["func1_id"]) for r in near}
     assert sorted(map(tuple, got)) == sorted(tuple(r) for r in near if r["value"] == low[r["func1_id"]])
     assert rows["nearest"].count() < len(near) / 2
+
+
+@pytest.mark.parametrize("name", ["a10_argmin", "g09_assign", "g18_pair_sets", "t01_topk", "d01_cosim"])
+def test_shuffles_carry_packed_rows(spark, sf_dir, monkeypatch, name):
+    met, meet = [], pair_blocks.meet
+    monkeypatch.setattr(pair_blocks, "meet", lambda rows, *more: met.append(rows) or meet(rows, *more))
+    entry.queries()[name](spark, sf_dir)
+    assert met and all({"__rows", "__side"} <= set(rows.columns) and "terms" not in rows.columns for rows in met)
+
+
+def test_packed_rows_are_small(spark, monkeypatch):
+    monkeypatch.setattr(pair_blocks, "FUNCTIONS_A_BLOCK", (100, 100))
+    rng, met, meet = random.Random(3), [], pair_blocks.meet
+    names = [f"op{i} op{j} op{k}" for i in range(5) for j in range(5) for k in range(5)]
+    fn = spark.range(2_000).selectExpr("id AS func_id", "id % 9 AS file_id", "30L AS num_ngrams").coalesce(1)
+    freq = spark.createDataFrame([(i, rng.sample(names, 30), [1] * 30) for i in range(2_000)], "func_id long, terms array<string>, freqs array<long>")
+    monkeypatch.setattr(pair_blocks, "meet", lambda rows, *more: met.append(rows) or meet(rows, *more))
+    distance.near_pairs(fn.where("func_id % 4 = 0"), fn, freq, 0.4)
+    n, size = met[0].selectExpr("count(1)", "sum(length(__rows))").first()
+    copies = 2_000 + 500 * 20  # each function once, each query once for each of 20 blocks
+    assert n < copies / 10 and size < copies * 30 * 10 / 4
