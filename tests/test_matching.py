@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from codekin.operators import matching
+from codekin.operators import graph, graph_queries, matching
 from codekin.plans.scratch import written
 
 
@@ -68,3 +68,38 @@ def test_neighbours_shuffle_each_pair_once(spark, sf_dir):
 def test_assignment_holds_no_group_in_pandas(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+def test_pairs_are_marked_and_clustered_by_file(spark):
+    schema = "file1 long, file2 long, func1_id long, func2_id long, cost double, cluster1 long, cluster2 long"
+    rows = [(1, 2, 10, 20, 0.1, 0, 5), (1, 2, 11, 21, 0.3, 0, 5), (1, 2, 11, 22, 0.2, 0, 6), (1, 3, 10, 30, 0.25, 0, 5), (1, 3, 11, 30, 0.3, None, 5)]
+    costs = written(spark.createDataFrame(rows, schema), "costs")
+    assert {tuple(r) for r in matching.kinds(costs).collect()} == {(10, 20, "IS"), (11, 21, "MAY"), (11, 22, "IS"), (10, 30, "IS"), (11, 30, "MAY")}
+    mean = {(r["func1_id"], r["func2_id"]): (r["vertex"], r["cluster"]) for r in matching.cluster_costs(costs).collect()}
+    assert mean == {(10, 20): (0.1, pytest.approx(0.2)), (11, 21): (0.3, pytest.approx(0.2)), (11, 22): (0.2, 0.2), (10, 30): (0.25, 0.25), (11, 30): (0.3, None)}
+
+
+@pytest.mark.parametrize("name", ["g18_pair_sets", "g19_clusters"])
+def test_candidates_are_shuffled_once(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_stars_keep_components(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "EDGES_HELD", held)
+    rng = random.Random(9)
+    e = [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(7, 7)]
+    edges = spark.createDataFrame(e, "fn_parent long, fn_child long").repartition(3)
+    got = graph.stars(edges)
+    ends = spark.createDataFrame([(x,) for x in {x for p in e for x in p}], "func_id long")
+    assert {r[0] for r in got.select("fn_child").collect()} == {x for p in e for x in p}
+    assert {tuple(r) for r in graph.components(ends, got).collect()} == {tuple(r) for r in graph.components(ends, edges).collect()}
+    assert graph.stars(spark.createDataFrame([(1, 2 + i % 5) for i in range(500)], edges.schema).coalesce(1)).count() == 6
+
+
+def test_groups_of_candidates_start_from_stars(spark, sf_dir, monkeypatch):
+    names, kept = [], graph_queries.written
+    monkeypatch.setattr(graph_queries, "written", lambda df, name: names.append(name) or kept(df, name))
+    entry.queries()["g21_groups"](spark, sf_dir)
+    assert names == ["costs", "stars"]
