@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from codekin.operators import block_vectors, distance
 from codekin.operators.features import with_views
 
-SEARCHES = ["a03_report2", "j03_results", "t01_topk"]
+SEARCHES = ["a03_report2", "j03_results", "t01_topk", "a03_report3"]
 
 #: bb_id, func_id, bb_no, stmts
 ROWS = [
