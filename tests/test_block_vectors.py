@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from codekin.operators import block_vectors, distance
+from codekin.operators import block_vectors, distance, pair_blocks
 from codekin.operators.features import with_views
 
-SEARCHES = ["a03_report2", "j03_results", "t01_topk", "a03_report3"]
+SEARCHES = ["a03_report2", "j03_results", "t01_topk", "a03_report3", "g09_assign"]
 
 #: bb_id, func_id, bb_no, stmts
 ROWS = [
@@ -49,3 +49,16 @@ def test_no_statement_is_shuffled(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(distance, "written", seen)
     entry.queries()[name](spark, sf_dir)
     assert any("stmts" in p for p in plans) and not any("max(stmts" in p for p in plans)
+
+
+def test_queries_go_to_few_blocks(spark, monkeypatch):
+    met, meet = [], pair_blocks.meet
+    monkeypatch.setattr(pair_blocks, "meet", lambda rows, *more: met.append(rows) or meet(rows, *more))
+    fn = spark.createDataFrame([(i, i, n) for i, n in enumerate([0, 1, 2, 3, 9, 10, 20, 27, 30, 31, 80, 90])], "func_id long, file_id long, num_ngrams long")
+    freq = spark.createDataFrame([(i, ["a"], [1]) for i in range(12)], "func_id long, terms array<string>, freqs array<long>")
+    got = distance.distances("cosim", fn, fn, freq).select("func1_id", "func2_id").collect()
+    n = [r["num_ngrams"] for r in fn.sort("func_id").collect()]
+    assert {tuple(r) for r in got} == {(i, j) for i, x in enumerate(n) for j, y in enumerate(n) if i != j and x <= 3 * y and y <= 3 * x}
+    ten = {r["__bucket"] for r in met[0].where("__side = 0").collect() if 10 in pair_blocks.unpacked(r["__rows"])["n"].to_pylist()}
+    assert len(ten) < len({r["__bucket"] for r in met[0].where("__side = 1").collect()}) - 2 and len(ten) <= 5
+    assert pair_blocks._rows_a_block(pair_blocks.QUERIES_A_CUT + 1) == pair_blocks.FUNCTIONS_A_BLOCK[1]
