@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from codekin.operators import block_vectors, distance, pair_blocks
 from codekin.operators.features import with_views
 
-SEARCHES = ["a03_report2", "j03_results", "t01_topk", "a03_report3", "g09_assign", "j04_other_names", "d01_cosim", "d02_euclid"]
+SEARCHES = ["a03_report2", "j03_results", "t01_topk", "a03_report3", "g09_assign", "j04_other_names", "d01_cosim", "d02_euclid", "j03_star"]
 
 #: bb_id, func_id, bb_no, stmts
 ROWS = [
