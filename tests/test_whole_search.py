@@ -31,7 +31,7 @@ def no_fiftieth(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["f01_gates"])
+@pytest.mark.parametrize("name", ["a03_report2", "f01_gates"])
 def test_every_function_is_searched_for(spark, no_fiftieth, name, capsys):
     assert compare(spark, no_fiftieth, [name])[name] == ""
     assert int(capsys.readouterr().out.split(f"{name}: ")[1].split(" rows")[0]) >= 2
@@ -82,3 +82,10 @@ def test_blocks_of_any_size_give_what_a_loop_gives(spark, drawn, monkeypatch, na
     search = near_blocks.Search(0.4, 3, names, ("func_name",), ("file_id",), True)
     got = [tuple(r) for r in distance.near_among(fn, vectors, search).collect()]
     assert sorted(got, key=repr) == sorted(_loop(own, names), key=repr) and len(got) > 20
+
+
+def test_pairs_of_a_name_start_from_names(spark, no_fiftieth, monkeypatch):
+    met, meet = [], near_blocks._meet
+    monkeypatch.setattr(near_blocks, "_meet", lambda rows, band, to, *more: met.append(to) or meet(rows, band, to, *more))
+    entry.queries()["a03_report2"](spark, no_fiftieth)
+    assert len(met) == 1 and all(len(blocks) == 1 for blocks in met[0])
