@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codekin.functions import scalars
 from codekin.operators import results, writes
-from codekin.operators.distance_queries import _cosine_sql, passing_pairs
+from codekin.operators.distance_queries import _whole_sql, all_passing_pairs
 from codekin.operators.features import blocks, functions, imports, ngrams, operations, with_views
 from codekin.operators.graph_queries import _edges
 from codekin.plans.scratch import new_path, written
@@ -318,9 +318,12 @@ def j11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j03_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs that pass the gates with the result of the compared file, keyed by its experiment."""
-    pairs = passing_pairs(spark, sf_dir, "file_id").select("func1_id", "func2_id", "cosim", F.col("file_id2").alias("file_id"))
-    return pairs.join(_earlier_results(spark, sf_dir), "file_id").select("func1_id", "func2_id", "cosim", "file_id", "expt_id", "score", "status")
+    """The pairs of all functions that pass the gates with the result of the compared file, keyed by its experiment.
+
+    A function carries the results of its file into the search, so pairs are not joined."""
+    done = _earlier_results(spark, sf_dir).groupBy("file_id").agg(F.collect_list(F.struct("expt_id", "score", "status")).alias("results"))
+    pairs = all_passing_pairs(spark, sf_dir, carry2=("file_id", "results"), more=done)
+    return pairs.select("func1_id", "func2_id", "cosim", F.col("file_id2").alias("file_id"), F.inline("results2"))
 
 
 EARLIER = "2011-11-01"  # an earlier run, for the queries on results
@@ -504,7 +507,7 @@ FROM (SELECT *, CASE WHEN a >= 2147483648 THEN a - 4294967296 ELSE a END AS sa,
     "j10_scalar": "SELECT file_id, round(num_vertices / (SELECT max(num_vertices) FROM bin_file), 6) AS part FROM bin_file WHERE num_vertices IS NOT NULL",
     "j11_lookup": f"""WITH er AS ({_EARLIER}) SELECT expt_id, subject_id, file_path AS subject_path, n_results FROM (SELECT expt_id, count(*) AS n_results FROM er GROUP BY 1)
 JOIN (SELECT client_id::bigint AS expt_id, min(file_id) AS subject_id FROM bin_file GROUP BY 1) USING (expt_id) JOIN bin_file ON file_id = subject_id""",
-    "j03_results": _cosine_sql("SELECT func1_id, func2_id, cosim, er.file_id, expt_id, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END AS status FROM ga JOIN fn ON fn.func_id = func2_id JOIN er ON er.file_id = fn.file_id WHERE dist = 1", er=_EARLIER),
+    "j03_results": _whole_sql("SELECT func1_id, func2_id, cosim, er.file_id, expt_id, score, CASE WHEN score >= 0 THEN 'OK' ELSE 'DATABASE_MISSING' END AS status FROM ga JOIN fn ON fn.func_id = func2_id JOIN er ON er.file_id = fn.file_id WHERE dist = 1", er=_EARLIER),
     "a18_offsets": with_views(rf"""SELECT func_id, count(DISTINCT m) FILTER (b = 'R_ESP' OR g = '-') AS n_vars, count(DISTINCT m) FILTER (b = 'R_EBP' AND g = '+' AND o >= 8) AS n_params
 FROM (SELECT func_id, m, regexp_extract(m, '{_SLOT}', 1) AS b, regexp_extract(m, '{_SLOT}', 2) AS g, ('0x' || regexp_extract(m, '{_SLOT}', 3))::bigint AS o
   FROM (SELECT func_id, unnest(regexp_extract_all(s, '{_SLOT}')) AS m FROM st)) GROUP BY 1""", "bb", "st"),

@@ -31,7 +31,7 @@ def no_fiftieth(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["a03_report2", "f01_gates", "j04_other_names"])
+@pytest.mark.parametrize("name", ["a03_report2", "f01_gates", "j03_results", "j04_other_names"])
 def test_every_function_is_searched_for(spark, no_fiftieth, name, capsys):
     assert compare(spark, no_fiftieth, [name])[name] == ""
     assert int(capsys.readouterr().out.split(f"{name}: ")[1].split(" rows")[0]) >= 2
