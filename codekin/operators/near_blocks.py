@@ -67,13 +67,12 @@ class Lists:
     def __post_init__(self) -> None:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.width = int(self.codes.max(initial=-1)) + 1
-        self.kind = np.float32 if self.weights.max(initial=0) < 2.0**24 else np.float64  # exact either way
-
-    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the terms of ``rows``, number of the row in ``rows``)."""
-        k = self.lengths[rows]
-        ends = np.cumsum(k)
-        return np.arange(k.sum()) + np.repeat(self.starts[rows] - (ends - k), k), np.repeat(np.arange(len(rows)), k)
+        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.squares = np.bincount(self.row, self.weights**2, minlength=len(self.lengths))
+        if self.squares.max(initial=0) < 2.0**24:  # by Cauchy and Schwarz no product is larger: exact in single precision
+            self.weights = self.weights.astype(np.float32)
+        most = self.weights.max(initial=0)
+        self.kind = np.uint8 if most < 2**8 else np.float32 if most < 2.0**24 else np.float64
 
     def products(self, lo: int, hi: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Dot products of the rows ``x``, which are from ``lo`` to ``hi``, and ``y``."""
@@ -81,13 +80,19 @@ class Lists:
         if not len(x) or not self.width:
             return out
         held = np.zeros((hi - lo) * self.width, self.kind)
-        place, row = self.of(np.arange(lo, hi))
-        held[row * self.width + self.codes[place]] = self.weights[place]
+        part = slice(self.starts[lo], self.starts[hi])
+        held[(self.row[part] - lo) * self.width + self.codes[part]] = self.weights[part]
         for at in range(0, len(x), PAIRS_A_STEP):
-            part = slice(at, at + PAIRS_A_STEP)
-            place, row = self.of(y[part])
-            terms = held[((x[part] - lo) * self.width)[row] + self.codes[place]] * self.weights[place]
-            out[part] = np.bincount(row, terms, minlength=len(x[part]))
+            i, j = (x[at : at + PAIRS_A_STEP] - lo) * self.width, y[at : at + PAIRS_A_STEP]
+            k = self.lengths[j]
+            first = np.cumsum(k) - k
+            place = np.repeat(self.starts[j] - first, k)
+            place += np.arange(len(place))
+            cell = np.repeat(i, k)
+            cell += self.codes[place]
+            if len(place):
+                some = k > 0
+                out[at : at + PAIRS_A_STEP][some] = np.add.reduceat(held[cell] * self.weights[place], first[some])
         return out
 
 
@@ -106,8 +111,7 @@ class Block:
         self.id, self.file, self.n = (rows[c].to_numpy() for c in ("func_id", "file_id", "num_ngrams"))
         self.c, self.i = (rows[c].cast(pa.float64()).fill_null(np.nan).to_numpy() for c in ("c", "i"))
         self.vectors = _lists(rows["terms"], rows["freqs"])
-        self.row = np.repeat(np.arange(len(self.id)), self.vectors.lengths)
-        self.norm = np.sqrt(np.bincount(self.row, self.vectors.weights**2, minlength=len(self.id)))
+        self.norm = np.sqrt(self.vectors.squares)
         if search.names != "any":
             self.name = pa.concat_arrays(rows["func_name"].chunks).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         if search.shared:
@@ -118,7 +122,7 @@ class Block:
     def bounds(self) -> np.ndarray:
         """Rows whose dot products are no less than the cosines."""
         v = self.vectors
-        weight = (v.weights / self.norm[self.row]) ** 2
+        weight = (v.weights / self.norm[v.row]) ** 2
         order = np.argsort(-np.bincount(v.codes, weight, minlength=v.width), kind="stable")
         place, size = np.empty(v.width, np.int64), COMMON + GROUPS
         place[order] = np.where(np.arange(v.width) < COMMON, np.arange(v.width), COMMON + np.arange(v.width) % GROUPS)
@@ -126,7 +130,7 @@ class Block:
         for lo in range(0, len(out), FUNCTIONS_A_STEP):
             hi = min(len(out), lo + FUNCTIONS_A_STEP)
             part = slice(v.starts[lo], v.starts[hi])
-            out[lo:hi] = np.sqrt(np.bincount((self.row[part] - lo) * size + place[v.codes[part]], weight[part], minlength=(hi - lo) * size)).reshape(-1, size)
+            out[lo:hi] = np.sqrt(np.bincount((v.row[part] - lo) * size + place[v.codes[part]], weight[part], minlength=(hi - lo) * size)).reshape(-1, size)
         return out
 
     def reached(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
