@@ -173,7 +173,8 @@ class Block:
             one, two = passing(c[x], c[y], i[x], i[y]), passing(c[y], c[x], i[y], i[x])
             kept = one | two
             x, y, one, two = x[kept], y[kept], one[kept], two[kept]
-            value = cosine(self.vectors.products(lo, hi, x, y), self.norm[x], self.norm[y])
+            dot = self.vectors.products(lo, hi, x, y)
+            value = np.copysign(cosine(dot, self.norm[x], self.norm[y]), 1 - dot / (self.norm[x] * self.norm[y]))  # SQL rounds to -0.0 too
             kept = value < s.below
             x, y, one, two, value = x[kept], y[kept], one[kept], two[kept], value[kept]
             shared = self.imports.products(lo, hi, x, y).astype(np.int64) if s.shared else np.zeros(len(x), np.int64)

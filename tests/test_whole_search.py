@@ -84,6 +84,12 @@ def test_blocks_of_any_size_give_what_a_loop_gives(spark, drawn, monkeypatch, na
     assert sorted(got, key=repr) == sorted(_loop(own, names), key=repr) and len(got) > 20
 
 
+def test_zeros_have_the_sign_of_sql(spark):
+    fn = spark.createDataFrame([(k, k, 3, 1, None, [], 0) for k in (1, 2)], "func_id long, file_id long, num_ngrams long, c int, func_name string, names array<string>, i long")
+    vectors = spark.createDataFrame([(k, ["a", "b", "c"], [1, 1, 1]) for k in (1, 2)], "func_id long, terms array<string>, freqs array<long>")
+    assert [str(r["value"]) for r in distance.near_among(fn, vectors, near_blocks.Search(0.4, 3)).collect()] == ["-0.0", "-0.0"]
+
+
 def test_pairs_of_a_name_start_from_names(spark, no_fiftieth, monkeypatch):
     met, meet = [], near_blocks._meet
     monkeypatch.setattr(near_blocks, "_meet", lambda rows, band, to, *more: met.append(to) or meet(rows, band, to, *more))
